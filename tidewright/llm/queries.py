@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import pii, quality, warc
+from . import ann, bpe, licenses, lm, minhash, packing, pii, quality, substrings, warc
 from .common import table, texts
 
 
@@ -20,4 +22,39 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(texts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_pii, op9_quality_rules)}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(texts(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(texts(table(spark, sf_dir, "documents")))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.detect(texts(table(spark, sf_dir, "documents")))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(texts(table(spark, sf_dir, "documents"))).drop("starts", "ends")
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(texts(table(spark, sf_dir, "documents")))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(texts(table(spark, sf_dir, "documents")), ranks, public_tokenizers.PATTERN).drop("ids")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_packing, op3_pii, op4_lm_scoring, op5_license_scan, op6_nearest_neighbours, op7_substring_dedup,
+        op8_minhash, op9_quality_rules, op10_byte_bpe,
+    )
+}
