@@ -8,7 +8,8 @@ Documents with equal shingle sets form a class first, of which the smallest doc_
 in a bucket. In each bucket the member whose bands are shared most is the centre, all others are compared with it on
 their full sets, and components are joined. Members of a bucket that are then still in different components are compared
 with their likeliest partners, and at last with every member of another component whose sketch leaves a link possible.
-A sketch rules a link out only when its estimate is five standard deviations below the threshold.
+A sketch rules a link out only when its estimate is four standard deviations below the threshold. Each pair is taken from
+the first band that both share alone.
 
 A null text, or one without words, has no shingles and links with nothing. With fewer than ``width`` words the whole
 sequence is the one shingle. A null doc_id stays alone: its component is null and it is kept. Rows that repeat a document
@@ -161,10 +162,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _candidates(rest: DataFrame, percent: int, most: int | None, block: int = 512) -> DataFrame:
     """Pairs of a bucket's members in different components that their sketches don't rule out: for each member its
-    ``most`` likeliest, or all. ``rest`` has key, doc, component, print and n, the bucket's number of members; large
-    buckets are split into blocks, and each pair of blocks is a group of its own."""
+    ``most`` likeliest, or all. ``rest`` has key, doc, component, print, bands and n, the bucket's number of members; large
+    buckets are split into blocks, and each pair of blocks is a group of its own. A pair that meets in several buckets is
+    made in that of its first common band only."""
     j = percent / 100
-    least = j - 5 * math.sqrt(j * (1 - j) / COORDINATES)
+    least = j - 4 * math.sqrt(j * (1 - j) / COORDINATES)
     cut = math.ceil(COORDINATES * least)
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
     rows = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
@@ -174,6 +176,8 @@ def _candidates(rest: DataFrame, percent: int, most: int | None, block: int = 51
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("doc")
         prints = np.frombuffer(b"".join(x["print"]), "u1").reshape(len(x), -1)
+        marks = np.stack(x["bands"].to_numpy())
+        here = int(np.flatnonzero(marks[0] == x["key"].iat[0])[0])
         docs, comps, part = x["doc"].to_numpy(), x["component"].to_numpy(), x["part"].to_numpy()
         p, q = int(x["p"].iat[0]), int(x["q"].iat[0])
         left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
@@ -182,6 +186,8 @@ def _candidates(rest: DataFrame, percent: int, most: int | None, block: int = 51
             js = right[(comps[right] != comps[i]) & ((docs[right] > docs[i]) | (p != q))]
             agree = (prints[js] == prints[i]).sum(axis=1)
             js, agree = js[agree >= cut], agree[agree >= cut]
+            first = ~(marks[js, :here] == marks[i, :here]).any(axis=1)
+            js, agree = js[first], agree[first]
             if most is not None and len(js) > most:
                 js = js[np.argsort(-agree, kind="stable")[:most]]
             out.append(np.stack([np.maximum(docs[i], docs[js]), np.minimum(docs[i], docs[js])], axis=1))
@@ -211,7 +217,7 @@ def link(docs: DataFrame, percent: int = 85, likeliest: int = 4) -> DataFrame:
     for most in (likeliest, None):
         rest = members.join(labels, members.doc == labels.node, "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
         mixed = rest.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
-        rest = rest.join(mixed.hint("merge"), "key", "left_semi").join(classes.select("doc", "print").hint("merge"), "doc")
+        rest = rest.join(mixed.hint("merge"), "key", "left_semi").join(classes.select("doc", "print", "bands").hint("merge"), "doc")
         more = materialize(_candidates(rest, percent, most).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             break
