@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.windows import js_round, over
 
-W = Window.partitionBy("symbol").orderBy("c")
-PAST = W.rowsBetween(Window.unboundedPreceding, -1)
+def by_candle():
+    return Window.partitionBy("symbol").orderBy("c")
 
 
 def bull(k: int = 0) -> Column:
@@ -22,7 +22,7 @@ def bull(k: int = 0) -> Column:
 
 
 def at(x: str, k: int = 0) -> Column:
-    return F.lag(x, k).over(W) if k > 0 else F.lead(x, -k).over(W) if k < 0 else F.col(x)
+    return F.lag(x, k).over(by_candle()) if k > 0 else F.lead(x, -k).over(by_candle()) if k < 0 else F.col(x)
 
 
 def top(k: int = 0) -> Column:
@@ -102,7 +102,7 @@ def with_structure(candles: DataFrame, lookback: int = 2, causal: bool = False)
     )
     if causal:
         by = by.withColumn("c", F.col("c") + lookback)
-    past = W.rowsBetween(Window.unboundedPreceding, 0 if causal else -1)
+    past = by_candle().rowsBetween(Window.unboundedPreceding, 0 if causal else -1)
     rows = candles.join(by, ["symbol", "c"], "left")
     return rows.withColumns({n: F.last(x, ignorenulls=True).over(past) for n, x in (("last_high", "swing_high"), ("last_low", "swing_low"), ("trend", "swing_trend"))})
 
@@ -127,8 +127,8 @@ def zones(candles: DataFrame, times: float = 2, mean_of: int = 10) -> DataFrame:
         down, F.struct(F.lit("bearish").alias("direction"), at("low", 1).alias("top"), at("high", -1).alias("bottom"))
     )
     gaps = candles.withColumn("f", gap).filter("f is not null").select("symbol", F.lit("fvg").alias("type"), "c", "f.direction", "f.top", "f.bottom", (F.col("c") + 1).alias("confirmed_at"))
-    usual = F.avg(F.abs(F.col("close") - F.col("open"))).over(W.rowsBetween(-mean_of, -1))
-    moved = (F.row_number().over(W) > mean_of) & (usual > 0) & (F.abs(F.col("close") - F.col("open")) >= times * usual)
+    usual = F.avg(F.abs(F.col("close") - F.col("open"))).over(by_candle().rowsBetween(-mean_of, -1))
+    moved = (F.row_number().over(by_candle()) > mean_of) & (usual > 0) & (F.abs(F.col("close") - F.col("open")) >= times * usual)
     opposite = F.coalesce(*[F.when(bull(k) != bull(), F.struct((F.col("c") - k).alias("c"), top(k).alias("top"), bottom(k).alias("bottom"))) for k in range(1, 7)])
     blocks = candles.withColumn("f", F.when(moved, opposite)).withColumn("direction", _side(bull())).filter("f is not null")
     blocks = blocks.select("symbol", F.lit("orderBlock").alias("type"), "f.c", "direction", "f.top", "f.bottom", F.col("c").alias("confirmed_at"))
@@ -171,7 +171,7 @@ def genome_analogs(candles: DataFrame, ahead: int = 6, most: float = 0.6, usual:
     share = lambda x: F.coalesce(over(x, span), F.lit(0.0))
     rows = candles.withColumns({
         "body": share(F.abs(F.col("close") - F.col("open"))), "upper": share(F.col("high") - top()), "lower": share(bottom() - F.col("low")), "way": F.when(bull(), 1).otherwise(-1),
-        "span": span, "mean": F.avg(span).over(W.rowsBetween(-(usual - 1), 0)), "after": at("close", -ahead), "n": F.count("*").over(Window.partitionBy("symbol")),
+        "span": span, "mean": F.avg(span).over(by_candle().rowsBetween(-(usual - 1), 0)), "after": at("close", -ahead), "n": F.count("*").over(Window.partitionBy("symbol")),
     })
     genes = [F.struct(*[at(x, k).alias(x) for x in ("body", "upper", "lower", "way")], over(at("span", k), F.col("mean")).alias("size")) for k in (2, 1, 0)]
     rows = rows.withColumn("genome", F.array(*genes)).withColumn("sign", F.col("way"))
@@ -193,10 +193,10 @@ def _signatures(candles: DataFrame, size: int, lookback: int, ahead: int) -> Dat
     rows = candles.join(s, ["symbol", "c"], "left").withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
 
     def trend(first: int, end: int) -> Column:
-        inside = F.flatten(F.collect_list("s").over(W.rowsBetween(first + lookback, end - lookback)))
+        inside = F.flatten(F.collect_list("s").over(by_candle().rowsBetween(first + lookback, end - lookback)))
         return trend_of(F.slice(inside, F.greatest(F.size(inside) - 3, F.lit(1)), F.lit(4)))
 
-    whole = W.rowsBetween(-(size - 1), 0)
+    whole = by_candle().rowsBetween(-(size - 1), 0)
     rising = F.count_if(bull()).over(whole)
     span = F.col("high") - F.col("low")
     move = over(F.col("close") - F.first("open").over(whole), F.first("open").over(whole))
@@ -233,7 +233,7 @@ def similar_windows(candles: DataFrame, size: int = 12, ahead: int = 8, most: in
 def reach(candles: DataFrame, target: float = 1.05, ahead: int = 20) -> DataFrame:
     """How often ``ahead`` candles sufficed to move from the close by the fraction that ``target`` is from 1."""
     far = abs(target - 1)
-    forward = W.rowsBetween(1, ahead)
+    forward = by_candle().rowsBetween(1, ahead)
     hit = (F.max("high").over(forward) - F.col("close")) / F.col("close") if target >= 1 else (F.col("close") - F.min("low").over(forward)) / F.col("close")
     rows = candles.withColumn("hit", hit >= far).withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).filter(f"c < n - {ahead} and close != 0")
     return rows.groupBy("symbol").agg(js_round(F.least(F.greatest(100.0 * F.count_if("hit") / F.count("*"), F.lit(5.0)), F.lit(95.0))).alias("probability"), F.count("*").alias("sample_size"))
