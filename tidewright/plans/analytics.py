@@ -10,6 +10,7 @@ from tidewright.operators import governance as gv
 from tidewright.operators import runs as rn
 from tidewright.operators import snapshots as sn
 from tidewright.operators import statistics as st
+from tidewright.sources.shared import stored
 from tidewright.sources.ticks import table, ticks
 
 from .streams import E3
@@ -271,3 +272,23 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("i")
     rows = ticks(spark, sf_dir).select("symbol", "i", F.col("price").alias("x"), (F.lead("price").over(w) - F.col("price")).alias("y"), F.max("i").over(Window.partitionBy("symbol")).alias("top"))
     return rows.filter("i > top - 500").drop("top")
+
+
+@query()
+def generated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.functions import generated
+
+    return rounded(generated.features(generated.snapshots(ticks(spark, sf_dir))))
+
+
+@query()
+def generated_feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All generated features against whether the next tick rises, by the composite of three measures."""
+    from tidewright.functions import generated
+
+    stream = ticks(spark, sf_dir).select("symbol", "i", "price")
+    nxt = stream.select("symbol", (F.col("i") - 1).alias("i"), F.col("price").alias("next_price"))
+    label = stream.join(nxt, ["symbol", "i"]).select("symbol", "i", (F.col("next_price") > F.col("price")).cast("int").alias("rise"))
+    rows = stored(generated.features(generated.snapshots(stream)), "features").join(label, ["symbol", "i"]).withColumn("id", F.xxhash64("symbol", "i"))
+    names = [c for c in rows.columns if c.startswith("f")]
+    return rounded(st.ranked(st.unpivoted(rows.select("id", "rise", *names), "id", F.col("rise"), names), "id"))
