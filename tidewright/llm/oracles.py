@@ -33,4 +33,24 @@ b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed
 select *, not base_failed and word_chars between 1.5 * n_words and 25 * n_words and n_symbols <= 0.3 * n_words
   and n_stop_words >= 0.005 * n_words and n_dup_lines <= 0.7 * n_lines as kept
 from b""",
+    "op7_substring_dedup": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+k as (select doc_id, i, array_to_string(ws[i:i + 49], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w)),
+m as (select g, min(doc_id) as m from k group by g),
+x as (select distinct doc_id, unnest(range(i, i + 50)) as j from k join m using (g) where m < doc_id),
+p as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from w),
+r as (select p.doc_id, count(x.j) as n_removed, string_agg(p.word, ' ' order by p.j) filter (x.j is null) as kept from p left join x on x.doc_id = p.doc_id and x.j = p.j group by 1)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join r on r.doc_id = w.doc_id""",
+    "op8_minhash": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union select b, a from l),
+r as (select doc_id as node, doc_id as root from documents union select e.b, r.root from r join e on e.a = r.node)
+select d.doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(r.root) as component_id, d.doc_id = min(r.root) as kept
+from documents d join r on r.node = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id""",
 }
