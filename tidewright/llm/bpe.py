@@ -18,9 +18,8 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import in_blocks
+from .common import pack_words, squeeze, squeezed_blocks, unpack_words, unsqueeze, unsqueezed
 
 #: Characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -66,22 +65,6 @@ class Block:
         self.texts = [np.frombuffer(b"".join(map(memo.__getitem__, CHUNK.findall(t))), "<u4") for t in texts]
 
 
-def pack_words(words: list[bytes]) -> bytes:
-    lengths = np.fromiter(map(len, words), "<u4", len(words))
-    return np.uint32(len(words)).tobytes() + lengths.tobytes() + b"".join(words)
-
-
-def unpack_words(data: bytes) -> list[bytes]:
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    ends = 4 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype="i8")
-    starts = np.concatenate([[4 + 4 * n], ends[:-1]]) if n else ends
-    return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
-def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
-
-
 def buckets_of(words: list[bytes], n: int) -> np.ndarray:
     import xxhash
 
@@ -91,38 +74,39 @@ def buckets_of(words: list[bytes], n: int) -> np.ndarray:
 def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = 12 << 20) -> DataFrame:
     """Token ids of every text of ``docs`` (doc_id, text): a row with ``ids`` for each document, and the digests of the ids
     and of what they decode to."""
-    blocks, n = in_blocks(docs, block_bytes)
+    blocks, n = squeezed_blocks(docs, block_bytes)
+    kind = "<u4"  # of ids while they travel; compression takes what isn't needed
 
     def request(rows: pd.DataFrame) -> pd.DataFrame:
         number = int(rows["block"].iat[0])
-        words = [w.encode() for w in Block(_ordered(rows)["text"].tolist(), pattern).words]
+        words = [w.encode() for w in Block([t for _, t in unsqueezed(rows["rows"])], pattern).words]
         cells: dict[int, list[bytes]] = {}
         for w, b in zip(words, buckets_of(words, n).tolist(), strict=True):
             cells.setdefault(b, []).append(w)
-        return pd.DataFrame({"bucket": list(cells), "block": number, "words": [pack_words(c) for c in cells.values()]})
+        return pd.DataFrame({"bucket": list(cells), "block": number, "words": [squeeze(pack_words(c)) for c in cells.values()]})
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         enc = encoding(path, pattern)[0]
-        memo = Memo(lambda w: np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes())
+        memo = Memo(lambda w: np.array(enc.encode_ordinary(w.decode()), kind).tobytes())
         out = []
         for bucket, block, data in zip(rows["bucket"], rows["block"], rows["words"], strict=True):
-            ids = [memo[w] for w in unpack_words(data)]
-            out.append((int(block), int(bucket), pack_words(ids)))
+            ids = [memo[w] for w in unpack_words(unsqueeze(data))]
+            out.append((int(block), int(bucket), squeeze(pack_words(ids))))
         return pd.DataFrame(out, columns=["block", "bucket", "ids"])
 
     def assemble(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         table = {i: w for w, i in encoding(path, pattern)[1].items()}
-        rows = _ordered(rows)
-        block = Block(rows["text"].tolist(), pattern)
-        given = {int(b): iter(unpack_words(x)) for b, x in zip(answers["bucket"], answers["ids"], strict=True)}
+        docs_ = unsqueezed(rows["rows"])
+        block = Block([t for _, t in docs_], pattern)
+        given = {int(b): iter(unpack_words(unsqueeze(x))) for b, x in zip(answers["bucket"], answers["ids"], strict=True)}
         words = [w.encode() for w in block.words]
-        ids = [np.frombuffer(next(given[b]), "<u4") for b in buckets_of(words, n).tolist()]
+        ids = [np.frombuffer(next(given[b]), kind) for b in buckets_of(words, n).tolist()]
         lengths = np.fromiter(map(len, ids), "i8", len(ids))
         said = [" ".join(map(str, x.tolist())).encode() for x in ids]
         decoded = [b"".join([table[i] for i in x.tolist()]) for x in ids]
-        flat, starts = (np.concatenate(ids) if ids else np.zeros(0, "<u4")), np.cumsum(lengths) - lengths
+        flat, starts = (np.concatenate(ids) if ids else np.zeros(0, kind)), np.cumsum(lengths) - lengths
         out = []
-        for doc, at in zip(rows["doc_id"].tolist(), block.texts, strict=True):
+        for (doc, _), at in zip(docs_, block.texts, strict=True):
             each = lengths[at]
             total = int(each.sum())
             place = np.repeat(starts[at] - (np.cumsum(each) - each), each) + np.arange(total)
@@ -133,7 +117,7 @@ def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = 12 << 20
                 hashlib.sha256(b"".join(map(decoded.__getitem__, order))).hexdigest(),
             ))
         frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
-        frame["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in frame["doc_id"]], dtype="Int64")
+        frame["doc_id"] = pd.array([d for d, _ in docs_], dtype="Int64")
         return frame
 
     asked = blocks.groupBy("block").applyInPandas(request, "bucket int, block int, words binary")

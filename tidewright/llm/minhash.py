@@ -160,11 +160,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInPandas(run, "a long, b long").distinct()
 
 
-def _candidates(rest: DataFrame, percent: int, most: int | None, block: int = 512) -> DataFrame:
+def _candidates(rest: DataFrame, percent: int, most: int | None, lots: int, block: int = 512) -> DataFrame:
     """Pairs of a bucket's members in different components that their sketches don't rule out: for each member its
     ``most`` likeliest, or all. ``rest`` has key, doc, component, print, bands and n, the bucket's number of members; large
-    buckets are split into blocks, and each pair of blocks is a group of its own. A pair that meets in several buckets is
-    made in that of its first common band only."""
+    buckets are split into blocks, and each pair of blocks is a group of its own, while small ones are put together in
+    ``lots`` groups. A pair that meets in several buckets is made in that of its first common band only."""
     j = percent / 100
     least = j - 4 * math.sqrt(j * (1 - j) / COORDINATES)
     cut = math.ceil(COORDINATES * least)
@@ -172,29 +172,34 @@ def _candidates(rest: DataFrame, percent: int, most: int | None, block: int = 51
     rows = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("other", other).withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
+    rows = rows.withColumn("lot", F.when(F.col("parts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(lots))))
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("doc")
+        x = x.sort_values(["key", "doc"])
+        keys, docs, comps, part = (x[c].to_numpy() for c in ("key", "doc", "component", "part"))
         prints = np.frombuffer(b"".join(x["print"]), "u1").reshape(len(x), -1)
         marks = np.stack(x["bands"].to_numpy())
-        here = int(np.flatnonzero(marks[0] == x["key"].iat[0])[0])
-        docs, comps, part = x["doc"].to_numpy(), x["component"].to_numpy(), x["part"].to_numpy()
         p, q = int(x["p"].iat[0]), int(x["q"].iat[0])
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist()
         out = []
-        for i in left.tolist():
-            js = right[(comps[right] != comps[i]) & ((docs[right] > docs[i]) | (p != q))]
-            agree = (prints[js] == prints[i]).sum(axis=1)
-            js, agree = js[agree >= cut], agree[agree >= cut]
-            first = ~(marks[js, :here] == marks[i, :here]).any(axis=1)
-            js, agree = js[first], agree[first]
-            if most is not None and len(js) > most:
-                js = js[np.argsort(-agree, kind="stable")[:most]]
-            out.append(np.stack([np.maximum(docs[i], docs[js]), np.minimum(docs[i], docs[js])], axis=1))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            here = int(np.flatnonzero(marks[a] == keys[a])[0])
+            right = a + np.flatnonzero(part[a:b] == q)
+            for i in (a + np.flatnonzero(part[a:b] == p)).tolist():
+                js = right[(comps[right] != comps[i]) & ((docs[right] > docs[i]) | (p != q))]
+                agree = (prints[js] == prints[i]).sum(axis=1)
+                js, agree = js[agree >= cut], agree[agree >= cut]
+                if not len(js):
+                    continue
+                first = ~(marks[js, :here] == marks[i, :here]).any(axis=1)
+                js, agree = js[first], agree[first]
+                if most is not None and len(js) > most:
+                    js = js[np.argsort(-agree, kind="stable")[:most]]
+                out.append(np.stack([np.maximum(docs[i], docs[js]), np.minimum(docs[i], docs[js])], axis=1))
         got = np.concatenate(out) if out else np.zeros((0, 2), "i8")
         return pd.DataFrame(got, columns=["a", "b"])
 
-    return rows.groupBy("key", "p", "q").applyInPandas(run, "a long, b long").distinct()
+    return rows.groupBy("lot", F.col("parts") > 1, "p", "q").applyInPandas(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, percent: int = 85, likeliest: int = 4) -> DataFrame:
@@ -203,6 +208,7 @@ def link(docs: DataFrame, percent: int = 85, likeliest: int = 4) -> DataFrame:
     classes = materialize(
         sk.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key", "bands", "print").agg(F.min("doc_id").alias("doc")), "classes"
     )
+    lots = max(16, classes.count() // 2000)
     spread = classes.select("doc", F.explode("bands").alias("key"))
     sizes = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(spread.join(sizes.hint("merge"), "key"), "members")
@@ -218,7 +224,7 @@ def link(docs: DataFrame, percent: int = 85, likeliest: int = 4) -> DataFrame:
         rest = members.join(labels, members.doc == labels.node, "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
         mixed = rest.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
         rest = rest.join(mixed.hint("merge"), "key", "left_semi").join(classes.select("doc", "print", "bands").hint("merge"), "doc")
-        more = materialize(_candidates(rest, percent, most).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_candidates(rest, percent, most, lots).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             break
         found = materialize(_verify(more, wanted, percent), "links")

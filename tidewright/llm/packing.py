@@ -13,6 +13,7 @@ packed one by one. Shards are dealt by a hash of the row, so no source or key ma
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from functools import cache
 
@@ -26,37 +27,62 @@ from .bpe import CHUNK, Memo
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others for letters
+    from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
 @cache
-def tokenizer(path: str):
-    """The tokenizer of a file, special tokens' strings being ordinary text; read once in each Python worker."""
+def tokenizers_of(path: str):
+    """The tokenizer of a file, special tokens' strings being ordinary text, and the same vocabulary as ranks, which another
+    library merges faster. Read once in each Python worker."""
+    import json
     import os
 
+    import public_tokenizers
+    import tiktoken
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    letters = byte_letters()
+    ranks = {bytes(letters[c] for c in w): i for w, i in model["vocab"].items() if all(c in letters for c in w) and i < 256 + len(model["merges"])}
+    return t, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+#: Letters on whose classes all versions of Unicode agree; runs with others go to the tokenizer itself.
+SETTLED = re.compile("[\x00-\u024f]*")
 
 
 class Encoder:
     """Ids of whole texts. A text falls into runs of white space with what follows; no token reaches over the start of
     such a run, so each distinct one is encoded once while the memory for them, of bounded size, lasts."""
 
-    def __init__(self, path: str, most: int = 300_000):
-        self.tokenizer, self.most = tokenizer(path), most
-        self.memo: dict[str, bytes] = {}
+    def __init__(self, path: str, most: int = 600_000):
+        slow, quick = tokenizers_of(path)
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [CHUNK.findall(t) for t in texts]
+        def ids(run: str) -> bytes:
+            got = quick.encode_ordinary(run) if SETTLED.fullmatch(run) else slow.encode(run, add_special_tokens=False).ids
+            return np.array(got, "<u4").tobytes()
+
+        self.memo, self.most = Memo(ids), most
+
+    def __call__(self, text: str) -> np.ndarray:
         if len(self.memo) > self.most:
             self.memo.clear()
-        new = list({c for cs in chunks for c in cs}.difference(self.memo))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[c] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.memo.__getitem__, cs)), "<u4") for cs in chunks]
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, CHUNK.findall(text))), "<u4")
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 class Bm25:
@@ -139,11 +165,11 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def tokenize(batches):
-        encoder = Encoder(path)
+        ids_of = encoder(path)
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch, rows = whole.iloc[at : at + 512], []
-                for doc, shard, ids in zip(batch["doc_id"], batch["shard"], encoder(batch["text"].tolist()), strict=True):
+                for doc, shard, ids in zip(batch["doc_id"], batch["shard"], map(ids_of, batch["text"]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     total, doc = len(ids), None if pd.isna(doc) else int(doc)
                     for start in range(0, total, window):

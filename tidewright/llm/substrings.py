@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo, pack_words, unpack_words
-from .common import SPACE_RUN, in_blocks, let
+from .bpe import Memo
+from .common import SPACE_RUN, in_blocks, let, pack_words, unpack_words
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
