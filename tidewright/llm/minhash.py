@@ -7,8 +7,8 @@ take a minimum of their own, so every bin fills. Bands of a sketch are hashed; d
 Documents with equal shingle sets form a class first, of which the smallest doc_id stands for all, so copies never meet
 in a bucket. In each bucket the member whose bands are shared most is the centre, all others are compared with it on
 their full sets, and components are joined. Members of a bucket that are then still in different components are compared
-with their likeliest partners, and at last with every member of another component whose sketch leaves a link possible.
-A sketch rules a link out only when its estimate is four standard deviations below the threshold. Each pair is taken from
+with their likeliest partners, and at last with every member of another component whose finer sketch leaves a link
+possible. A sketch rules a link out only when its estimate is four standard deviations below the threshold. Each pair is taken from
 the first band that both share alone.
 
 A null text, or one without words, has no shingles and links with nothing. With fewer than ``width`` words the whole
@@ -31,7 +31,9 @@ from .bpe import Memo
 from .common import materialize
 
 COORDINATES, ROWS = 130, 5
-SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, print binary"
+#: Coordinates of the finer sketches, made only of documents that are still apart from a member of their bucket.
+FINE = 512
+SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -41,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype="u8") * _K[0])
+SEEDS = mix(np.arange(1, 2 * max(COORDINATES, FINE) + 1, dtype="u8") * _K[0])
 
 
 class Shingler:
@@ -103,17 +105,28 @@ def sketches(docs: DataFrame) -> DataFrame:
                     s = shingles(text)
                     doc = None if pd.isna(doc) else int(doc)
                     if not len(s):
-                        out.append((doc, 0, None, None, None))
+                        out.append((doc, 0, None, None))
                         continue
-                    sk = sketch(s)
-                    out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bands(sk), (mix(sk) >> np.uint64(56)).astype("u1").tobytes()))
-                frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "bands", "print"])
+                    out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bands(sketch(s))))
+                frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "bands"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
     return docs.select("doc_id", "text").mapInPandas(run, SKETCH)
 
 
+def prints(docs: DataFrame) -> DataFrame:
+    """Of each of ``docs`` (doc_id, text) a fine sketch, a byte for each coordinate: doc, print."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingler()
+        for x in batches:
+            made = [(mix(sketch(shingles(t), FINE)) >> np.uint64(56)).astype("u1").tobytes() for t in x["text"]]
+            yield pd.DataFrame({"doc": x["doc_id"], "print": made})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc long, print binary")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of ``edges`` (a, b): each node and the smallest node it reaches, as (node, component).
     Labels go to neighbours and then jump to their label's label; both steps are joins and grouped minima."""
@@ -166,8 +179,8 @@ def _candidates(rest: DataFrame, percent: int, most: int | None, lots: int, bloc
     buckets are split into blocks, and each pair of blocks is a group of its own, while small ones are put together in
     ``lots`` groups. A pair that meets in several buckets is made in that of its first common band only."""
     j = percent / 100
-    least = j - 4 * math.sqrt(j * (1 - j) / COORDINATES)
-    cut = math.ceil(COORDINATES * least)
+    least = j - 4 * math.sqrt(j * (1 - j) / FINE)
+    cut = math.ceil(FINE * least)
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
     rows = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -206,7 +219,7 @@ def link(docs: DataFrame, percent: int = 85, likeliest: int = 4) -> DataFrame:
     """A row for each of ``docs`` (doc_id, text): n_shingles, component_id and kept."""
     sk = materialize(sketches(docs), "sketches")
     classes = materialize(
-        sk.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key", "bands", "print").agg(F.min("doc_id").alias("doc")), "classes"
+        sk.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key", "bands").agg(F.min("doc_id").alias("doc")), "classes"
     )
     lots = max(16, classes.count() // 2000)
     spread = classes.select("doc", F.explode("bands").alias("key"))
@@ -219,11 +232,15 @@ def link(docs: DataFrame, percent: int = 85, likeliest: int = 4) -> DataFrame:
     taking_part = members.select(F.col("doc").alias("doc_id")).distinct()
     wanted = materialize(docs.join(taking_part.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "wanted")
     links = materialize(_verify(pairs, wanted, percent), "links")
-    labels = components(links)
+    labels, fine = components(links), None
     for most in (likeliest, None):
         rest = members.join(labels, members.doc == labels.node, "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
         mixed = rest.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
-        rest = rest.join(mixed.hint("merge"), "key", "left_semi").join(classes.select("doc", "print", "bands").hint("merge"), "doc")
+        rest = rest.join(mixed.hint("merge"), "key", "left_semi")
+        if fine is None:
+            apart = rest.select(F.col("doc").alias("doc_id")).distinct()
+            fine = materialize(prints(wanted.join(apart.hint("merge"), "doc_id", "left_semi")), "prints")
+        rest = rest.join(fine.hint("merge"), "doc").join(classes.select("doc", "bands").hint("merge"), "doc")
         more = materialize(_candidates(rest, percent, most, lots).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             break
