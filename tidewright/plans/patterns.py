@@ -111,7 +111,7 @@ j as (select g.symbol, g.close, g.up::int * 2 - 1 as sg, (select close from k wh
 o as (select symbol, count(*) as sample_size, count(*) filter (sg * (after - close) / close > 0.001) as continued, count(*) filter (sg * (after - close) / close < -0.001) as reversed from j where sqrt(far) <= 0.6 group by 1)
 select z.symbol, z.up::int * 2 - 1 as current_direction, coalesce(sample_size, 0) as sample_size, coalesce(continued, 0) as continued, coalesce(reversed, 0) as reversed, coalesce(sample_size - continued - reversed, 0) as neutral,
   coalesce(floor(100::double * continued / sample_size + 0.5), 0)::bigint as continued_pct, coalesce(floor(100::double * reversed / sample_size + 0.5), 0)::bigint as reversed_pct
-from g z left join o on o.symbol = z.symbol where z.c = z.n - 1""")
+from g z left join o on o.symbol = z.symbol where z.c = z.n - 1 and z.n >= 39""")
 def candle_genome_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pt.genome_analogs(candles(spark, sf_dir))
 
