@@ -22,7 +22,7 @@ def duck():
 def settled(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        df[c] = df[c].map(lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)) else str(v) if isinstance(v, str) else bool(v) if isinstance(v, (bool, np.bool_)) else float(v))
+        df[c] = pd.Series([None if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and np.isnan(v)) else str(v) if isinstance(v, str) else bool(v) if isinstance(v, (bool, np.bool_)) else float(v) for v in df[c]], index=df.index, dtype=object)  # nulls stay None
     keys = [c for c in df.columns if not df[c].map(lambda v: isinstance(v, float) and v != int(v)).any()] or list(df.columns)
     return df.sort_values(keys, key=lambda s: s.map(str)).reset_index(drop=True)
 
