@@ -202,3 +202,28 @@ def test_flagship_and_short_candles(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert column(candles_by_count(stream(spark, range(25))), "n", "c") == [10, 10, 5]
+
+
+def test_burst_metrics_by_hand(spark):
+    from tidewright.operators import bursts as bs
+
+    m = bs.metrics(stream(spark, [float(p) for p in (5, 6, 7, 7, 8, 9, 8)])).orderBy("i").toPandas()
+    assert m["td"].tolist() == [0, 0, 0, 3, 4, 5, 4]  # flat ticks take the last direction; nothing before four ticks
+    assert m["run"].tolist() == [0, 0, 0, 3, 4, 5, 1] and m["run_dir"].tolist()[-1] == -1
+    up = (4 + 1) / (5 + 2)  # ups followed: by ups four times, by a down once
+    assert math.isclose(m["persistence"].iat[-1], up + 0.5 - 1) and math.isclose(m["p_run"].iat[-1], up**4)
+    assert m["exhaustion"].iat[3] == 22  # 34 * 3 / 8 for the run and 36 * 1 / 4 for extremes
+
+
+def test_one_open_signal_blocks_others(spark):
+    from tidewright.operators import bursts as bs
+
+    rng = np.random.default_rng(1)
+    ready = np.flatnonzero(rng.random(400) < 0.3).tolist()
+    want, last = [], -9
+    for i in ready:
+        if i - last >= 4:
+            want.append(i)
+            last = i
+    rows = spark.createDataFrame([("a", i) for i in ready], "symbol string, i long")
+    assert sorted(r.i for r in bs.unblocked(rows).collect()) == want

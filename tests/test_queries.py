@@ -36,6 +36,6 @@ def test_query_equals_its_sql(spark, duck, name):
             assert a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 2e-5 * max(1, abs(b))), (c, a, b)
 
 
-@pytest.mark.parametrize("name", ["historical_analogs", "similar_windows", "probability_engine", "rule_engine", "candidate_registry", "thompson_sampling", "novel_states", "calibration_study"])
+@pytest.mark.parametrize("name", ["historical_analogs", "similar_windows", "probability_engine", "rule_engine", "candidate_registry", "thompson_sampling", "novel_states", "calibration_study", "burst_metrics", "burst_signals"])
 def test_query_without_sql_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() >= 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import indicators as ind
 from tidewright.functions.windows import rounded
+from tidewright.operators import bursts as bs
 from tidewright.operators import discovery as ds
 from tidewright.operators import scoring as sc
 from tidewright.sources.ticks import candles_by_count, table, ticks
@@ -93,3 +94,13 @@ def calibration_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def power_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.trials(spark, 50, 0.5).agg(F.count("*").alias("trials"), F.avg(F.col("detected").cast("double")).alias("power"))
+
+
+@query()
+def burst_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bs.metrics(ticks(spark, sf_dir)))
+
+
+@query()
+def burst_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bs.signals(ticks(spark, sf_dir))
