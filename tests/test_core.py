@@ -227,3 +227,11 @@ def test_one_open_signal_blocks_others(spark):
             last = i
     rows = spark.createDataFrame([("a", i) for i in ready], "symbol string, i long")
     assert sorted(r.i for r in bs.unblocked(rows).collect()) == want
+
+
+def test_closure_reaches_any_depth(spark):
+    chain = [(i, i + 1) for i in range(12)] + [(0, 5), (20, 21), (21, 20)]
+    got = {(r.node, r.ancestor): r.distance for r in gv.closure(spark.createDataFrame(chain, "child long, parent long")).collect()}
+    hop = lambda i, j: min(j - i, 1 + j - 5) if i == 0 and j >= 5 else j - i
+    want = {(i, j): hop(i, j) for i in range(12) for j in range(i + 1, 13)}
+    assert got == want | {(20, 21): 1, (21, 20): 1, (20, 20): 2, (21, 21): 2}

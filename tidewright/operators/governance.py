@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.windows import over
+from tidewright.sources.shared import stored
 
 #: Fixed values of the spending rule.
 START, SHARE, BONUS = 0.025, 0.5, 0.025
@@ -121,14 +122,21 @@ def lineage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return f.join(first("uses", "feature", "candidate"), "feature", "left").join(first("tests", "candidate", "hypothesis"), "candidate", "left").join(first("explains", "hypothesis", "behavior"), "hypothesis", "left").select("feature", "candidate", "hypothesis", "behavior")
 
 
-def closure(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """Ancestors of each node of an acyclic graph, with the shortest distance: one more join for each step of depth."""
-    step = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
+def closure(edges: DataFrame) -> DataFrame:
+    """Ancestors of each node with the shortest distance, however far: one more join for each step, until a step adds none.
+    A pair that is known isn't followed again, so the rounds end on graphs with cycles too."""
+    step = stored(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct(), "steps")
     found = reach = step.withColumn("distance", F.lit(1))
-    for k in range(2, depth + 1):
-        reach = reach.select("node", F.col("ancestor").alias("via")).join(step.select(F.col("node").alias("via"), "ancestor"), "via").select("node", "ancestor").distinct().withColumn("distance", F.lit(k))
+    k = 1
+    while True:
+        k += 1
+        ahead = reach.select("node", F.col("ancestor").alias("via")).join(step.select(F.col("node").alias("via"), "ancestor"), "via").select("node", "ancestor").distinct()
+        reach = stored(ahead.join(found, ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(k)), "reach")
+        if reach.isEmpty():
+            return found
         found = found.unionByName(reach)
-    return found.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+        if k % 16 == 0:
+            found = stored(found, "closure")
 
 
 def yields(moves: DataFrame, family: str, key: str, to: str, stage: str, order: str) -> DataFrame:
