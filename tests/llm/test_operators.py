@@ -316,6 +316,47 @@ def test_minhash(spark, docs):
     assert minhash.link(empty(spark)).count() == 0
 
 
+def grouped(sets, percent):
+    """The smallest id of each one's group, by brute force."""
+    root = {i: i for i in sets}
+    for _ in range(len(sets)):
+        for a, b in itertools.combinations(sorted(sets), 2):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_pipeline_near_dedup_takes_pairs_from_80_percent(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(11), []
+    for k in range(8):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows.append((10 * k, " ".join(w)))
+        for j, edits in enumerate((2, 4, 5), 1):
+            rows.append((10 * k + j, " ".join(f"e{j}" if i % 40 == 9 + j and i // 40 < edits else x for i, x in enumerate(w))))
+    sets = {i: shingles(t) for i, t in rows}
+    similar = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2)]
+    assert sum(0.80 <= x < 0.85 for x in similar) >= 8
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    root, thin = grouped(sets, 80), grouped(sets, 85)
+    assert {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, df, "").collect()} == {i for i in sets if root[i] == i} != {i for i in sets if thin[i] == i}
+
+
+def test_minhash_goes_on_when_the_likeliest_are_all_known(spark, monkeypatch):
+    rounds, real = [], minhash._candidates
+
+    def candidates(rest, percent, most, lots):
+        rounds.append(most)
+        return real(rest, percent, most, lots).limit(0 if most else 10**6)
+
+    monkeypatch.setattr(minhash, "_candidates", candidates)
+    near = prose(random.Random(4), 100)
+    minhash.link(spark.createDataFrame([(i, f"{near} {i}") for i in range(3)], "doc_id long, text string"))
+    assert rounds == [4, None]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     for n in (1, 3, 50, 700):

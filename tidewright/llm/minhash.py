@@ -243,7 +243,7 @@ def link(docs: DataFrame, percent: int = 85, likeliest: int = 4) -> DataFrame:
         rest = rest.join(fine.hint("merge"), "doc").join(classes.select("doc", "bands").hint("merge"), "doc")
         more = materialize(_candidates(rest, percent, most, lots).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
-            break
+            continue
         found = materialize(_verify(more, wanted, percent), "links")
         pairs, links = pairs.union(more), links.union(found)
         if not found.isEmpty():
