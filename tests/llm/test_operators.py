@@ -183,6 +183,29 @@ def test_bm25_finds_the_lexical_neighbour():
     assert [x[0] for x in packing.windows(sets, 400)[0]] == [0, 2]
 
 
+def test_window_asks_until_no_document_is_alike():
+    rng = np.random.default_rng(1)
+    alike, others = [rng.integers(300, 330, 20) for _ in range(40)], [rng.integers(1000 * k, 1000 * k + 30, 20) for k in range(2, 42)]
+    sets = [x.astype("<u4") for pair in zip(alike, others, strict=True) for x in pair]
+    assert {d % 2 for d, _, _ in packing.windows(sets, 800)[0]} == {0}
+    rare = [np.append(np.arange(100 * k, 100 * k + 20), 7).astype("<u4") for k in (1, 2, 3, 4, 5)]
+    rare[4] = np.append(rare[4], rare[0][:1])
+    assert packing.windows(rare, 42, terms=1)[0][1][0] == 4
+
+
+def test_shards_hold_lexical_neighbours(spark):
+    rng, rows = random.Random(8), []
+    for k in range(100):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(10**4)}" for _ in range(60)]
+        for j in range(4):
+            rows.append((1000 * j + k, " ".join(w if rng.random() < 0.9 else f"x{rng.randrange(10**4)}" for w in base)))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), P.path("byte_bpe_50k.json"), shard_docs=20).toPandas()
+    shard = {d: s >> 31 for d, s in zip(got["doc_id"], got["sequence_id"], strict=True)}
+    sizes = Counter(shard.values())
+    near = np.mean([shard[1000 * a + k] == shard[1000 * b + k] for k in range(100) for a, b in itertools.combinations(range(4), 2)])
+    assert len(sizes) == 20 and max(sizes.values()) <= 24 and near > 0.25
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_language_model(spark, docs, order):
     got = by_id(lm.score(common.texts(docs), order=order, block_bytes=20_000))

@@ -3,11 +3,15 @@
 Each document is tokenized where it is read. All its full windows but the rest of fewer tokens are sequences of their
 own, of which only place and checksum travel; the rest goes to a shard. A shard holds a BM25 inverted index over its
 rests, whose terms are token ids. A window begins with a seed, asks the index for the seed's nearest unused neighbours
-and takes them in order of score until it is full. The last one is cut where the window ends and seeds the next, so that
-only a shard's last window is padded.
+and takes them in order of score, asking on until it is full or no unused one shares a term. The last one is cut where
+the window ends and seeds the next, so that only a shard's last window is padded.
+
+Shards are dealt by content: a row's key is the two smallest of the weighted hashes of its token ids, so documents
+that share much of their vocabulary are likely to have a key in common, and the order of keys is cut into shards of equal
+numbers of documents. The key ends in a hash of the row, so a frequent one is spread over several shards.
 
 A null text is an empty one: its only id is the end id. Ties in score go to the smaller doc_id. Repeated rows are
-packed one by one. Shards are dealt by a hash of the row, so no source or key makes one large.
+packed one by one.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CHUNK, Memo
+from .common import materialize
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -104,8 +109,8 @@ class Bm25:
         self.of_doc = np.split(np.repeat(np.arange(len(df)), df)[by_doc], np.cumsum(np.bincount(self.doc, minlength=len(docs)))[:-1])
         self.n = len(docs)
 
-    def neighbours(self, doc: int, unused: np.ndarray, terms: int, k: int) -> list[int]:
-        """Up to ``k`` unused documents by falling score for the heaviest ``terms`` of ``doc``."""
+    def neighbours(self, doc: int, unused: np.ndarray, terms: int | None, k: int) -> list[int]:
+        """Up to ``k`` unused documents by falling score for the heaviest ``terms`` of ``doc``, or all its terms."""
         ask = self.of_doc[doc][:terms]
         if not len(ask):
             return []
@@ -120,11 +125,13 @@ class Bm25:
 def windows(docs: list[np.ndarray], window: int, terms: int = 16, k: int = 8) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (document, start, length), every id in exactly one."""
     index, unused = Bm25(docs), np.array([len(d) > 0 for d in docs], bool)
+    # a seed asks by its heaviest terms for a few neighbours, then for more, then for all, and at last by all its terms
+    levels = [(terms, k), (terms, 8 * k), (terms, len(docs)), (None, len(docs))]
     out: list[list[tuple[int, int, int]]] = []
     here: list[tuple[int, int, int]] = []
     room, following, asked = window, 0, []
     tail: tuple[int, int] | None = None
-    seed = -1
+    seed, level = -1, 0
     while True:
         if tail is not None:
             doc, start = tail
@@ -132,11 +139,11 @@ def windows(docs: list[np.ndarray], window: int, terms: int = 16, k: int = 8) ->
         else:
             doc = -1
             if here:
-                if not asked and seed >= 0:
-                    asked, seed = index.neighbours(seed, unused, terms, k)[::-1], -1
-                while asked and doc < 0:
+                while not asked and level < len(levels):
+                    asked = index.neighbours(seed, unused, *levels[level])[::-1]
+                    level = level + 1 if level == 3 or len(asked) >= levels[level][1] else 3
+                if asked:
                     doc = asked.pop()
-                    doc = doc if unused[doc] else -1
             while doc < 0 and following < len(docs):
                 doc = following if unused[following] else -1
                 following += 1
@@ -144,7 +151,7 @@ def windows(docs: list[np.ndarray], window: int, terms: int = 16, k: int = 8) ->
                 break
             unused[doc], start = False, 0
         if not here:
-            seed, asked = doc, []
+            seed, asked, level = doc, [], 0
         take = min(room, len(docs[doc]) - start)
         here.append((doc, start, take))
         room -= take
@@ -158,25 +165,45 @@ def windows(docs: list[np.ndarray], window: int, terms: int = 16, k: int = 8) ->
     return out
 
 
+def races() -> np.ndarray:
+    """For each token id a fixed number; of a document's ids the one with the smallest is its first by content. Numbers are
+    exponential with a rate that grows with the id, as later ids of a byte-pair vocabulary are the rarer ones."""
+    ids = np.arange(1 << 17, dtype="u8")
+    with np.errstate(over="ignore"):
+        x = ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype("f8") + 0.5
+    return -np.log(u / 2.0**53) / np.log2(ids + 2.0) ** 2
+
+
+def content_key(ids: np.ndarray, race: np.ndarray, salt: int) -> int:
+    """The first two ids by ``race``, then bits of ``salt``; ids beyond the table share places."""
+    ids = ids & np.uint32(len(race) - 1)
+    r = race[ids]
+    first = int(ids[r.argmin()])
+    r[ids == first] = np.inf
+    return first << 41 | int(ids[r.argmin()]) << 24 | (salt & 0xFFFFFF)
+
+
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_docs: int = 2048) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) and where they stand; see PIECES. A shard holds about ``shard_docs`` documents,
     each with fewer than ``window`` ids."""
-    n = max(1, math.ceil(docs.count() / shard_docs))
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def tokenize(batches):
-        ids_of = encoder(path)
+        ids_of, race = encoder(path), races()
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch, rows = whole.iloc[at : at + 512], []
-                for doc, shard, ids in zip(batch["doc_id"], batch["shard"], map(ids_of, batch["text"]), strict=True):
+                for doc, salt, ids in zip(batch["doc_id"], batch["salt"], map(ids_of, batch["text"]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     total, doc = len(ids), None if pd.isna(doc) else int(doc)
+                    key = content_key(ids[(total - 1) // window * window :], race, int(salt))
                     for start in range(0, total, window):
                         piece = ids[start : start + window]
                         full = len(piece) == window
-                        rows.append((int(shard), doc, start, len(piece), zlib.crc32(piece) if full else 0, total, None if full else piece.tobytes()))
-                frame = pd.DataFrame(rows, columns=["shard", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                        rows.append((key, doc, start, len(piece), zlib.crc32(piece) if full else 0, total, None if full else piece.tobytes()))
+                frame = pd.DataFrame(rows, columns=["key", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
@@ -199,7 +226,13 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
-    pieces = dealt.select("shard", "doc_id", "text").mapInPandas(
-        tokenize, "shard int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+    made = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("salt")).mapInPandas(
+        tokenize, "key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     )
-    return pieces.groupBy("shard").applyInPandas(fill, PIECES)
+    pieces = materialize(made, "pieces")
+    ends = pieces.filter("start + length = doc_tokens").select("key")
+    n = max(1, math.ceil(ends.count() / shard_docs))
+    # the places where shards end: a number for each shard, all that the driver gets
+    cuts = np.array(ends.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 1_000_000)).first()[0] if n > 1 else [], "i8")
+    shard = F.pandas_udf(lambda key: pd.Series(np.searchsorted(cuts, key.to_numpy()).astype("i4")), "int")
+    return pieces.withColumn("shard", shard("key")).groupBy("shard").applyInPandas(fill, PIECES)
