@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session names for checkpoints; one of our own only where it names none."""
+    """A new path in the folder that the session names for checkpoints. Where it names none, a folder of this machine serves
+    a local session; on a cluster it would be another on every executor, so there the setting is asked for."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
