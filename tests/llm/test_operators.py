@@ -414,6 +414,27 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(41)} == {0} and got[129] == 100 and got[205] == got[204] == 203
 
 
+def test_components_of_long_chains_in_random_order(spark):
+    rng = random.Random(5)
+    for n in (400, 100_000):
+        nodes = list(range(n))
+        rng.shuffle(nodes)
+        edges = spark.createDataFrame(pd.DataFrame({"a": nodes[:-1], "b": nodes[1:]}))
+        got = minhash.components(edges)
+        assert got.filter("component = 0").count() == n == got.count()
+    star = spark.createDataFrame(pd.DataFrame({"a": [7] * 50_000 + [3, 3], "b": [*range(10, 50_010), 3, 3]}))
+    got = minhash.components(star)
+    assert got.count() == 50_002 and got.filter("component != least(node, 7)").count() == 0
+    assert minhash.components(star.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("operator", [lm.score, lambda d: packing.pack(d, P.path("byte_bpe_50k.json")), lambda d: bpe.encode(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), substrings.repeats, minhash.link, pii.find, licenses.detect, quality.judge])
+def test_operators_take_null_texts_and_ids_themselves(spark, operator):
+    df = spark.createDataFrame([(1, None, "x"), (2, "a b", None), (None, None, None), (None, "a b", "y"), (2, "a b", None)], "doc_id int, text string, label string")
+    got = operator(df)
+    assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 2, 2, None, None] and got.schema["doc_id"].dataType.simpleString() in ("bigint", "int")
+
+
 def test_pipeline_stages_take_effect(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import pack_words, squeeze, squeezed_blocks, unpack_words, unsqueeze, unsqueezed
+from .common import pack_words, squeeze, squeezed_blocks, texts, unpack_words, unsqueeze, unsqueezed
 
 #: Characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,7 +74,7 @@ def buckets_of(words: list[bytes], n: int) -> np.ndarray:
 def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = 12 << 20) -> DataFrame:
     """Token ids of every text of ``docs`` (doc_id, text): a row with ``ids`` for each document, and the digests of the ids
     and of what they decode to."""
-    blocks, n = squeezed_blocks(docs, block_bytes)
+    blocks, n = squeezed_blocks(texts(docs), block_bytes)
     kind = "<u4"  # of ids while they travel; compression takes what isn't needed
 
     def request(rows: pd.DataFrame) -> pd.DataFrame:

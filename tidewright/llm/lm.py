@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import in_blocks
+from .common import in_blocks, texts
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -96,7 +96,7 @@ class Automaton:
 
 def score(docs: DataFrame, order: int = 2, weight: float = 0.3, block_bytes: int = 12 << 20) -> DataFrame:
     """A row for each of ``docs`` (doc_id, text), see OUT; ``order`` is the longest n-gram."""
-    blocks, n = in_blocks(docs, block_bytes)
+    blocks, n = in_blocks(texts(docs), block_bytes)
 
     def ordered(rows: pd.DataFrame) -> tuple[list, Block, np.ndarray]:
         rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")

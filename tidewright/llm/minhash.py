@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import materialize
+from .common import materialize, texts
 
 COORDINATES, ROWS = 130, 5
 #: Coordinates of the finer sketches, made only of documents that are still apart from a member of their bucket.
@@ -127,24 +127,42 @@ def prints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc long, print binary")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): each node and the smallest node it reaches, as (node, component).
-    Labels go to neighbours and then jump to their label's label; both steps are joins and grouped minima."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("a", "b"), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
-    for _ in range(rounds):
-        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        near = labels.join(seen, labels.node == seen.a, "left").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        after = near.join(up, "component", "left").select("node", "was", F.least("component", "up").alias("component"))
-        after = materialize(after, "labels")
-        labels = after.select("node", "component")
-        if after.filter("was != component").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+
+    Large stars and small stars take turns until the edges are a forest of stars whose centres are their smallest nodes.
+    A large star ties each larger neighbour of a node to the smallest node of its neighbourhood, a small star does so with
+    the node and its smaller neighbours. Both keep components; a longest path shrinks to a fraction in each turn, so the
+    number of turns grows with a power of the logarithm of the number of nodes and no cap is set. Edges of a node to itself
+    and repeated edges count for nothing, except that the node is listed; an empty table has no components."""
+    alone = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node")))
+    stars = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    while True:
+        stars = materialize(_small_star(_large_star(stars)), "stars")
+        spread = stars.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+        if spread.filter("low < high").isEmpty() and stars.join(stars.select(F.col("a").alias("b")).hint("merge"), "b", "left_semi").isEmpty():
+            break
+    tied = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    centres = alone.distinct().join(tied.select("node").hint("merge"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    return materialize(tied.union(centres), "labels")
+
+
+def _large_star(stars: DataFrame) -> DataFrame:
+    """``stars`` (a > b) with each node's larger neighbours tied to the smallest of the node and its neighbours. The minima
+    are combined before they are shuffled and joined back, so a node with very many edges makes no group."""
+    least = stars.groupBy("a").agg(F.min("b").alias("least")).withColumnRenamed("a", "b")
+    tied = stars.join(least.hint("merge"), "b", "left").select("a", F.coalesce("least", "b").alias("b"))
+    return tied.distinct()
+
+
+def _small_star(stars: DataFrame) -> DataFrame:
+    """``stars`` (a > b) with each node and its smaller neighbours tied to the smallest of them."""
+    least = stars.groupBy("a").agg(F.min("b").alias("least"))
+    near = stars.join(least.hint("merge"), "a").filter("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return near.union(least.select("a", F.col("least").alias("b"))).distinct()
+
+
+def _verify(pairs: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets overlap enough. Rows arrive ordered by b, whose set is made once for many."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,8 +186,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     keep.append((a, b))
             yield pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInPandas(run, "a long, b long").distinct()
 
 
@@ -217,6 +235,7 @@ def _candidates(rest: DataFrame, percent: int, most: int | None, lots: int, bloc
 
 def link(docs: DataFrame, percent: int = 85, likeliest: int = 4) -> DataFrame:
     """A row for each of ``docs`` (doc_id, text): n_shingles, component_id and kept."""
+    docs = texts(docs)
     sk = materialize(sketches(docs), "sketches")
     classes = materialize(
         sk.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key", "bands").agg(F.min("doc_id").alias("doc")), "classes"
@@ -257,6 +276,5 @@ def link(docs: DataFrame, percent: int = 85, likeliest: int = 4) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs``, all columns, with one document of each group of near-duplicates, that with the smallest doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    gone = link(rows, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = link(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")

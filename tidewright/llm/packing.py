@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CHUNK, Memo
-from .common import materialize
+from .common import materialize, texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -226,7 +226,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
-    made = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("salt")).mapInPandas(
+    made = texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("salt")).mapInPandas(
         tokenize, "key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     )
     pieces = materialize(made, "pieces")

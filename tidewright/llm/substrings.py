@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import SPACE_RUN, in_blocks, let, pack_words, unpack_words
+from .common import SPACE_RUN, in_blocks, let, pack_words, texts, unpack_words
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -219,7 +219,7 @@ def earliest(contents: list[bytes], docs: np.ndarray, window: int) -> list[np.nd
 def repeats(docs: DataFrame, window: int = 50, gram: int = 16, hot: int = 20_000, block_bytes: int = 12 << 20) -> DataFrame:
     """For each of ``docs`` (doc_id, text), its words and the half-open word intervals that an earlier document has:
     doc_id, n_words, starts, ends and the kept words' digest."""
-    blocks, n = in_blocks(docs, block_bytes)
+    blocks, n = in_blocks(texts(docs), block_bytes)
     cell = "bucket int, block int, kind int, a binary, b binary, c binary"
 
     def ask_anchors(rows: pd.DataFrame) -> pd.DataFrame:
@@ -374,8 +374,7 @@ def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     name = "_repeated"
     while name in docs.columns:
         name += "_"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = repeats(rows, **options).filter("n_removed > 0")
+    found = repeats(docs, **options).filter("n_removed > 0")
     found = found.select(F.col("doc_id").alias(name), F.arrays_zip("starts", "ends").alias(name + "s")).dropDuplicates([name])
     joined = docs.join(found.hint("merge"), docs["doc_id"] == found[name], "left")
     words = F.array_remove(F.split("text", SPACE_RUN), "")
