@@ -3,7 +3,8 @@
 Documents are dealt into blocks. Each block explodes its texts into pre-tokens with positions and sends its distinct
 ones to the bucket of their hash, a packed row for each bucket. A bucket meets a pre-token once from each block at most,
 encodes it once and answers each block in the order of its request. The block puts the ids at the pre-tokens' positions.
-So no pre-token, however frequent, makes a large group, and texts move once.
+So no pre-token, however frequent, makes a large group, and texts move once. Decoding joins each document's ids with the
+token-byte table, whose size is that of the vocabulary.
 
 A null or empty text has no ids. Rows that repeat are encoded one by one. Very long texts count towards a block's size.
 """
@@ -48,6 +49,31 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ranks
 
 
+class TokenBytes:
+    """The token-byte table: a row for each id, laid end to end, with where each begins and how long it is."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        n = max(ranks.values(), default=-1) + 1
+        rows = [b""] * n
+        for word, i in ranks.items():
+            rows[i] = word
+        self.length = np.fromiter(map(len, rows), "i8", n)
+        self.start = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(rows), "u1")
+
+    def join(self, ids: np.ndarray) -> bytes:
+        """The rows of ``ids``, in order, put together."""
+        length = self.length[ids]
+        end = np.cumsum(length)
+        total = int(end[-1]) if len(end) else 0
+        return self.bytes[np.repeat(self.start[ids] - (end - length), length) + np.arange(total)].tobytes()
+
+
+@cache
+def token_bytes(path: str, pattern: str) -> TokenBytes:
+    return TokenBytes(encoding(path, pattern)[1])
+
+
 class Block:
     """The distinct pre-tokens of some texts, in order of first appearance, and each text as their numbers."""
 
@@ -95,7 +121,7 @@ def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = 12 << 20
         return pd.DataFrame(out, columns=["block", "bucket", "ids"])
 
     def assemble(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        table = {i: w for w, i in encoding(path, pattern)[1].items()}
+        table = token_bytes(path, pattern)
         docs_ = unsqueezed(rows["rows"])
         block = Block([t for _, t in docs_], pattern)
         given = {int(b): iter(unpack_words(unsqueeze(x))) for b, x in zip(answers["bucket"], answers["ids"], strict=True)}
@@ -103,18 +129,16 @@ def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = 12 << 20
         ids = [np.frombuffer(next(given[b]), kind) for b in buckets_of(words, n).tolist()]
         lengths = np.fromiter(map(len, ids), "i8", len(ids))
         said = [" ".join(map(str, x.tolist())).encode() for x in ids]
-        decoded = [b"".join([table[i] for i in x.tolist()]) for x in ids]
         flat, starts = (np.concatenate(ids) if ids else np.zeros(0, kind)), np.cumsum(lengths) - lengths
         out = []
         for (doc, _), at in zip(docs_, block.texts, strict=True):
             each = lengths[at]
             total = int(each.sum())
             place = np.repeat(starts[at] - (np.cumsum(each) - each), each) + np.arange(total)
-            order = at.tolist()
+            whole = flat[place]
             out.append((
-                doc, total, flat[place].astype("<u4").tobytes(),
-                hashlib.sha256(b" ".join(map(said.__getitem__, order))).hexdigest(),
-                hashlib.sha256(b"".join(map(decoded.__getitem__, order))).hexdigest(),
+                doc, total, whole.astype("<u4").tobytes(),
+                hashlib.sha256(b" ".join(map(said.__getitem__, at.tolist()))).hexdigest(), hashlib.sha256(table.join(whole)).hexdigest(),
             ))
         frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
         frame["doc_id"] = pd.array([d for d, _ in docs_], dtype="Int64")
@@ -131,11 +155,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """The bytes of each row's ``ids``, by the token-byte table."""
 
     def run(batches):
-        table = {i: w for w, i in encoding(path, pattern)[1].items()}
+        table = token_bytes(path, pattern)
         for b in batches:
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"),
-                "decoded": [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b["ids"]],
-            })
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "decoded": [table.join(np.frombuffer(x, "<u4")) for x in b["ids"]]})
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, decoded binary")
