@@ -9,6 +9,7 @@ from tidewright.functions import indicators as ind
 from tidewright.functions import signals as sg
 from tidewright.operators import candles as cd
 from tidewright.operators import governance as gv
+from tidewright.operators import machines as mc
 from tidewright.operators import patterns as pt
 from tidewright.operators import point_process as pp
 from tidewright.operators import runs as rn
@@ -127,8 +128,10 @@ def test_ladder_allowed_moves_and_fingerprints(spark):
     rows = spark.createDataFrame([(1, 0.2, 5), (2, 0.01, 1), (3, 0.01, 9)], "k int, p double, n int")
     got = gv.verdict_ladder(rows, [("insignificant", F.col("p") > 0.05), ("too few", F.col("n") < 5)], "passed").orderBy("k").toPandas()
     assert got["verdict"].tolist() == ["insignificant", "too few", "passed"]
-    moves = spark.createDataFrame([("Draft", "Submitted"), ("Draft", "Active")], "a string, b string")
-    assert [r.allowed for r in gv.allowed(spark, moves, "a", "b").orderBy("b").collect()] == [False, True]
+    moves = [(1, k, to) for k, to in enumerate(["Registration", "Discovery", "FeatureGeneration", "Discovery", "Discovery", "Replication", "Lockbox"])] + [(2, 0, "Discovery"), (2, 1, "Registration"), (None, 0, "Registration")]
+    got = mc.lifecycle(spark.createDataFrame(moves, "h int, k int, to string"), "h", "k", "to", F.col("k") == 4).orderBy("h", "k").toPandas()
+    assert got["valid"].tolist() == [True, True, False, True, True, True, True, True, False, True]
+    assert got[got["h"] == 1]["seq"].tolist()[:3] != [0, 1, 2] and got[got["h"] == 1]["from"].tolist()[1:4] == ["Registration", "Registration", "FeatureGeneration"] and got["refused"].tolist()[2] == "transition"
     keys = spark.createDataFrame([({"b": "1", "a": "2"},), ({"a": "2", "b": "1"},)], "m map<string,string>").select(gv.fingerprint(F.col("m")).alias("f"), gv.family_key("fam", F.lit("R_100"), F.col("m")).alias("k"))
     assert keys.distinct().count() == 1 and keys.first().k == "fam:R_100:a=2,b=1"
 

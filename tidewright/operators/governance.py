@@ -8,30 +8,25 @@ from pyspark.sql import functions as F
 from tidewright.functions.windows import over
 from tidewright.sources.shared import stored
 
+from .folds import folded
+
 #: Fixed values of the spending rule.
 START, SHARE, BONUS = 0.025, 0.5, 0.025
 
 
 def wealth(tests: DataFrame, family: str, order: str, p: str, start: float = START, share: float = SHARE, bonus: float = BONUS) -> DataFrame:
     """Online control of false discoveries: each test bids a share of its family's wealth, loses it, and wins the bonus if
-    its p-value is within the bid. A step needs the one before, so a family is folded in order; families are folded
-    apart, and a family's tests are what one laboratory ran, a bounded list."""
-    item = F.struct(F.col(order).alias("k"), F.col(p).alias("p"))
-    rows = tests.groupBy(family).agg(F.sort_array(F.collect_list(item)).alias("tests"))
-    kind = "array<struct<seq:bigint,k:bigint,p:double,alpha_spent:double,rejected:boolean,wealth_before:double,wealth_after:double>>"
-    begin = F.struct(F.lit(start).cast("double").alias("w"), F.array().cast(kind).alias("rows"))
-
-    def step(acc: Column, t: Column) -> Column:
-        bid = acc["w"] * share
-        after = acc["w"] - bid + F.when(t["p"] <= bid, bonus).otherwise(0.0)
-        row = F.struct(
-            F.size(acc["rows"]).cast("long").alias("seq"), t["k"].cast("long").alias("k"), t["p"].alias("p"), bid.alias("alpha_spent"), (t["p"] <= bid).alias("rejected"),
-            acc["w"].alias("wealth_before"), after.alias("wealth_after"),
-        )
-        return F.struct(after.alias("w"), F.concat(acc["rows"], F.array(row)).cast(kind).alias("rows"))
-
-    folded = rows.select(family, F.explode(F.aggregate("tests", begin, step, lambda a: a["rows"])).alias("r"))
-    return folded.select(family, "r.seq", F.col("r.k").alias(order), F.col("r.p").alias(p), "r.alpha_spent", "r.rejected", "r.wealth_before", "r.wealth_after")
+    its p-value is within the bid. A step needs the one before, so a family is folded in order; a null p-value wins nothing."""
+    def step(state, value):
+        w, seq = state or (start, 0)
+        bid = w * share
+        won = None if value is None else value <= bid
+        after = w - bid + (bonus if won else 0.0)
+        return (after, seq + 1), (seq, bid, won, w, after)
+
+    rows = tests.select(family, F.col(order).cast("long").alias(order), F.col(p).cast("double").alias(p))
+    out = folded(rows, family, order, [p], "seq long, alpha_spent double, rejected boolean, wealth_before double, wealth_after double", step)
+    return out.select(family, "seq", order, p, "alpha_spent", "rejected", "wealth_before", "wealth_after")
 
 
 def latest(ledger: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -72,30 +67,6 @@ def verdict_ladder(rows: DataFrame, checks: list[tuple[str, Column]], passed: st
     return rows.withColumn("verdict", ladder.otherwise(passed))
 
 
-#: The order of a hypothesis's stages and the allowed moves of its publication.
-STAGES = ("proposed", "registered", "screened", "tested", "supported", "replicated", "published", "retired")
-MOVES = {
-    "Draft": ("Submitted", "Withdrawn"), "Submitted": ("Supported", "Rejected", "Indeterminate"), "Supported": ("Replicated", "Contested", "Retracted"),
-    "Indeterminate": ("Submitted", "Archived"), "Replicated": ("Active", "Contested"), "Active": ("Contested", "Superseded", "Deprecated"),
-    "Contested": ("Active", "Retracted"), "Rejected": ("Archived",), "Superseded": ("Archived",), "Deprecated": ("Archived",),
-}
-
-
-def transitions(moves: DataFrame, key: str, order: str, to: str) -> DataFrame:
-    """Moves along STAGES in order: each must lead to the stage after the last one reached. A move is valid if its stage
-    is one more than the number of valid moves before it; as stages only rise, that is the running count of first
-    arrivals in order."""
-    w = Window.partitionBy(key).orderBy(order)
-    number = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col(to)).cast("int") - 1
-    return moves.withColumn("stage_number", number).withColumn("from", F.lag(to).over(w)).withColumn("valid", F.col("stage_number") == F.coalesce(F.lag("stage_number").over(w), F.lit(-1)) + 1)
-
-
-def allowed(spark, moves: DataFrame, source: str, target: str) -> DataFrame:
-    """``moves`` with whether the publication table allows each: a join with its edges, a fixed list."""
-    edges = spark.createDataFrame([(a, b) for a, bs in MOVES.items() for b in bs], f"{source} string, {target} string").withColumn("_ok", F.lit(True))
-    return moves.join(F.broadcast(edges), [source, target], "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_ok")
-
-
 def prior_access(accesses: DataFrame, registrations: DataFrame, disclosed: DataFrame) -> DataFrame:
     """Accesses to a hypothesis's holdout range before it was registered that nobody disclosed."""
     a, r = accesses.alias("a"), registrations.alias("r")

@@ -1,7 +1,7 @@
 """The registered queries and the SQL that each is held against."""
 
-from . import analytics, live, patterns, search, signals, streams
+from . import analytics, lab, live, patterns, search, signals, streams
 
-GROUPS = (streams, signals, patterns, analytics, live, search)
+GROUPS = (streams, signals, patterns, analytics, live, search, lab)
 QUERIES = {name: f for g in GROUPS for name, f in g.QUERIES.items()}
 ORACLES = {name: sql for g in GROUPS for name, sql in g.ORACLES.items()}

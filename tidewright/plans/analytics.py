@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.windows import rounded
 from tidewright.operators import governance as gv
+from tidewright.operators import machines as mc
 from tidewright.operators import runs as rn
 from tidewright.operators import snapshots as sn
 from tidewright.operators import statistics as st
@@ -160,26 +161,20 @@ def drift_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gv.hysteresis(e, "stream", "k", "raw", 3)
 
 
-_STAGE = "['" + "', '".join(gv.STAGES) + "']"
+_STAGE = "['" + "', '".join(mc.LIFECYCLE) + "']"
 
 
 def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stages = F.array(*[F.lit(s) for s in gv.STAGES])
+    stages = F.array(*[F.lit(s) for s in mc.LIFECYCLE])
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("hypothesis"), F.col("o_orderkey").alias("seq"), F.get(stages, (F.col("o_orderkey") % 8).cast("int")).alias("to"))
 
 
-@query(f"""with o as (select o_custkey as hypothesis, o_orderkey as seq, {_STAGE}[o_orderkey % 8 + 1] as "to", (o_orderkey % 8)::int as stage_number from orders)
-select hypothesis, seq, "to", stage_number, lag("to") over w as "from", stage_number = coalesce(lag(stage_number) over w, -1) + 1 as valid from o window w as (partition by hypothesis order by seq)""")
-def lifecycle_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gv.transitions(_moves(spark, sf_dir), "hypothesis", "seq", "to")
-
-
 @query(f"""with o as (select c_mktsegment as family, o_custkey as h, o_orderkey as seq, {_STAGE}[o_orderkey % 8 + 1] as t from orders join customer on c_custkey = o_custkey),
-e as (select family, h, max((t = 'replicated')::int) as ever, arg_max(t, seq) as now from o group by 1, 2)
-select family, count(*) as hypotheses, round(avg(ever), 6) as discovery_yield, round(avg((now = 'replicated')::int), 6) as survival_rate from e group by 1""")
+e as (select family, h, max((t = 'Replication')::int) as ever, arg_max(t, seq) as now from o group by 1, 2)
+select family, count(*) as hypotheses, round(avg(ever), 6) as discovery_yield, round(avg((now = 'Replication')::int), 6) as survival_rate from e group by 1""")
 def discovery_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hypothesis"), F.col("c_mktsegment").alias("family"))
-    return rounded(gv.yields(_moves(spark, sf_dir).join(families, "hypothesis"), "family", "hypothesis", "to", "replicated", "seq"))
+    return rounded(gv.yields(_moves(spark, sf_dir).join(families, "hypothesis"), "family", "hypothesis", "to", "Replication", "seq"))
 
 
 G = """ed as (select 'uses' as edge_type, 'P' || l_partkey as f, 'S' || l_suppkey as t, l_orderkey * 10 + l_linenumber as seq from lineitem
