@@ -201,13 +201,13 @@ def smooth(p: np.ndarray, first: bool, n: int = 14) -> dict[str, np.ndarray]:
 RECURSIVE = ("ema", "ema_slope", "macd", "rsi", "adx", "atr", "keltner_width")
 
 
-def recursive(ticks: DataFrame, size: int | None = None) -> DataFrame:
-    """``ticks`` (symbol, i, price) with the recursively smoothed indicators."""
+def recursive(ticks: DataFrame, size: int | None = None, period: int = 14) -> DataFrame:
+    """``ticks`` (symbol, i, price) with the recursively smoothed indicators; the halo is long enough for periods up to 60."""
     rows = chunked(ticks.select("symbol", "i", "price"), LONG_HALO, **({"size": size} if size else {}))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")
-        for name, values in smooth(part["price"].to_numpy(), bool(part["i"].iat[0] == 0)).items():
+        for name, values in smooth(part["price"].to_numpy(), bool(part["i"].iat[0] == 0), period).items():
             part[name] = pd.array(values, dtype="Float64")
             part.loc[np.isnan(values), name] = pd.NA
         return part[part["own"]][["symbol", "i", "price", *RECURSIVE]]
@@ -216,15 +216,16 @@ def recursive(ticks: DataFrame, size: int | None = None) -> DataFrame:
     return rows.groupBy("symbol", "chunk").applyInPandas(run, fields)
 
 
-def run_lengths(ticks: DataFrame) -> DataFrame:
+def run_lengths(ticks: DataFrame, size: int | None = None) -> DataFrame:
     """``ticks`` with d, its sign and run_length, the number of moves in a row with one sign; a flat move is 1.
 
     Runs have no bounded length: a run begins where the sign changes, and a move's place in its run is its distance from
-    the latest beginning."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("symbol").orderBy("i")
-    rows = ticks.withColumn("d", F.col("price") - F.lag("price").over(w)).withColumn("sign", F.signum("d").cast("int"))
-    begins = F.when(F.col("sign").isNotNull() & ((F.col("sign") == 0) | ~F.col("sign").eqNullSafe(F.lag("sign").over(w))), F.col("i"))
-    rows = rows.withColumn("run_start", F.last(begins, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    the latest beginning, which is carried over chunks."""
+    from .scans import carried
+
+    size = {"size": size} if size else {}
+    rows = chunked(ticks, 2, **size).withColumn("d", F.col("price") - F.lag("price").over(stream())).withColumn("sign", F.signum("d").cast("int"))
+    begins = F.when(F.col("sign").isNotNull() & ((F.col("sign") == 0) | ~F.col("sign").eqNullSafe(F.lag("sign").over(stream()))), F.col("i"))
+    rows = own(rows.withColumn("_begins", begins))
+    rows = carried(rows, F.col("_begins"), "run_start", **size).drop("_begins")
     return rows.withColumn("run_length", F.when(F.col("sign").isNotNull(), F.col("i") - F.col("run_start") + 1))

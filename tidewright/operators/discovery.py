@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.indicators import RECURSIVE, WINDOWED
 from tidewright.functions.signals import PROXIES, STATES
+from tidewright.functions.scans import numbered
 from tidewright.functions.windows import over
 
 
@@ -53,7 +54,7 @@ def thompson(arms: DataFrame, arm: str, successes: str, failures: str, seed: int
             yield b
 
     fields = ", ".join(f"`{n}` {t}" for n, t in arms.dtypes) + ", draw double"
-    return arms.mapInPandas(draw, fields).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("draw"), arm)))
+    return numbered(arms.mapInPandas(draw, fields), [F.desc("draw"), arm])
 
 
 def surrogate(seen: DataFrame, grid: DataFrame, x: str, y: str) -> DataFrame:
@@ -87,7 +88,7 @@ def novel(rows: DataFrame, features: list[str], known: DataFrame, k: int = 5, fa
 def prioritized(rounds: DataFrame) -> DataFrame:
     """Families by what they yielded: those without a rate of elimination first, then the lower ones."""
     each = rounds.groupBy("family").agg(F.sum("evaluated").alias("pulls"), F.sum("promoted").alias("reward"), (1 - over(F.sum("promoted").cast("double"), F.sum("evaluated").cast("double"))).alias("elimination_rate"))
-    return each.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_first("elimination_rate"), "family")))
+    return numbered(each, [F.asc_nulls_first("elimination_rate"), "family"])
 
 
 def trials(spark: SparkSession, n: int, effect: float = 0.0, size: int = 60, seed: int = 42, alpha: float = 0.05, shuffles: int = 99) -> DataFrame:

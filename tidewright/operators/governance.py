@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.scans import numbered
 from tidewright.functions.windows import over
 from tidewright.sources.shared import stored
 
@@ -127,22 +130,19 @@ def ucb(arms: DataFrame, arm: str, pulls: str, reward: str) -> DataFrame:
     mean = over(F.col(reward).cast("double"), F.col(pulls).cast("double"))
     rows = arms.join(F.broadcast(total))
     score = F.when(F.col(pulls) == 0, F.lit(float("inf"))).otherwise(mean + F.sqrt(F.lit(2.0)) * F.sqrt(F.log("_all") / F.nullif(F.col(pulls), F.lit(0))))
-    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), arm))).drop("_all")
+    return numbered(rows.withColumn("score", score).drop("_all"), [F.desc("score"), arm])
 
 
 def screened(candidates: DataFrame, score: str, key: str, share: float) -> DataFrame:
     """The best ``share`` of candidates, one at least."""
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.desc(score), key))
-    return candidates.withColumn("rank", rank).withColumn("_n", n).filter(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * share))).drop("_n")
+    return numbered(candidates, [F.desc(score), key]).filter(F.col("rank") <= max(1, math.ceil(candidates.count() * share)))
 
 
 def binarized(rows: DataFrame, value: str, order: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Each value against thresholds that are the values at exact places in sorted order."""
-    w = Window.orderBy(value, *order)
     n = rows.count()
     at = {s: max(0, int(s * n) - 1) for s in shares}
-    placed = rows.select(value, (F.row_number().over(w) - 1).alias("_k")).filter(F.col("_k").isin(*at.values()))
+    placed = numbered(rows.select(value, *order), [value, *order], "_k").withColumn("_k", F.col("_k") - 1).filter(F.col("_k").isin(*at.values()))
     cuts = placed.agg(*[F.max(F.when(F.col("_k") == k, F.col(value))).alias(f"cut_{round(100 * s)}") for s, k in at.items()])
     out = rows.join(F.broadcast(cuts))
     return out.withColumns({f"{side}_{round(100 * s)}": (F.col(value) >= F.col(f"cut_{round(100 * s)}") if side == "above" else F.col(value) < F.col(f"cut_{round(100 * s)}")).cast("int") for s in shares for side in ("above", "below")})

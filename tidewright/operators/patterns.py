@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.scans import carried
 from tidewright.functions.windows import js_round, over
 
 def by_candle():
@@ -102,9 +103,10 @@ def with_structure(candles: DataFrame, lookback: int = 2, causal: bool = False)
     )
     if causal:
         by = by.withColumn("c", F.col("c") + lookback)
-    past = by_candle().rowsBetween(Window.unboundedPreceding, 0 if causal else -1)
     rows = candles.join(by, ["symbol", "c"], "left")
-    return rows.withColumns({n: F.last(x, ignorenulls=True).over(past) for n, x in (("last_high", "swing_high"), ("last_low", "swing_low"), ("trend", "swing_trend"))})
+    for n, x in (("last_high", "swing_high"), ("last_low", "swing_low"), ("trend", "swing_trend")):
+        rows = carried(rows, F.col(x), n, "c", inclusive=causal)
+    return rows
 
 
 def structure(candles: DataFrame, lookback: int = 2, causal: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.indicators import run_lengths
+from tidewright.functions.scans import counted
+from tidewright.functions.windows import chunked, own, stream
 from tidewright.sources.ticks import epoch
 
 MS = 1000
@@ -17,17 +19,15 @@ def millis(ts: str = "ts"):
 
 def sessions(ticks: DataFrame, gap_ms: int = 30_000) -> DataFrame:
     """``ticks`` with the number of their session, from 0; a gap of more than ``gap_ms`` begins one."""
-    w = Window.partitionBy("symbol").orderBy("i")
-    apart = millis() - F.lag(millis()).over(w) > gap_ms
-    return ticks.withColumn("session", F.sum(F.when(apart, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    rows = chunked(ticks, 1).withColumn("_apart", millis() - F.lag(millis()).over(stream()) > gap_ms)
+    return counted(own(rows), F.col("_apart"), "session").drop("_apart")
 
 
 def runs(ticks: DataFrame, length: int = 5) -> DataFrame:
     """An event at each ``length``-th move in a row with one sign; counting starts anew after an event, and a run starts
     at the tick before its first move."""
-    rows = run_lengths(ticks)
-    w = Window.partitionBy("symbol").orderBy("i")
-    rows = rows.withColumn("start_epoch", F.lag(epoch("ts"), length).over(w))
+    rows = chunked(run_lengths(ticks), length)
+    rows = own(rows.withColumn("start_epoch", F.lag(epoch("ts"), length).over(stream())))
     at = rows.filter((F.col("sign") != 0) & (F.col("run_length") % length == 0))
     return at.select(
         F.concat_ws("::", "symbol", F.col("sign").cast("string"), F.col("start_epoch").cast("string")).alias("event_key"),

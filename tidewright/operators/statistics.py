@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.scans import least_after, numbered, running
 from tidewright.functions.windows import over
 
 
@@ -63,17 +64,16 @@ def ranked(values: DataFrame, key: str) -> DataFrame:
     rows = mutual_information(values).join(split_gain(values, key), "feature").join(linear_effect(values), "feature")
     score = (F.col("mutual_information") + 2 * F.col("split_gain") + F.col("linear_effect")) / 4
     rows = rows.withColumn("composite", score)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite"), "feature")))
+    return numbered(rows, [F.desc("composite"), "feature"])
 
 
 def kolmogorov_smirnov(rows: DataFrame, side: Column, value: str, keys: list[str]) -> DataFrame:
     """The two-sample statistic of ``value`` between rows where ``side`` holds and others, for each of ``keys``, and the
     asymptotic p-value. Equal values count together."""
     counts = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    upto, whole = Window.partitionBy(*keys).orderBy("v"), Window.partitionBy(*keys)
-    share = lambda x: F.sum(x).over(upto) / F.nullif(F.sum(x).over(whole), F.lit(0))
-    gaps = counts.withColumn("gap", F.abs(share("a") - share("b")))
-    out = gaps.groupBy(*keys).agg(F.max("gap").alias("statistic"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    sums = running(counts, keys, ["v"], {"upto_a": F.col("a"), "upto_b": F.col("b")}).join(counts.groupBy(*keys).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")), keys)
+    share = lambda x: F.col(f"upto_{x}") / F.nullif(F.col(f"n_{x}"), F.lit(0))
+    out = sums.groupBy(*keys).agg(F.max(F.abs(share("a") - share("b"))).alias("statistic"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     root = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
     return out.withColumn("p_value", ks_p((root + 0.12 + 0.11 / root) * F.col("statistic")))
 
@@ -89,19 +89,16 @@ def ks_p(x: Column) -> Column:
 
 def benjamini_hochberg(tests: DataFrame, key: str, p: str, alpha: float = 0.05) -> DataFrame:
     """Adjusted p-values and whether they are rejected."""
-    w = Window.orderBy(p, key)
-    rows = tests.withColumn("rank", F.row_number().over(w)).withColumn("m", F.count("*").over(Window.partitionBy()))
-    raw = F.col(p) * F.col("m") / F.col("rank")
-    rows = rows.withColumn("adjusted_p", F.least(F.min(raw).over(Window.orderBy(F.desc("rank"))), F.lit(1.0)))
-    return rows.withColumn("rejected", F.col("adjusted_p") <= alpha).drop("m")
+    rows = least_after(numbered(tests, [p, key]), ["rank"], F.col(p) * F.lit(tests.count()) / F.col("rank"), "adjusted_p")
+    rows = rows.withColumn("adjusted_p", F.least("adjusted_p", F.lit(1.0)))
+    return rows.withColumn("rejected", F.col("adjusted_p") <= alpha)
 
 
 def rank_biserial(values: DataFrame) -> DataFrame:
     """2U / (n1 n2) - 1 of each feature between labels 1 and 0, ties sharing their ranks: a value's pairs with smaller ones
     count whole, with equal ones half."""
     counts = values.groupBy("feature", "value").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("u", F.col("a") * (below + F.col("b") / 2))
+    counts = running(counts, ["feature"], ["value"], {"upto": F.col("b")}).withColumn("u", F.col("a") * (F.col("upto") - F.col("b") / 2))
     out = counts.groupBy("feature").agg(F.sum("u").alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n0"))
     return out.withColumn("r", over(2 * F.col("u"), (F.col("n1") * F.col("n0")).cast("double")) - 1)
 
