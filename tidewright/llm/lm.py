@@ -138,7 +138,8 @@ class Grams:
     """The distinct n-grams of one length in a block: keys in order, which one ends at each token, its training count here."""
 
     def __init__(self, hashes: np.ndarray, trains: np.ndarray, n: int):
-        self.keys, self.at = np.unique(hashes, return_inverse=True)
+        self.keys, at = np.unique(hashes, return_inverse=True)
+        self.at = at.astype("i4")  # a block has fewer tokens than that holds
         self.seen = np.bincount(self.at[trains], minlength=len(self.keys))
         # keys in order are buckets in order, as a bucket is a range of keys
         self.bucket = (((self.keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype("i8")
@@ -152,7 +153,7 @@ class Grams:
         return [(int(self.bucket[p[0]]), p) for p in np.split(which, cuts)]
 
 
-def score(docs: DataFrame, order: int = 3, weight: float = 0.3, block_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, weight: float = 0.3, block_bytes: int = 9 << 20) -> DataFrame:
     """A row for each of ``docs`` (doc_id, text), see OUT; ``order`` is the longest n-gram, 2 at least."""
     blocks, n = squeezed_blocks(texts(docs), block_bytes)
 
@@ -198,10 +199,8 @@ def score(docs: DataFrame, order: int = 3, weight: float = 0.3, block_bytes: int
             out[p] = unpack_counts(unsqueeze(data)) if column == "total" else np.unpackbits(np.frombuffer(data, "u1"), count=len(p))
         return out
 
-    def open_grams(block: Block, trains: np.ndarray, answers: pd.DataFrame):
+    def open_grams(hashes: list[np.ndarray], pairs: Grams, trains: np.ndarray, answers: pd.DataFrame):
         """The n-grams of three words and more, each with which keys are asked for: all pairs in them are shared."""
-        hashes = block.grams(order)
-        pairs = Grams(hashes[1], trains, n)
         shared = said(answers, 1, "shared", pairs, np.ones(len(pairs.keys), bool)).astype(bool)[pairs.at]
         whole = shared
         for k in range(2, order):
@@ -214,18 +213,21 @@ def score(docs: DataFrame, order: int = 3, weight: float = 0.3, block_bytes: int
     def ask_long(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         number = int(rows["block"].iat[0])
         _, block, _, trains = ordered(rows)
-        cells = [c for k, grams, wanted in open_grams(block, trains, answers) for c in ask(number, k, grams, wanted)]
+        hashes = block.grams(order)
+        found = open_grams(hashes, Grams(hashes[1], trains, n), trains, answers)
+        cells = [c for k, grams, wanted in found for c in ask(number, k, grams, wanted)]
         return pd.DataFrame(cells, columns=["bucket", "block", "k", "keys", "seen"])
 
     def finish(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         ids, block, out, trains = ordered(rows)
         n_train, n_known = int(answers["all_tokens"].iat[0]), int(answers["all_known"].iat[0])
-        counts = []
-        for k, hashes in enumerate(block.grams(2)):
-            grams = Grams(hashes, trains, n)
+        counts, hashes = [], block.grams(order)
+        for k in range(2):
+            grams = Grams(hashes[k], trains, n)
             counts.append((grams.at, said(answers, k, "total", grams, np.ones(len(grams.keys), bool))))
-        for k, grams, wanted in open_grams(block, trains, answers):
+        for k, grams, wanted in open_grams(hashes, grams, trains, answers):
             counts.append((grams.at, np.where(wanted, said(answers, k, "total", grams, wanted), grams.seen)))
+        del hashes, grams
         at, total = counts[0]
         seen = total[at]
         base = np.log10((seen + 1) / (n_train + n_known + 1))
