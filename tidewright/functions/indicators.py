@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import chunked, last, over, own, stream
+from .windows import CHUNK, chunked, last, over, own, stream
 
 HALO = 64
 #: Rows after which a period-30 exponential average keeps less than 1e-50 of what came before.
@@ -203,7 +203,7 @@ RECURSIVE = ("ema", "ema_slope", "macd", "rsi", "adx", "atr", "keltner_width")
 
 def recursive(ticks: DataFrame, size: int | None = None, period: int = 14) -> DataFrame:
     """``ticks`` (symbol, i, price) with the recursively smoothed indicators; the halo is long enough for periods up to 60."""
-    rows = chunked(ticks.select("symbol", "i", "price"), LONG_HALO, **({"size": size} if size else {}))
+    rows = chunked(ticks.select("symbol", "i", "price"), LONG_HALO, size=size or 5 * CHUNK)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 50_000
+CHUNK = 10_000
 
 
 def chunked(rows: DataFrame, halo: int, after: int = 0, size: int = CHUNK, index: str = "i") -> DataFrame:

@@ -13,16 +13,25 @@ from tidewright.functions.scans import numbered
 from tidewright.functions.windows import over
 
 
+#: The registries' names in their order. What looks ahead is no candidate.
+INDICATORS = (*WINDOWED, *RECURSIVE, "run_length")
+STATE_NAMES = tuple(n for n in STATES if "ahead" not in n)
+PROXY_NAMES = (*PROXIES, "up_cluster", "down_cluster")
+EVENT_NAMES = ("time_gap", "tick_gap", "alternating")
+CONTEXT_NAMES = ("candle_position", "candle_timing", "prior_candle", "market_session", "volatility_state", "trend_state", "compression_state", "expansion_state", "range_state", "momentum_state")
+
+
 def candidates(spark: SparkSession, periods: tuple[int, ...] = (10, 14, 20, 30)) -> DataFrame:
-    """Specifications from the registries: indicators at each period, states, proxies, and composites of neighbours, each
-    with a fingerprint; duplicates go."""
-    registered = [("indicator", n, p) for n in (*WINDOWED, *RECURSIVE) for p in periods] + [("state", n, 20) for n in STATES] + [("proxy", n, 10) for n in PROXIES]
-    rows = spark.createDataFrame(registered, "type string, name string, period int").withColumn("parts", F.array("name"))
-    w = Window.partitionBy("type").orderBy("name", "period")
-    pairs = rows.withColumn("next", F.lead("name").over(w)).filter("type != 'indicator' and next is not null")
-    pairs = pairs.select(F.lit("composite").alias("type"), F.concat_ws("+", "name", "next").alias("name"), "period", F.array("name", "next").alias("parts"))
-    rows = rows.unionByName(pairs)
-    return rows.withColumn("fingerprint", F.sha2(F.to_json(F.struct("name", "parts", "period", "type")), 256)).dropDuplicates(["fingerprint"])
+    """Specifications from the registries: indicators at each period, states, proxies, features of events, composites of
+    neighbours of one kind in the registry's order, and states and proxies each under one context, these taken round and
+    round. Each has a fingerprint; duplicates go."""
+    rows = [("indicator", n, p, [n], None) for n in INDICATORS for p in periods]
+    plain = [("state", n, 20) for n in STATE_NAMES] + [("proxy", n, 10) for n in PROXY_NAMES]
+    rows += [(*r, [r[1]], None) for r in plain] + [("event", n, None, [n], None) for n in EVENT_NAMES]
+    rows += [("composite", f"{a[1]}+{b[1]}", a[2], [a[1], b[1]], None) for a, b in zip(plain, plain[1:]) if a[0] == b[0]]
+    rows += [("conditional", f"{n}|{c}", p, [n], c) for k, (_, n, p) in enumerate(plain) for c in [CONTEXT_NAMES[k % len(CONTEXT_NAMES)]]]
+    made = spark.createDataFrame(rows, "type string, name string, period int, parts array<string>, context string")
+    return made.withColumn("fingerprint", F.sha2(F.to_json(F.struct("name", "parts", "period", "type")), 256)).dropDuplicates(["fingerprint"])
 
 
 def combined(kind: str, parts: list[Column], weights: list[float] | None = None) -> Column:

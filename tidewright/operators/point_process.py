@@ -92,7 +92,7 @@ def exponential_likelihood(gaps: np.ndarray) -> float:
     return float(-len(gaps) * math.log(gaps.mean()) - len(gaps))
 
 
-def hidden_likelihood(gaps: np.ndarray, steps: int = 30) -> float:
+def hidden_likelihood(gaps: np.ndarray, steps: int = 60) -> float:
     """The log-likelihood of two hidden states with exponential gaps after scaled expectation-maximization."""
     rates = np.array([0.5, 2.0]) / gaps.mean()
     move, start, last = np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([0.5, 0.5]), -np.inf
@@ -119,25 +119,32 @@ def hidden_likelihood(gaps: np.ndarray, steps: int = 30) -> float:
     return last
 
 
-def hierarchy(gaps: np.ndarray, rises: np.ndarray, seed: int = 42, times: int = 40) -> dict:
-    """Poisson first; if that fails, whether gaps are independent; if not, what kind of dependence explains them."""
+def hierarchy(gaps: np.ndarray, rises: np.ndarray, seed: int = 42, times: int = 200, alpha: float = 0.05) -> dict:
+    """Poisson first; if that fails, whether gaps are independent; if they are, their spread names the renewal process, if
+    not, what kind of dependence explains them. Stages that aren't reached have no figures."""
     rng = np.random.default_rng(seed)
     n, mean = len(gaps), gaps.mean()
     variation = float(gaps.std() / mean)
     kind = "exponential-like" if abs(variation - 1) <= 0.1 else "under-dispersed" if variation < 1 else "over-dispersed"
     d, p = poisson(gaps, rng)
+    out = dict(n=n, rate=1 / mean, variation=variation, distribution=None, poisson_statistic=d, poisson_p=p, max_autocorrelation=None, independent=None, labels_statistic=None, labels_p=None, hawkes_ratio=None, hawkes_p=None, hmm_ratio=None, hmm_p=None)
+    if p > alpha:
+        return {**out, "verdict": "poisson"}
     r, independent = renewal(gaps)
-    ls, lp = labelled(gaps, rises, rng)
+    out |= {"max_autocorrelation": r, "independent": bool(independent)}
+    if independent:
+        return {**out, "distribution": kind, "verdict": f"renewal, {kind}"}
+    out["labels_statistic"], out["labels_p"] = labelled(gaps, rises, rng)
+    if out["labels_p"] <= alpha:
+        return {**out, "verdict": "semi-markov"}
     flat = exponential_likelihood(gaps)
     sims = [rng.exponential(mean, n) for _ in range(times)]
-    hr = hawkes_fit(np.cumsum(gaps)) - flat
-    hp = float(np.mean([hawkes_fit(np.cumsum(g)) - exponential_likelihood(g) >= hr for g in sims]))
-    mr = hidden_likelihood(gaps) - flat
-    mp = float(np.mean([hidden_likelihood(g) - exponential_likelihood(g) >= mr for g in sims]))
-    verdict = (
-        "poisson" if p > 0.05 else f"renewal, {kind}" if independent else "semi-markov" if lp <= 0.05 else "hawkes" if hp <= 0.05 else "hidden states" if mp <= 0.05 else "unexplained"
-    )
-    return dict(n=n, rate=1 / mean, variation=variation, distribution=kind, poisson_statistic=d, poisson_p=p, max_autocorrelation=r, independent=bool(independent), labels_statistic=ls, labels_p=lp, hawkes_ratio=hr, hawkes_p=hp, hmm_ratio=mr, hmm_p=mp, verdict=verdict)
+    for stage, verdict, ratio in (("hawkes", "hawkes", lambda g: hawkes_fit(np.cumsum(g))), ("hmm", "hidden states", hidden_likelihood)):
+        seen = ratio(gaps) - flat
+        out |= {f"{stage}_ratio": seen, f"{stage}_p": float(np.mean([ratio(g) - exponential_likelihood(g) >= seen for g in sims]))}
+        if out[f"{stage}_p"] <= alpha:
+            return {**out, "verdict": verdict}
+    return {**out, "verdict": "unexplained"}
 
 
 def tests(events: DataFrame, stream: str, order: str, gap: str, rise: str, least: int = 20) -> DataFrame:

@@ -100,6 +100,83 @@ def rules(rows: DataFrame, recent: int = 5) -> DataFrame:
     return rows.filter("candle_count >= 10").select("symbol", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("symbol", "f.*")
 
 
+def biases(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The two ladders from ``rules`` and trend to a bias: ``market`` asks for sure continuations and reversals and falls
+    back on the trend, ``narrative`` takes any continuation and a trend only with pressure behind it."""
+    is_ = lambda *kinds: F.col("type").isin(*kinds)
+    each = found.groupBy("symbol").agg(
+        F.max(F.when(is_("bullishContinuation"), F.col("confidence"))).alias("up"), F.max(F.when(is_("bearishContinuation"), F.col("confidence"))).alias("down"),
+        F.max(F.when(is_("reversal"), F.col("confidence"))).alias("turn"), F.max(F.when(is_("reversal"), F.col("direction"))).alias("turns"), F.max(is_("accumulation", "distribution")).alias("ranges"),
+    )
+    rows = rows.filter("candle_count >= 10").join(each, "symbol", "left")
+    c, turned = F.col, F.when(F.col("turns") == "bullish", "Bullish").otherwise("Bearish")
+    market = (
+        F.when(c("up") > 60, "Bullish").when(c("down") > 60, "Bearish").when(c("turn") > 65, turned).when(c("ranges"), "Ranging")
+        .when(c("trend") == "up", "Bullish").when(c("trend") == "down", "Bearish").otherwise("Neutral")
+    )
+    narrative = (
+        F.when(c("up").isNotNull(), "bullish").when(c("down").isNotNull(), "bearish").when(c("turn") >= 65, F.lower(turned)).when(c("ranges"), "ranging")
+        .when((c("trend") == "up") & (c("buying_pressure_pct") > 52), "bullish").when((c("trend") == "down") & (c("selling_pressure_pct") > 52), "bearish").otherwise("neutral")
+    )
+    return rows.select("symbol", market.alias("market"), narrative.alias("narrative"))
+
+
+def nearest_levels(candles: DataFrame) -> DataFrame:
+    """Support and resistance about the last close, in two ways: the newest swing low at or below it, else the newest low,
+    and the newest high at or above it, else the newest; and the newest low below it with the oldest high above it."""
+    last = candles.groupBy("symbol").agg(F.max_by("close", "c").alias("now"))
+    s = pt.swings(candles).join(last, "symbol")
+    low, high, p, now = F.col("type") == "low", F.col("type") == "high", F.col("price"), F.col("now")
+    newest = lambda test: F.max_by("price", F.when(test, F.col("c")))
+    return s.groupBy("symbol", "now").agg(
+        F.coalesce(newest(low & (p <= now)), newest(low)).alias("support"), F.coalesce(newest(high & (p >= now)), newest(high)).alias("resistance"),
+        newest(low & (p < now)).alias("strict_support"), F.min_by("price", F.when(high & (p > now), F.col("c"))).alias("first_resistance"),
+    )
+
+
+#: The timeframes of the cascade in seconds, and what is said of each.
+CASCADE = {"daily": 86_400, "h4": 14_400, "h1": 3_600, "m15": 900, "m5": 300, "m1": 60}
+
+
+def cascade(candles: DataFrame, timeframe: str) -> DataFrame:
+    """A sentence for each symbol on its candles of one timeframe; what it looks at depends on the timeframe."""
+    last = candles.groupBy("symbol").agg(F.max("c").alias("last_c"), F.count("*").alias("n"))
+    recent = lambda c: F.coalesce(F.col(c) >= F.col("last_c") - 6, F.lit(False))
+    found = pt.structure(candles)
+    rows = last.join(_trend(candles), "symbol", "left").fillna({"trend": "none"})
+    for kind in ("bos", "choch", "liquiditySweep"):
+        rows = rows.join(found.filter(F.col("type") == kind).groupBy("symbol").agg(F.max("c").alias(f"{kind}_at"), F.max_by("direction", "c").alias(f"{kind}_way")), "symbol", "left")
+    part = lambda a, b: candles.join(last, "symbol").filter(F.col("c").between(F.col("last_c") + a, F.col("last_c") + b)).drop("last_c", "n")
+    for name, a, b in (("now", -5, 0), ("before", -14, -6)):
+        rows = rows.join(cd.statistics(part(a, b), "c").select("symbol", F.col("momentum_pct").alias(name)), "symbol", "left")
+    trend = F.col("trend")
+    named = F.when(trend == "up", "Bullish").when(trend == "down", "Bearish")
+    way = lambda c: F.when(F.col(c) == "bullish", "Bullish").otherwise("Bearish")
+    if timeframe == "daily":
+        said = F.coalesce(F.concat(named, F.lit(" trend remains intact.")), F.lit("No clear directional bias — range-bound conditions."))
+    elif timeframe == "h4":
+        up = F.when(F.col("now") < 0, "Healthy pullback into demand.").otherwise("Trend continuing, no signs of exhaustion.")
+        down = F.when(F.col("now") > 0, "Corrective bounce into supply.").otherwise("Trend continuing, sellers in control.")
+        said = F.when(trend == "up", up).when(trend == "down", down).otherwise("No clear directional bias — range-bound conditions.")
+    elif timeframe == "h1":
+        sides = F.when(F.col("bos_way") == "bullish", "buyers").otherwise("sellers")
+        said = F.when(recent("choch_at"), F.concat(way("choch_way"), F.lit(" change of character — control may be shifting.")))
+        said = said.when(recent("bos_at"), F.concat(way("bos_way"), F.lit(" BOS confirms "), sides, F.lit(" remain in control.")))
+        said = F.coalesce(said, F.concat(named, F.lit(" structure intact, no fresh break yet.")), F.lit("Structure unclear at this level."))
+    elif timeframe == "m15":
+        said = F.when(recent("liquiditySweep_at"), "Liquidity grab completed.")
+        said = F.coalesce(said, F.concat(named, F.lit(" bias, watching for a liquidity reaction.")), F.lit("No liquidity event detected recently."))
+    elif timeframe == "m5":
+        size, was = F.abs("now"), F.coalesce(F.nullif(F.abs("before"), F.lit(0.0)), F.lit(0.01))
+        said = F.when(F.col("now").isNull() | F.col("before").isNull(), "Momentum unclear.").when(size > was * 1.3, "Momentum expanding.").when(size < was * 0.7, "Momentum contracting.").otherwise("Momentum steady.")
+    else:
+        newest = pt.scan(candles).join(last, "symbol").filter(F.col("c") >= F.col("last_c") - 6).groupBy("symbol").agg(F.max_by("label", F.struct("c", "type")).alias("label"))
+        rows = rows.join(newest, "symbol", "left")
+        hit = F.concat(F.lit("Execution trigger confirmed — "), F.lower("label"), F.lit(" on the latest candle."))
+        said = F.coalesce(hit, F.lit("No immediate execution trigger yet — waiting for confirmation."))
+    return rows.select("symbol", F.lit(timeframe).alias("timeframe"), F.when(F.col("n") < 15, "Not enough data loaded for this timeframe.").otherwise(said).alias("verdict"))
+
+
 def calibrated(trades: DataFrame, dimensions: list[str]) -> DataFrame:
     """Weights from closed trades: where five or more had something to say in a dimension and three or more were right, its
     weight is scaled by twice its reliability within 0.5 and 1.5; then all are made to add up to 1. ``trades`` has a score

@@ -14,7 +14,7 @@ from tidewright.operators import statistics as st
 from tidewright.sources.shared import stored
 from tidewright.sources.ticks import table, ticks
 
-from .streams import E3
+from .streams import E3, T
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -252,21 +252,38 @@ def partition_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.permutation_test(_pairs(spark, sf_dir), ["symbol"], "i", "x", "y"))
+    return rounded(st.permutation_test(_pairs(spark, sf_dir), ["symbol", "day"], "i", "x", "y"))
 
 
 @query()
 def bootstrap_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.bootstrap(_pairs(spark, sf_dir), ["symbol"], "i", "x", "y"))
+    return rounded(st.bootstrap(_pairs(spark, sf_dir), ["symbol", "day"], "i", "x", "y"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest 500 ticks of each symbol: price and the change to the next one."""
-    from pyspark.sql import Window
+@query()
+def confirmation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's 10-tick momentum against whether the next two ticks rise: effect, p-value, interval and warnings."""
+    from tidewright.functions import indicators as ind
+
+    stream = ticks(spark, sf_dir)
+    rows = ind.windowed(stream, ["momentum"]).select("symbol", "i", F.col("momentum").alias("x"))
+    y = st.outcome_series(stream, "Rise", 2).withColumnRenamed("outcome", "y")
+    days = stream.select("symbol", "i", F.to_date("ts").cast("string").alias("day"))
+    return rounded(st.confirmation(rows.join(y, ["symbol", "i"]).join(days, ["symbol", "i"]), ["symbol", "day"], "i", "x", "y"))
+
 
-    w = Window.partitionBy("symbol").orderBy("i")
-    rows = ticks(spark, sf_dir).select("symbol", "i", F.col("price").alias("x"), (F.lead("price").over(w) - F.col("price")).alias("y"), F.max("i").over(Window.partitionBy("symbol")).alias("top"))
-    return rows.filter("i > top - 500").drop("top")
+@query(f"""with {T} select symbol, i, (list_min(l) > 0)::int as outcome from (select symbol, i, list(d) over (partition by symbol order by i rows between 1 following and 3 following) as l
+from (select symbol, i, case when price > lag(price) over (partition by symbol order by i) then 1 else 0 end as d from t)) where len(l) = 3""")
+def outcome_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each of a tick's next three moves is a rise."""
+    return st.outcome_series(ticks(spark, sf_dir), "Rise", 3)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ticks of each symbol and day: price and the change to the next one."""
+    stream = ticks(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
+    nxt = stream.select("symbol", (F.col("i") - 1).alias("i"), F.col("price").alias("next_price"))
+    return stream.join(nxt, ["symbol", "i"]).select("symbol", "day", "i", F.col("price").alias("x"), (F.col("next_price") - F.col("price")).alias("y"))
 
 
 @query()

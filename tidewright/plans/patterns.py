@@ -131,3 +131,12 @@ select symbol, floor(greatest(5, least(95, 100::double * count(*) filter ((h - c
 from n where c < n - 20 and close <> 0 group by 1""")
 def reach_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pt.reach(candles(spark, sf_dir))
+
+
+@query(f"""with {SW}, n as (select symbol, arg_max(close, c) as now from c group by 1), j as (select s.*, now from s join n using (symbol))
+select symbol, now, coalesce(arg_max(price, c) filter (type = 'low' and price <= now), arg_max(price, c) filter (type = 'low')) as support, coalesce(arg_max(price, c) filter (type = 'high' and price >= now), arg_max(price, c) filter (type = 'high')) as resistance,
+  arg_max(price, c) filter (type = 'low' and price < now) as strict_support, arg_min(price, c) filter (type = 'high' and price > now) as first_resistance from j group by 1, 2""")
+def nearest_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.operators import scoring as sc
+
+    return sc.nearest_levels(candles(spark, sf_dir))

@@ -10,7 +10,8 @@ from tidewright.functions.windows import rounded
 from tidewright.operators import bursts as bs
 from tidewright.operators import discovery as ds
 from tidewright.operators import scoring as sc
-from tidewright.sources.ticks import candles_by_count, table, ticks
+from tidewright.sources.shared import stored
+from tidewright.sources.ticks import candles_by_count, candles_by_time, index_by_day, table, ticks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +43,26 @@ def rule_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sc.rules(_summary(spark, sf_dir)))
 
 
+@query()
+def market_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ladders from rules and trend to a bias."""
+    rows = stored(_summary(spark, sf_dir), "summary")
+    return sc.biases(rows, sc.rules(rows))
+
+
+@query()
+def cascade_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence for each symbol and timeframe, on candles numbered within it."""
+    from functools import reduce
+
+    stream = ticks(spark, sf_dir)
+    each = []
+    for name, seconds in sc.CASCADE.items():
+        c = index_by_day(candles_by_time(stream, seconds), ["symbol"], ["epoch"], F.floor(F.col("epoch") / 86400), "c")
+        each.append(sc.cascade(stored(c, "candles"), name))
+    return reduce(DataFrame.unionByName, each)
+
+
 @query("""with t as (select o_orderkey as id, case when o_orderstatus = 'F' then 1 else -1 end as won, o_orderkey % 3 - 1 as trend, o_custkey % 5 - 2 as momentum, o_orderkey % 7 - 3 as genome from orders),
 u as (select won, dimension, score from (unpivot t on trend, momentum, genome into name dimension value score) where score <> 0),
 g as (select dimension, count(*) as relevant, count(*) filter (sign(score) = won) as agreeing from u group by 1),
@@ -53,9 +74,22 @@ def calibrated_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sc.calibrated(trades, ["trend", "momentum", "genome"]))
 
 
-@query()
+def _registry_sql() -> str:
+    """The candidates written out from the names alone: neighbours by number, contexts round and round."""
+    names = [("indicator", n) for n in ds.INDICATORS] + [("state", n) for n in ds.STATE_NAMES] + [("proxy", n) for n in ds.PROXY_NAMES] + [("event", n) for n in ds.EVENT_NAMES]
+    listed = ", ".join(f"({k}, '{t}', '{n}')" for k, (t, n) in enumerate(names))
+    contexts = "[" + ", ".join(f"'{n}'" for n in ds.CONTEXT_NAMES) + "]"
+    return f"""with r(k, type, name) as (values {listed}), i as (select type, name, unnest([10, 14, 20, 30]) as period, [name] as parts, null::varchar as context from r where type = 'indicator'),
+o as (select type, name, case type when 'state' then 20 when 'proxy' then 10 end as period, [name] as parts, null::varchar as context, k from r where type <> 'indicator'),
+c as (select 'composite' as type, a.name || '+' || b.name as name, a.period, [a.name, b.name] as parts, null::varchar as context from o a join o b on b.k = a.k + 1 and b.type = a.type where a.type <> 'event'),
+h as (select 'conditional' as type, name || '|' || {contexts}[(row_number() over (order by k) - 1) % {len(ds.CONTEXT_NAMES)} + 1] as name, period, parts, {contexts}[(row_number() over (order by k) - 1) % {len(ds.CONTEXT_NAMES)} + 1] as context from o where type in ('state', 'proxy')),
+u as (select * from i union all select type, name, period, parts, context from o union all select * from c union all select * from h)
+select type, name, period::int as period, array_to_string(parts, ',') as parts, context, sha256('{{"name":"' || name || '","parts":["' || array_to_string(parts, '","') || '"],' || case when period is not null then '"period":' || period || ',' else '' end || '"type":"' || type || '"}}') as fingerprint from u"""
+
+
+@query(_registry_sql())
 def candidate_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ds.candidates(spark)
+    return ds.candidates(spark).withColumn("parts", F.array_join("parts", ","))
 
 
 @query("""with a as (select avg(l_extendedprice) as m, stddev_pop(l_quantity) / sqrt(count(*)) as h from lineitem), g as (select unnest(range(5, 50, 5))::double as "at"),
