@@ -240,3 +240,63 @@ def test_closure_reaches_any_depth(spark):
     hop = lambda i, j: min(j - i, 1 + j - 5) if i == 0 and j >= 5 else j - i
     want = {(i, j): hop(i, j) for i in range(12) for j in range(i + 1, 13)}
     assert got == want | {(20, 21): 1, (21, 20): 1, (20, 20): 2, (21, 21): 2}
+
+
+def test_signals_fire_and_block_as_a_plain_loop_says(spark):
+    from tidewright.operators import bursts as bs
+
+    rng, p, way = np.random.default_rng(12), [500.0], 1
+    for t in range(3000):
+        way = way if rng.random() < 0.93 else -way
+        p.append(p[-1] + way * (1 + 0.6 * (t % 7)) * (0.5 + rng.random()))
+    df = stream(spark, p)
+    rows = bs.metrics(df).orderBy("i").toPandas()
+    got = {r.i: r for r in bs.signals(df).collect()}
+    fired, last = [], -100
+    for i in rows[rows["ready"]]["i"]:
+        if i - last >= bs.HORIZON - 1:
+            fired.append(i)
+            last = i
+    assert len(fired) > 1 and sorted(got) == fired
+    for i in fired:
+        side, ahead = int(np.sign(rows["td"][i])), p[i : i + bs.HORIZON]
+        moves = [p[k] - p[k - 1] for k in range(i, min(len(p), i + bs.HORIZON))]
+        floor = bs.NOISE * np.mean(np.abs(moves))
+        won = not any(np.sign(m) == -side and abs(m) > floor for m in moves) and np.sign(ahead[-1] - ahead[0]) == side
+        assert (got[i].direction, got[i].result) == (side, "pend" if len(ahead) < bs.HORIZON else "win" if won else "loss")
+
+
+def test_biases_take_the_first_rung_that_holds(spark):
+    from tidewright.operators import scoring as sc
+
+    cases = {  # symbol: trend, buying pressure, findings, market, narrative
+        "a": ("up", 50, [("bullishContinuation", "bullish", 61)], "Bullish", "bullish"), "b": ("up", 60, [("bearishContinuation", "bearish", 55)], "Bullish", "bearish"),
+        "c": ("down", 40, [("reversal", "bullish", 65)], "Bearish", "bullish"), "d": ("none", 40, [("reversal", "bearish", 90), ("accumulation", "none", 80)], "Bearish", "bearish"),
+        "e": ("up", 60, [("distribution", "none", 70)], "Ranging", "ranging"), "f": ("up", 53, [], "Bullish", "bullish"), "g": ("down", 47, [], "Bearish", "bearish"), "h": ("up", 52, [], "Bullish", "neutral"), "i": ("none", 90, [], "Neutral", "neutral"),
+    }
+    rows = spark.createDataFrame([(k, 20, t, float(b), 100.0 - b) for k, (t, b, *_) in cases.items()], "symbol string, candle_count int, trend string, buying_pressure_pct double, selling_pressure_pct double")
+    found = spark.createDataFrame([(k, *f[:2], float(f[2])) for k, c in cases.items() for f in c[2]], "symbol string, type string, direction string, confidence double")
+    assert {r.symbol: (r.market, r.narrative) for r in sc.biases(rows, found).collect()} == {k: c[3:] for k, c in cases.items()}
+
+
+def test_cascade_says_what_each_timeframe_looks_at(spark):
+    from tidewright.operators import scoring as sc
+
+    def candles(closes):
+        # a turn belongs to one candle, which reaches a little further than the next
+        rows = [("A", i, i * 60, a, b + 0.1 if b >= a else a, a if b >= a else b - 0.1, b, 10) for i, (a, b) in enumerate(zip(closes, closes[1:]))]
+        return spark.createDataFrame(rows, "symbol string, c long, epoch long, open double, high double, low double, close double, n long")
+
+    up = [100 + 2.0 * (k // 8) + (k % 8 if k % 8 <= 5 else 10 - k % 8) for k in range(45)]
+    said = {tf: sc.cascade(candles(up), tf).first().verdict for tf in sc.CASCADE}
+    assert said["daily"] == "Bullish trend remains intact." and said["h4"].startswith(("Healthy", "Trend continuing")) and said["m5"].startswith("Momentum")
+    assert {sc.cascade(candles(up[:10]), tf).first().verdict for tf in sc.CASCADE} == {"Not enough data loaded for this timeframe."}
+
+
+def test_confirmation_finds_what_is_there_and_says_when_it_is_unsure(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(150)
+    rows = [("dep", i, float(a), float(a + 0.3 * b)) for i, (a, b) in enumerate(zip(x, rng.standard_normal(150)))] + [("ind", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, rng.standard_normal(150)))] + [("few", i, 1.0, float(i)) for i in range(59)]
+    got = {r.s: r for r in st.confirmation(spark.createDataFrame(rows, "s string, i int, x double, y double"), ["s"], "i", "x", "y", 199, 300).collect()}
+    assert set(got) == {"dep", "ind"} and got["dep"].p_value == 1 / 200 and got["dep"].warnings == "least p" and got["dep"].ci_lower > 0.9
+    assert math.isclose(got["dep"].effect, np.corrcoef([r[2] for r in rows[:150]], [r[3] for r in rows[:150]])[0, 1]) and got["ind"].p_value > 0.01 and got["ind"].ci_lower < 0 < got["ind"].ci_upper

@@ -36,6 +36,24 @@ def test_query_equals_its_sql(spark, duck, name):
             assert a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 2e-5 * max(1, abs(b))), (c, a, b)
 
 
-@pytest.mark.parametrize("name", ["historical_analogs", "similar_windows", "probability_engine", "rule_engine", "candidate_registry", "thompson_sampling", "novel_states", "calibration_study", "burst_metrics", "burst_signals"])
-def test_query_without_sql_runs(spark, name):
-    assert plans.QUERIES[name](spark, SF).count() >= 0
+#: What must hold of every row, or of the whole, where SQL has no answer.
+HOLDS = {
+    "historical_analogs": lambda d: (d["continued_pct"].fillna(0).between(0, 100) & (d["continued_pct"].fillna(0) + d["reversed_pct"].fillna(0) <= 101)).all() and d["symbol"].is_unique,
+    "similar_windows": lambda d: len(d) > 0 and (d.groupby("symbol").size() <= 8).all(),
+    "probability_engine": lambda d: (d["p_continue"] + d["p_reverse"] == 100).all() and d["p_continue"].between(5, 95).all() and d["confidence"].between(10, 95).all(),
+    "rule_engine": lambda d: d["confidence"].between(0, 100).all() and (d["type"] == "trendStrength").sum() == d["symbol"].nunique(),
+    "thompson_sampling": lambda d: d["draw"].between(0, 1).all() and d.sort_values("rank")["draw"].is_monotonic_decreasing and sorted(d["rank"]) == list(range(1, len(d) + 1)),
+    "novel_states": lambda d: len(d) == 5 and (d["is_novel"] == (d["distance"] >= 1)).all(),
+    "calibration_study": lambda d: d["n"].sum() == 100 and d["bin"].between(0, 9).all(),
+    "power_study": lambda d: d["power"].iat[0] > 0.9,
+    "burst_metrics": lambda d: len(d) > 900 and d["exhaustion"].between(0, 100).all() and d["td_pct"].between(-100, 100).all(),
+    "burst_signals": lambda d: set(d["result"]) <= {"win", "loss", "pend"},
+    "market_bias": lambda d: set(d["market"]) <= {"Bullish", "Bearish", "Ranging", "Neutral"} and set(d["narrative"]) <= {"bullish", "bearish", "ranging", "neutral"},
+    "gap_partition_effects": lambda d: d["effect"].between(0, 1).all(),
+    "null_model_hierarchy": lambda d: ((d["poisson_p"] > 0.05) == (d["verdict"] == "poisson")).all() and d["hawkes_p"].isna()[d["verdict"] == "poisson"].all(),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOLDS))
+def test_query_without_sql_holds_its_bounds(spark, name):
+    assert HOLDS[name](plans.QUERIES[name](spark, SF).toPandas())

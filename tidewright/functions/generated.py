@@ -21,6 +21,14 @@ KEYS = ("price", "macd", "signal", "hist", "chop", "cci", "pctb", "upper", "lowe
 NOW = (3, 2, 1)
 
 
+def windows(x: np.ndarray, n: int, f) -> np.ndarray:
+    """``f`` of each window of ``n`` values, each by itself: running sums would carry the rounding of values long gone."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        out[n - 1 :] = f(np.lib.stride_tricks.sliding_window_view(x, n))
+    return out
+
+
 def snapshot(p: np.ndarray) -> dict[str, np.ndarray]:
     """The indicators of each tick of a stream of prices."""
     s, d = pd.Series(p), np.diff(p, prepend=p[:1])
@@ -28,19 +36,20 @@ def snapshot(p: np.ndarray) -> dict[str, np.ndarray]:
     macd = _ema(p, 12) - _ema(p, 26)
     signal = _ema(macd, 9)
     pdi, ndi = (100 * _divide(_ema(np.maximum(x, 0), 14), tr, 0.0) for x in (d, -d))
-    mid, sd = s.rolling(20).mean().to_numpy(), s.rolling(20).std(ddof=0).to_numpy()
+    still = lambda w: w.max(axis=1) == w.min(axis=1)
+    mid, sd = windows(p, 20, lambda w: w.mean(axis=1)), windows(p, 20, lambda w: np.where(still(w), 0.0, w.std(axis=1)))
     lo, hi = s.rolling(14).min().to_numpy(), s.rolling(14).max().to_numpy()
     stoch = np.where(hi > lo, 100 * _divide(p - lo, hi - lo, 0.5), np.where(np.isnan(hi), np.nan, 50.0))
-    off = s.rolling(20).apply(lambda w: np.abs(w - w.mean()).mean(), raw=True).to_numpy()
+    off = windows(p, 20, lambda w: np.where(still(w), 0.0, np.abs(w - w.mean(axis=1)[:, None]).mean(axis=1)))
     gain, loss = _wilder(np.maximum(d, 0), 14), _wilder(np.maximum(-d, 0), 14)
-    moved = pd.Series(np.abs(d)).rolling(14).sum().to_numpy()
+    moved = windows(np.abs(d), 14, lambda w: w.sum(axis=1))
     chop = 100 * np.log10(np.maximum(_divide(moved, hi - lo, np.nan), 1e-12)) / np.log10(14)
     with np.errstate(invalid="ignore"):
         return {
             "macd": macd, "signal": signal, "hist": macd - signal, "chop": chop, "cci": np.where(off > 0, _divide(p - mid, 0.015 * off, 0.0), np.where(np.isnan(off), np.nan, 0.0)),
             "pctb": _divide(p - (mid - 2 * sd), 4 * sd, np.nan), "upper": mid + 2 * sd, "lower": mid - 2 * sd, "mid": mid, "pdi": pdi, "ndi": ndi,
             "adx": _ema(100 * _divide(np.abs(pdi - ndi), pdi + ndi, 0.0), 14), "rsi": np.where(np.isnan(gain), np.nan, 100 - 100 / (1 + _divide(gain, loss, np.inf))), "atr": tr,
-            "stoch": stoch, "stoch_d": pd.Series(stoch).rolling(3).mean().to_numpy(), "roc": 100 * _divide(p - s.shift(10).to_numpy(), s.shift(10).to_numpy(), np.nan),
+            "stoch": stoch, "stoch_d": windows(stoch, 3, lambda w: w.mean(axis=1)), "roc": 100 * _divide(p - s.shift(10).to_numpy(), s.shift(10).to_numpy(), np.nan),
             "ema5": _ema(p, 5), "ema10": _ema(p, 10), "ema20": _ema(p, 20),
         }
 
@@ -92,8 +101,9 @@ def spread(values: list[Column]) -> Column:
 
 
 def clamped(a: Column, b: Column) -> Column:
-    """``a / b`` within 3 on either side; null where ``b`` is almost 0."""
-    return F.when(F.abs(b) > 1e-9, F.greatest(F.least(a / F.nullif(b, F.lit(0.0)), F.lit(3.0)), F.lit(-3.0)))
+    """``a / b`` within 3 on either side; null where ``b`` is almost 0 or ``a`` is null, which least and greatest would
+    pass over."""
+    return F.when((F.abs(b) > 1e-9) & a.isNotNull(), F.greatest(F.least(a / F.nullif(b, F.lit(0.0)), F.lit(3.0)), F.lit(-3.0)))
 
 
 def sign(x: Column) -> Column:
