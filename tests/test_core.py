@@ -300,3 +300,21 @@ def test_confirmation_finds_what_is_there_and_says_when_it_is_unsure(spark):
     got = {r.s: r for r in st.confirmation(spark.createDataFrame(rows, "s string, i int, x double, y double"), ["s"], "i", "x", "y", 199, 300).collect()}
     assert set(got) == {"dep", "ind"} and got["dep"].p_value == 1 / 200 and got["dep"].warnings == "least p" and got["dep"].ci_lower > 0.9
     assert math.isclose(got["dep"].effect, np.corrcoef([r[2] for r in rows[:150]], [r[3] for r in rows[:150]])[0, 1]) and got["ind"].p_value > 0.01 and got["ind"].ci_lower < 0 < got["ind"].ci_upper
+
+
+def test_data_without_an_effect_is_seldom_found(spark):
+    from tidewright.operators import discovery as ds
+
+    got = ds.null_trials(spark, 60).groupBy("kind").agg(F.count("*").alias("n"), F.avg((F.col("p_value") <= 0.05).cast("double")).alias("found")).collect()
+    assert {r.kind for r in got} == set(ds.NULLS) and all(r.n == 60 and r.found < 0.2 for r in got)
+
+
+def test_searches_find_the_best_of_a_known_landscape():
+    from tidewright.operators import search as se
+
+    worth = (3.0, -2.0, 1.0, 0.5, -1.0, 2.0)
+    score = lambda masks: {m: sum(w for w, on in zip(worth, m, strict=True) if on) / 10 for m in masks}
+    best = tuple(w > 0 for w in worth)
+    assert se.evolved(score, 6, generations=40)[0] == best
+    mask, value, visits = se.tree_search(score, 6, playouts=600)
+    assert mask[0] and value > 0.4 and visits[1] > visits[0] and sum(visits.values()) == 600

@@ -119,6 +119,42 @@ def trials(spark: SparkSession, n: int, effect: float = 0.0, size: int = 60, see
     return spark.range(n).mapInPandas(run, "trial long, r double, p_value double").withColumn("detected", F.col("p_value") <= alpha)
 
 
+#: The kinds of data without an effect.
+NULLS = ("label_permutation", "shuffled_outcomes", "iid_random_walk", "independent")
+
+
+def null_data(kind: str, size: int, rng: np.random.Generator, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A feature and a 0/1 outcome of a kind without an effect; ``x`` and ``y`` are what the first two start from."""
+    if kind == "label_permutation":
+        return x, rng.permutation(y)
+    if kind == "shuffled_outcomes":
+        return x, (rng.random(size) < y.mean()).astype("f8")
+    if kind == "iid_random_walk":
+        p = 100 + np.cumsum(np.where(rng.random(size + 20) < 0.5, 1.0, -1.0))
+        at = np.arange(14, size + 14)
+        return p[at] - p[at - 14], (p[at + 5] > p[at]).astype("f8")
+    return rng.random(size) * 100 - 50, (rng.random(size) < 0.5).astype("f8")
+
+
+def null_trials(spark: SparkSession, n: int, size: int = 120, seed: int = 42, shuffles: int = 99) -> DataFrame:
+    """``n`` trials of each of NULLS: |r|, its p-value under circular shifts. Trials are spread over tasks, each with a seed
+    of its own; a false discovery is one with a small p-value."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for t in b["id"].tolist():
+                rng = np.random.default_rng([seed, t])
+                base = rng.standard_normal(size)
+                x, y = null_data(NULLS[t % len(NULLS)], size, rng, base, (base + rng.standard_normal(size) > 0).astype("f8"))
+                r = lambda a, b: abs(np.corrcoef(a, b)[0, 1]) if a.std() and b.std() else 0.0
+                seen = r(x, y)
+                far = sum(r(x, np.roll(y, s)) >= seen for s in rng.integers(size // 20, size - size // 20, shuffles).tolist())
+                out.append((t, NULLS[t % len(NULLS)], float(seen), (1 + far) / (1 + shuffles)))
+            yield pd.DataFrame(out, columns=["trial", "kind", "r", "p_value"])
+
+    return spark.range(n * len(NULLS)).mapInPandas(run, "trial long, kind string, r double, p_value double")
+
+
 def histogram(rows: DataFrame, p: str, bins: int = 10) -> DataFrame:
     """Counts of p-values in equal bins on [0, 1]."""
     return rows.groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))

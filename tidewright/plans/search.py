@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidewright.functions import indicators as ind
 from tidewright.functions.windows import rounded
 from tidewright.operators import bursts as bs
+from tidewright.operators import campaign as cp
 from tidewright.operators import discovery as ds
 from tidewright.operators import scoring as sc
+from tidewright.operators import search as se
 from tidewright.sources.shared import stored
 from tidewright.sources.ticks import candles_by_count, candles_by_time, index_by_day, table, ticks
 
@@ -125,6 +127,50 @@ def calibration_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.histogram(ds.trials(spark, 100), "p_value")
 
 
+@query()
+def null_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each kind of data without an effect is found, and how evenly its p-values lie."""
+    rows = stored(ds.null_trials(spark, 100), "trials")
+    return rounded(rows.groupBy("kind").agg(F.count("*").alias("trials"), F.avg((F.col("p_value") <= 0.05).cast("double")).alias("false_rate"), F.avg("p_value").alias("mean_p")))
+
+
+@query()
+def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounds of a campaign on candidates that have no effect: how many come how far."""
+    rows = stored(ds.null_trials(spark, 50), "trials").withColumn("deep_p", F.pmod(F.xxhash64("trial"), F.lit(1000)) / 1000)
+    return cp.round_metrics(cp.rounds(rows, "kind", "trial", "r", "p_value", "deep_p", 0.5))
+
+
+_CONDITIONS = ("l_quantity > 25", "l_discount >= 0.05", "l_tax < 0.04", "l_linenumber <= 3")
+_LIFT = f"""with b as (select l_extendedprice::double as y, {', '.join(f'({c}) as c{k}' for k, c in enumerate(_CONDITIONS))} from lineitem), m as (select unnest(range(16)) as m),
+l as (select m, avg(y) - (select avg(y) from b) as lift, count(*) as n from b, m where {' and '.join(f'(m & {1 << k} = 0 or c{k})' for k in range(4))} group by 1) select round(max(case when n >= 30 then lift else 0 end), 6) as lift from l"""
+
+
+def _lift(spark: SparkSession, sf_dir: str):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("double").alias("y"), *[F.expr(c).alias(f"c{k}") for k, c in enumerate(_CONDITIONS)])
+    return lambda masks: se.lift(rows, [F.col(f"c{k}") for k in range(4)], "y", masks)
+
+
+@query(_LIFT)
+def evolutionary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conditions that raise the mean price most, by evolution; SQL tries all sixteen sets."""
+    return rounded(spark.createDataFrame([(se.evolved(_lift(spark, sf_dir), 4)[1],)], "lift double"))
+
+
+@query(_LIFT)
+def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by tree search: of the sets that were played out the best."""
+    known: dict = {}
+    score = _lift(spark, sf_dir)
+
+    def remembered(masks):
+        known.update(score(masks))
+        return {m: known[m] / 10_000 for m in masks}
+
+    se.tree_search(remembered, 4)
+    return rounded(spark.createDataFrame([(max(known.values()),)], "lift double"))
+
+
 @query()
 def power_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.trials(spark, 50, 0.5).agg(F.count("*").alias("trials"), F.avg(F.col("detected").cast("double")).alias("power"))
