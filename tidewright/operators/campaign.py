@@ -74,3 +74,22 @@ def next_points(surrogate: DataFrame) -> DataFrame:
     pick = lambda c: F.max_by("at", F.struct(c, -F.col("at")))
     one = surrogate.filter("variance is not null").agg(pick("variance").alias("active_learning"), pick("upper").alias("bayesian"))
     return one.unpivot([], ["active_learning", "bayesian"], "method", "at")
+
+
+def decided(tests: DataFrame, registered: DataFrame, manifests: DataFrame, family: str, order: str, p: str) -> DataFrame:
+    """Discovery decisions on ``tests`` (family, order, hypothesis, experiment or null, p): one step of the family's wealth
+    for each hypothesis that is ``registered`` (hypothesis, stage) and whose experiment, if it names one, has a complete
+    manifest (experiment, complete). The others are refused and spend nothing."""
+    rows = tests.join(registered.select("hypothesis", "stage"), "hypothesis", "left").join(manifests.select("experiment", "complete"), "experiment", "left")
+    incomplete = F.col("experiment").isNotNull() & ~F.coalesce("complete", F.lit(False))
+    rows = rows.withColumn("refused", F.when(F.col("stage").isNull(), "NotRegistered").when(incomplete, "IncompleteManifest"))
+
+    def step(state, value, refused):
+        wealth = START if state is None else state
+        if refused is not None:
+            return wealth, (None, None)
+        bid = wealth * SHARE
+        found = value is not None and value <= bid
+        return wealth - bid + (BONUS if found else 0.0), (bid, found)
+
+    return folded(rows.drop("complete"), family, order, [p, "refused"], "alpha_spent double, rejected boolean", step)

@@ -316,6 +316,22 @@ def wealth_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cp.remaining(tests, families, "family", "k", "p"))
 
 
+@query("""with recursive t as (select o_orderkey as k, o_custkey as hypothesis, c_mktsegment as family, case when o_orderkey % 4 > 0 then o_orderkey % 12 end as experiment, o_orderkey * 13 % 1000 / 40000 as p, case when o_custkey % 6 > 0 then 'Discovery' end as stage from orders join customer on c_custkey = o_custkey),
+r as (select *, case when stage is null then 'NotRegistered' when experiment is not null and experiment % 5 in (0, 4) then 'IncompleteManifest' end as refused from t), m as (select *, row_number() over (partition by family order by k) as n from r where refused is null),
+w as (select family, k, n, 0.0125::double as alpha_spent, p <= 0.0125::double as rejected, 0.0125::double + case when p <= 0.0125::double then 0.025::double else 0::double end as wealth from m where n = 1
+  union all select m.family, m.k, m.n, w.wealth * 0.5::double, m.p <= w.wealth * 0.5::double, w.wealth * 0.5::double + case when m.p <= w.wealth * 0.5::double then 0.025::double else 0::double end from m join w on w.family = m.family and m.n = w.n + 1)
+select r.k, r.hypothesis, r.family, r.stage, r.refused, round(w.alpha_spent, 9) as alpha_spent, w.rejected from r left join w on w.family = r.family and w.k = r.k""")
+def discovery_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on tests of registered hypotheses with complete manifests; manifests 0 and 4 of each five are incomplete or
+    missing."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    families = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hypothesis"), F.col("c_mktsegment").alias("family"))
+    tests = table(spark, sf_dir, "orders").select(k.alias("k"), c.alias("hypothesis"), F.when(k % 4 > 0, k % 12).alias("experiment"), (k * 13 % 1000 / 40000).alias("p")).join(families, "hypothesis")
+    registered = families.filter("hypothesis % 6 > 0").select("hypothesis", F.lit("Discovery").alias("stage"))
+    manifests = spark.range(12).filter("id % 5 < 4").select(F.col("id").alias("experiment"), (F.col("id") % 5 > 0).alias("complete"))
+    return rounded(cp.decided(tests, registered, manifests, "family", "k", "p").select("k", "hypothesis", "family", "stage", "refused", "alpha_spent", "rejected"), places=9)
+
+
 @query("""with a as (select avg(l_extendedprice) as m, stddev_pop(l_quantity) / sqrt(count(*)) as h from lineitem), g as (select unnest(range(5, 50, 5))::double as "at"), w as (select "at", exp(-0.5::double * (((l_quantity - "at") / h) ** 2)) as w, l_extendedprice / 1000 as y from lineitem, a, g),
 s as (select "at", sum(w * y) / sum(w) as mean, sum(w * y * y) / sum(w) as q from w group by 1), v as (select "at", mean, greatest(q - mean * mean, 0) as variance from s)
 select 'active_learning' as method, (select "at" from v order by round(variance, 6) desc, "at" limit 1) as "at" union all select 'bayesian', (select "at" from v order by round(mean + 1.96::double * sqrt(variance), 6) desc, "at" limit 1)""")
