@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import CHUNK, chunked, last, over, own, stream
+from .windows import CHUNK, agg, back, chunked, last, over, own, shared, stream, with_shared
 
 HALO = 64
 #: Rows after which a period-30 exponential average keeps less than 1e-50 of what came before.
@@ -31,57 +31,58 @@ def entropy2(*shares: Column) -> Column:
 
 
 def _counts(n: int) -> tuple[Column, Column, Column]:
-    w, d = last(n), F.col("d")
-    return tuple(F.sum(F.when(c, 1).otherwise(0)).over(w).cast("double") for c in (d > 0, d < 0, d == 0))
+    d = F.col("d")
+    tests = {"up": d > 0, "down": d < 0, "still": d == 0}
+    return tuple(shared(f"_{k}_{n}", lambda c=c: F.sum(F.when(c, 1).otherwise(0)).over(last(n)).cast("double")) for k, c in tests.items())
 
 
 def flat(n: int, x: str) -> Column:
     """Whether all values of the window are equal; the zero test of every deviation."""
-    return F.max(x).over(last(n)) == F.min(x).over(last(n))
+    return agg("max", x, 1 - n) == agg("min", x, 1 - n)
 
 
 def sma(n: int) -> Column:
-    return full(n, F.avg("price").over(last(n)))
+    return full(n, agg("avg", "price", 1 - n))
 
 
 def wma(n: int) -> Column:
-    total = sum((F.lag("price", n - k).over(stream()) * k for k in range(1, n)), F.col("price") * n)
+    total = sum((back("price", n - k) * k for k in range(1, n)), F.col("price") * n)
     return full(n, total / (n * (n + 1) / 2))
 
 
 def cci(n: int) -> Column:
-    mean = F.avg("price").over(last(n))
-    off = F.aggregate(F.collect_list("price").over(last(n)), F.lit(0.0), lambda a, x: a + F.abs(x - mean)) / n
+    mean = agg("avg", "price", 1 - n)
+    off = F.aggregate(agg("collect_list", "price", 1 - n), F.lit(0.0), lambda a, x: a + F.abs(x - mean)) / n
     return full(n, F.when(flat(n, "price"), 0.0).otherwise(over(F.col("price") - mean, 0.015 * off)))
 
 
 def momentum(n: int) -> Column:
-    return F.col("price") - F.lag("price", n).over(stream())
+    return F.col("price") - back("price", n)
 
 
 def roc(n: int) -> Column:
-    return 100 * over(momentum(n), F.lag("price", n).over(stream()))
+    return 100 * over(momentum(n), back("price", n))
 
 
 def sd(n: int, x: str = "price") -> Column:
-    return F.when(flat(n, x), 0.0).otherwise(F.stddev_pop(x).over(last(n)))
+    return F.when(flat(n, x), 0.0).otherwise(agg("stddev_pop", x, 1 - n))
 
 
 def bollinger_width(n: int, k: float = 2) -> Column:
-    return full(n, over(2 * k * sd(n), F.avg("price").over(last(n))))
+    return full(n, over(2 * k * sd(n), agg("avg", "price", 1 - n)))
 
 
 def bollinger_position(n: int, k: float = 2) -> Column:
-    mean = F.avg("price").over(last(n))
+    mean = agg("avg", "price", 1 - n)
     return full(n, F.when(~flat(n, "price"), over(F.col("price") - (mean - k * sd(n)), 2 * k * sd(n))))
 
 
 def zscore(n: int) -> Column:
-    return full(n, F.when(~flat(n, "price"), over(F.col("price") - F.avg("price").over(last(n)), sd(n))))
+    return full(n, F.when(~flat(n, "price"), over(F.col("price") - agg("avg", "price", 1 - n), sd(n))))
 
 
 def value_range(n: int) -> Column:
-    return full(n, F.max("price").over(last(n)) - F.min("price").over(last(n)))
+    return full(n, agg("max", "price", 1 - n) - agg("min", "price", 1 - n))
 
 
 def tick_entropy(n: int) -> Column:
@@ -100,8 +101,8 @@ def tick_imbalance(n: int) -> Column:
 
 def hurst(n: int) -> Column:
     """From the rescaled range of one window of changes."""
-    w = F.collect_list("d").over(last(n))
-    mean = F.avg("d").over(last(n))
+    w = agg("collect_list", "d", 1 - n)
+    mean = agg("avg", "d", 1 - n)
     acc = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
 
     def step(a: Column, x: Column) -> Column:
@@ -113,24 +114,23 @@ def hurst(n: int) -> Column:
 
 
 def stochastic(n: int) -> Column:
-    lo, hi = F.min("price").over(last(n)), F.max("price").over(last(n))
+    lo, hi = agg("min", "price", 1 - n), agg("max", "price", 1 - n)
     return full(n, F.when(hi == lo, 50.0).otherwise(100 * over(F.col("price") - lo, hi - lo)))
 
 
 def autocorrelation(n: int) -> Column:
     """Of n - 1 pairs of neighbouring changes."""
-    w = last(n - 1)
-    cov = F.covar_pop("d_before", "d").over(w)
-    zero = (F.max("d").over(w) == F.min("d").over(w)) | (F.max("d_before").over(w) == F.min("d_before").over(w))
-    return full(n + 1, F.when(zero, 0.0).otherwise(over(cov, F.stddev_pop("d").over(w) * F.stddev_pop("d_before").over(w))))
+    cov = F.covar_pop("d_before", "d").over(last(n - 1))
+    zero = (agg("max", "d", 2 - n) == agg("min", "d", 2 - n)) | (agg("max", "d_before", 2 - n) == agg("min", "d_before", 2 - n))
+    return full(n + 1, F.when(zero, 0.0).otherwise(over(cov, agg("stddev_pop", "d", 2 - n) * agg("stddev_pop", "d_before", 2 - n))))
 
 
 def skew(n: int) -> Column:
-    return full(n + 1, F.when(flat(n, "d"), 0.0).otherwise(F.skewness("d").over(last(n))))
+    return full(n + 1, F.when(flat(n, "d"), 0.0).otherwise(agg("skewness", "d", 1 - n)))
 
 
 def excess_kurtosis(n: int) -> Column:
-    return full(n + 1, F.when(flat(n, "d"), -3.0).otherwise(F.kurtosis("d").over(last(n))))
+    return full(n + 1, F.when(flat(n, "d"), -3.0).otherwise(agg("kurtosis", "d", 1 - n)))
 
 
 #: Registered indicators with bounded windows: builder and default period.
@@ -156,7 +156,7 @@ def windowed(ticks: DataFrame, names: list[str] | None = None, size: int | None
     names = names or list(WINDOWED)
     halo = 2 * max(periods.get(n, WINDOWED[n][1]) for n in names) + 4
     rows = prepare(ticks, halo, size)
-    rows = rows.withColumns({n: WINDOWED[n][0](periods.get(n, WINDOWED[n][1])) for n in names})
+    rows = with_shared(rows, {n: lambda n=n: WINDOWED[n][0](periods.get(n, WINDOWED[n][1])) for n in names})
     return own(rows).drop("d", "d0", "d_before")
 
 

@@ -9,25 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .indicators import full
-from .windows import chunked, frame, last, over, own, stream
+from .windows import agg, back, chunked, frame, over, own, shared, stream, with_shared
 
 HALO = 64
 
 
 def _min(a: int, b: int, x: str = "price") -> Column:
-    return F.min(x).over(frame(a, b))
+    return agg("min", x, a, b)
 
 
 def _max(a: int, b: int, x: str = "price") -> Column:
-    return F.max(x).over(frame(a, b))
+    return agg("max", x, a, b)
 
 
 def _sd(a: int, b: int) -> Column:
-    return F.when(_max(a, b) == _min(a, b), 0.0).otherwise(F.stddev_pop("price").over(frame(a, b)))
+    return F.when(_max(a, b) == _min(a, b), 0.0).otherwise(agg("stddev_pop", "price", a, b))
 
 
 def _at(k: int, x: str = "price") -> Column:
-    return F.lag(x, k).over(stream()) if k else F.col(x)
+    return back(x, k)
 
 
 def prepare(ticks: DataFrame, seconds: int = 86_400, size: int | None = None) -> DataFrame:
@@ -47,15 +47,15 @@ def prepare(ticks: DataFrame, seconds: int = 86_400, size: int | None = None) ->
 
 def histogram_entropy(n: int, bins: int) -> Column:
     """Entropy in bits of a window's values in bins of equal width; a constant window has none."""
-    lo, hi = F.min("price").over(last(n)), F.max("price").over(last(n))
-    places = F.transform(F.collect_list("price").over(last(n)), lambda x: F.least(F.floor((x - lo) / F.nullif((hi - lo) / bins, F.lit(0.0))), F.lit(bins - 1)).cast("int"))
+    lo, hi = agg("min", "price", 1 - n), agg("max", "price", 1 - n)
+    places = F.transform(agg("collect_list", "price", 1 - n), lambda x: F.least(F.floor((x - lo) / F.nullif((hi - lo) / bins, F.lit(0.0))), F.lit(bins - 1)).cast("int"))
     share = lambda b: F.size(F.filter(places, lambda p: p == b)) / F.lit(float(n))
     total = sum((F.when(share(b) > 0, -share(b) * F.log2(share(b))).otherwise(0.0) for b in range(bins)), F.lit(0.0))
     return full(n, F.when(hi == lo, 0.0).otherwise(total))
 
 
 DERIVED = {
-    "rolling_variance": lambda: full(20, F.when(_max(-19, 0) == _min(-19, 0), 0.0).otherwise(F.var_samp("price").over(last(20)))),
+    "rolling_variance": lambda: full(20, F.when(_max(-19, 0) == _min(-19, 0), 0.0).otherwise(agg("var_samp", "price", 1 - 20))),
     "rolling_entropy": lambda: histogram_entropy(20, 5),
     "rolling_slope": lambda: full(10, sum((_at(9 - k) * ((k - 4.5) / 82.5) for k in range(10)), F.lit(0.0))),
     "rolling_acceleration": lambda: full(10, (F.col("d") - _at(8, "d")) / 8),
@@ -66,7 +66,7 @@ SURGE = lambda: over(over(F.lit(5.0), (F.col("ms") - _at(5, "ms")).cast("double"
 
 
 def _expansion(n: int) -> Column:
-    return over(F.col("candle_range"), F.avg("candle_range").over(frame(-n, -1)))
+    return over(F.col("candle_range"), agg("avg", "candle_range", -n, -1))
 
 
 def _flag(c: Column) -> Column:
@@ -77,8 +77,8 @@ PROXIES = {
     "local_minimum": lambda: F.when(F.col("i") >= 1, _flag(F.col("price") < _min(-10, -1))).otherwise(0),
     "local_maximum": lambda: F.when(F.col("i") >= 1, _flag(F.col("price") > _max(-10, -1))).otherwise(0),
     "local_extremum": lambda: F.when(F.col("i") >= 1, _flag((F.col("price") < _min(-10, -1)) | (F.col("price") > _max(-10, -1)))).otherwise(0),
-    "volatility_ratio": lambda: full(20, over(F.var_samp("price").over(last(5)), F.var_samp("price").over(last(20)))),
-    "volatility_spike": lambda: full(20, _flag(over(F.var_samp("price").over(last(5)), F.var_samp("price").over(last(20))) > 2)),
+    "volatility_ratio": lambda: full(20, over(agg("var_samp", "price", 1 - 5), agg("var_samp", "price", 1 - 20))),
+    "volatility_spike": lambda: full(20, _flag(over(agg("var_samp", "price", 1 - 5), agg("var_samp", "price", 1 - 20)) > 2)),
     "range_expansion": lambda: F.when(F.col("i") >= 10, _expansion(10)),
     "tick_rate_surge": lambda: F.when(F.col("i") >= 20, SURGE()),
     "compression_release": lambda: full(15, F.when(
@@ -101,7 +101,9 @@ def _sign(x: Column) -> Column:
 
 
 def _up_share(a: int, b: int) -> Column:
-    up, down = F.count_if(F.col("d") > 0).over(frame(a, b)), F.count_if(F.col("d") < 0).over(frame(a, b))
+    name = f"{a}_{b}".replace("-", "m")
+    up = shared(f"_ups_{name}", lambda: F.count_if(F.col("d") > 0).over(frame(a, b)))
+    down = shared(f"_downs_{name}", lambda: F.count_if(F.col("d") < 0).over(frame(a, b)))
     return F.coalesce(up / F.nullif(up + down, F.lit(0)), F.lit(0.5))
 
 
@@ -110,8 +112,8 @@ def _trending(a: int, b: int, move: Column) -> Column:
 
 
 def _crossings() -> Column:
-    mean = F.avg("price").over(last(20))
-    sides = F.transform(F.collect_list("price").over(last(20)), lambda x: x - mean)
+    mean = agg("avg", "price", 1 - 20)
+    sides = F.transform(agg("collect_list", "price", 1 - 20), lambda x: x - mean)
     return F.size(F.filter(F.zip_with(F.slice(sides, 1, 19), F.slice(sides, 2, 19), lambda a, b: a * b), lambda p: p < 0))
 
 
@@ -134,8 +136,8 @@ def _flips() -> Column:
 STATES = {
     "trend": lambda: _state((_sd(-19, 0) > 0) & (_move() > 0.5 * _sd(-19, 0))),
     "ranging": lambda: _state(F.when(_sd(-19, 0) == 0, F.col("price") == _at(19)).otherwise(_move() < 0.25 * _sd(-19, 0))),
-    "high_volatility": lambda: _state(over(_sd(-19, 0), F.abs(F.avg("price").over(last(20)))) > 0.02),
-    "low_volatility": lambda: _state(over(_sd(-19, 0), F.abs(F.avg("price").over(last(20)))) < 0.002),
+    "high_volatility": lambda: _state(over(_sd(-19, 0), F.abs(agg("avg", "price", 1 - 20))) > 0.02),
+    "low_volatility": lambda: _state(over(_sd(-19, 0), F.abs(agg("avg", "price", 1 - 20))) < 0.002),
     "compression": lambda: _state((_sd(-19, -10) > 0) & (_sd(-9, 0) < 0.5 * _sd(-19, -10))),
     "expansion": lambda: _state(_sd(-9, 0) > 2 * _sd(-19, -10)),
     "persistence": lambda: _state(_sign(_halves()[0]) * _sign(_halves()[1]) > 0),
@@ -144,8 +146,8 @@ STATES = {
     "drift": lambda: _state((_sd(-19, 0) > 0) & _move().between(0.25 * _sd(-19, 0), 0.5 * _sd(-19, 0))),
     "regime_transition": lambda: _state(_trending(-19, -10, _halves()[0]) != _trending(-9, 0, _halves()[1])),
     "mean_reversion": lambda: _state(
-        F.abs(F.col("price") - F.avg("price").over(last(20)))
-        < 0.3 * F.greatest(_max(-19, 0) - F.avg("price").over(last(20)), F.avg("price").over(last(20)) - _min(-19, 0))),
+        F.abs(F.col("price") - agg("avg", "price", 1 - 20))
+        < 0.3 * F.greatest(_max(-19, 0) - agg("avg", "price", 1 - 20), agg("avg", "price", 1 - 20) - _min(-19, 0))),
     "low_persistence": lambda: _state(_flips() >= 2),
     "volatility_shift": lambda: _state(_shifted()),
     "entropy_shift": lambda: _state(F.abs(_up_share(-19, -10) - _up_share(-9, 0)) > 0.3),
@@ -178,7 +180,7 @@ def contexts() -> dict[str, Column]:
 
 
 def _added(ticks: DataFrame, columns: dict, size: int | None) -> DataFrame:
-    return own(prepare(ticks, size=size).withColumns({k: v() for k, v in columns.items()}))
+    return own(with_shared(prepare(ticks, size=size), columns))
 
 
 def derived(ticks: DataFrame, size: int | None = None) -> DataFrame:

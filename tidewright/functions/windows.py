@@ -37,8 +37,38 @@ def frame(a: int, b: int, index: str = "i"):
     return stream(index).rowsBetween(a, b)
 
 
-def with_columns(rows: DataFrame, columns: dict[str, Column | Callable[[], Column]]) -> DataFrame:
-    return rows.withColumns({k: v() if callable(v) else v for k, v in columns.items()})
+_gathered: dict[str, Column] | None = None
+
+
+def shared(name: str, build: Callable[[], Column]) -> Column:
+    """A window aggregate that several features use. While ``with_shared`` gathers features it is a column made once; Spark
+    evaluates equal window expressions of one row as often as they are written."""
+    if _gathered is None:
+        return build()
+    if name not in _gathered:
+        _gathered[name] = build()
+    return F.col(name)
+
+
+def with_shared(rows: DataFrame, columns: dict[str, Callable[[], Column]]) -> DataFrame:
+    """``rows`` with ``columns``, whose shared aggregates are made first and dropped last."""
+    global _gathered
+    _gathered = {}
+    try:
+        made, frames = {k: v() for k, v in columns.items()}, _gathered
+    finally:
+        _gathered = None
+    return rows.withColumns(frames).withColumns(made).drop(*frames)
+
+
+def agg(f: str, x: str, a: int, b: int = 0) -> Column:
+    """The aggregate ``f`` of ``x`` from ``a`` rows on (negative: before) to ``b``, shared."""
+    return shared(f"_{f}_{x}_{a}_{b}".replace("-", "m"), lambda: getattr(F, f)(x).over(frame(a, b)))
+
+
+def back(x: str, k: int) -> Column:
+    """``x`` of ``k`` rows before, shared."""
+    return shared(f"_lag_{x}_{k}", lambda: F.lag(x, k).over(stream())) if k else F.col(x)
 
 
 def over(a: Column, b: Column) -> Column:
