@@ -564,3 +564,60 @@ def test_pipeline_stages_take_effect(spark, docs, tmp_path):
     final = corpus_pipeline.run(spark, path).toPandas()
     assert 0 < left < docs.count() and final["doc_id"].nunique() == rows.filter("doc_id is not null").select("doc_id").distinct().count()
     assert rows.filter(F.col("text").contains("@x-y")).count() == 0
+
+
+def plainly_kept(t):
+    """The quality table by hand: bounds on words, repeats, word length, symbols, stop words and repeated lines."""
+    w = words(t)
+    grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    repeated = len({k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)})
+    lines = [x for x in t.split("\n") if words(x)]
+    if len(w) < 50 or repeated > 0.5 * len(w) or not 1.5 <= sum(map(len, w)) / len(w) <= 25 or len(re.findall(r"[#*$%&|<>]", t)) > 0.3 * len(w):
+        return False
+    return sum(x.lower() in quality.STOP_WORDS for x in w) >= 0.005 * len(w) and len(lines) - len(set(lines)) <= 0.7 * len(lines)
+
+
+def plainly_masked(t):
+    out, at = [], 0
+    for a, k, b in base_spans(t):
+        if a >= at:
+            out += [t[at:a], f"[{pii.KINDS[k].upper()}]"]
+        at = max(at, b)
+    return "".join(out) + t[at:]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.choice([20, 70, 120, 300]))) for i in range(40)]
+    passage = prose(rng, 60)
+    rows += [(i, f"{prose(rng, 60)} {passage} {prose(rng, 60)}") for i in range(40, 50)]
+    near = prose(rng, 200).split()
+    rows += [(i, " ".join(f"e{i}" if rng.random() < 0.01 * (i % 3) else x for x in near)) for i in range(50, 62)]
+    rows += [(62, prose(rng, 60) + " mail a.b@c.de or call +1 (555) 010-9999 from 10.0.0.255 " + prose(rng, 10)), (63, None), (64, ""), (65, "a b c " * 50), (66, rows[0][1]), (66, rows[0][1]), (67, "# " * 80 + prose(rng, 60))]
+    path = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    left = [(i, t) for i, t in rows if plainly_kept(t or "")]
+    root = grouped({i: shingles(t) for i, t in left}, 80)
+    left = [(i, t) for i, t in left if root[i] == i]
+    first = {}
+    for i, t in sorted(left):
+        w = words(t)
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    cut = []
+    for i, t in left:
+        w = words(t)
+        gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(50)}
+        cut.append((i, " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t))
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    want = {i: np.array(t.encode(plainly_masked(x), add_special_tokens=False).ids + [1], "<u4") for i, x in cut}
+    assert 20 < len(want) < 60 and sum(x != y for (_, x), (_, y) in zip(cut, left)) >= 8
+    got = corpus_pipeline.run(spark, path).toPandas()
+    assert set(got["doc_id"]) == set(want)
+    for i, g in got.sort_values("start").groupby("doc_id"):
+        assert (g["doc_tokens"] == len(want[i])).all() and g["length"].sum() == len(want[i])
+        assert all(zlib.crc32(want[i][s : s + n].tobytes()) == c for s, n, c in zip(g["start"], g["length"], g["ids_crc32"]))
