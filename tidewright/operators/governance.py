@@ -70,11 +70,28 @@ def verdict_ladder(rows: DataFrame, checks: list[tuple[str, Column]], passed: st
     return rows.withColumn("verdict", ladder.otherwise(passed))
 
 
+def _width(*ranges: DataFrame) -> int:
+    """The mean length of some ranges: cells of this width put a range into two of them on average, however long ranges are."""
+    lengths = [r.agg(F.sum(F.col("end") - F.col("start") + 1).alias("s"), F.count("*").alias("n")).first() for r in ranges]
+    return max(1, math.ceil(sum(x.s or 0 for x in lengths) / max(1, sum(x.n for x in lengths))))
+
+
+def _in_cells(ranges: DataFrame, width: int) -> DataFrame:
+    return ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+
+
+def _touching(a: str, b: str, width: int) -> Column:
+    """That two ranges of one dataset overlap, said in the first cell that both are in only."""
+    c = lambda x, n: F.col(f"{x}.{n}")
+    first = F.greatest(F.floor(c(a, "start") / width), F.floor(c(b, "start") / width))
+    return (c(a, "dataset") == c(b, "dataset")) & (c(a, "cell") == c(b, "cell")) & (c(a, "cell") == first) & (c(a, "start") <= c(b, "end")) & (c(b, "start") <= c(a, "end"))
+
+
 def prior_access(accesses: DataFrame, registrations: DataFrame, disclosed: DataFrame) -> DataFrame:
     """Accesses to a hypothesis's holdout range before it was registered that nobody disclosed."""
-    a, r = accesses.alias("a"), registrations.alias("r")
-    touching = (F.col("a.dataset") == F.col("r.dataset")) & (F.col("a.start") <= F.col("r.end")) & (F.col("r.start") <= F.col("a.end")) & (F.col("a.at") < F.col("r.registered_at"))
-    found = a.join(r, touching).select("r.hypothesis_id", "a.access_id")
+    width = _width(accesses, registrations)
+    a, r = _in_cells(accesses, width).alias("a"), _in_cells(registrations, width).alias("r")
+    found = a.join(r, _touching("a", "r", width) & (F.col("a.at") < F.col("r.registered_at"))).select("r.hypothesis_id", "a.access_id")
     return found.join(disclosed.select("hypothesis_id", "access_id"), ["hypothesis_id", "access_id"], "left_anti")
 
 
@@ -159,10 +176,8 @@ def family_key(name: str, market: Column, options: Column) -> Column:
 
 
 def overlapping(partitions: DataFrame) -> DataFrame:
-    """Pairs of partitions of one dataset whose ranges overlap, each once: ranges are put into cells of their own length's
-    order, so only those that share a cell are compared."""
-    cells = F.explode(F.sequence(F.floor(F.col("start") / 1000), F.floor(F.col("end") / 1000)))
-    rows = partitions.withColumn("cell", cells)
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.dataset") == F.col("b.dataset")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.start") <= F.col("b.end")) & (F.col("b.start") <= F.col("a.end")))
-    return pairs.select("a.dataset", F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id")).distinct()
+    """Pairs of partitions of one dataset whose ranges overlap, each once: only those that share a cell are compared."""
+    width = _width(partitions)
+    rows = _in_cells(partitions, width)
+    pairs = rows.alias("a").join(rows.alias("b"), _touching("a", "b", width) & (F.col("a.id") < F.col("b.id")))
+    return pairs.select("a.dataset", F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id"))

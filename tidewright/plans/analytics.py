@@ -210,12 +210,12 @@ def provenance_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with a as (select o_orderkey as access_id, o_custkey % 50 as dataset, o_orderkey as s from orders),
 r as (select p_partkey as h, p_partkey % 50 as dataset, p_partkey * 50 as s, p_partkey * 100 as at from part)
-select r.h as hypothesis_id, a.access_id from a join r on a.dataset = r.dataset and a.s <= r.s + 600 and r.s <= a.s + 10 and a.s < r.at where not (r.h % 3 = 0 and a.access_id % 2 = 0)""")
+select r.h as hypothesis_id, a.access_id from a join r on a.dataset = r.dataset and a.s <= r.s + 600 and r.s <= a.s + 10 and a.s < r.at where not exists (select 1 from lineitem where l_partkey = r.h and l_orderkey = a.access_id)""")
 def undisclosed_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("access_id"), (F.col("o_custkey") % 50).alias("dataset"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 10).alias("end"), F.col("o_orderkey").alias("at"))
     r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("hypothesis_id"), (F.col("p_partkey") % 50).alias("dataset"), (F.col("p_partkey") * 50).alias("start"), (F.col("p_partkey") * 50 + 600).alias("end"), (F.col("p_partkey") * 100).alias("registered_at"))
-    none = gv.prior_access(a, r, spark.createDataFrame([], "hypothesis_id long, access_id long"))
-    return gv.prior_access(a, r, none.filter("hypothesis_id % 3 = 0 and access_id % 2 = 0"))
+    disclosed = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("hypothesis_id"), F.col("l_orderkey").alias("access_id"))
+    return gv.prior_access(a, r, disclosed)
 
 
 @query("select o_orderpriority as campaign, count(*) as evaluated, count(*) filter (o_orderstatus = 'F') as promoted, round(count(*) filter (o_orderstatus = 'F') / count(*), 6) as rate from orders group by rollup (o_orderpriority)")
