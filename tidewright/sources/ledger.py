@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 
 class DuplicateKey(ValueError):
     """A row's key is stored already, or stands twice among new rows."""
@@ -20,11 +22,11 @@ class Ledger:
         empty = self.spark.createDataFrame([], self.schema)
         if not self._exists():
             return empty
-        stored = self.spark.read.parquet(self.path)
-        drift = {(f.name, f.dataType) for f in stored.schema} ^ {(f.name, f.dataType) for f in empty.schema}
+        rows = self.spark.read.parquet(self.path)
+        drift = {(f.name, f.dataType) for f in rows.schema} ^ {(f.name, f.dataType) for f in empty.schema}
         if drift:
             raise ValueError(f"stored and declared columns differ: {sorted(n for n, _ in drift)}")
-        return stored.select(*empty.columns)
+        return rows.select(*empty.columns)
 
     def _exists(self) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -44,10 +46,10 @@ class Ledger:
     def write_once(self, rows: DataFrame) -> DataFrame:
         """Add the rows whose key is new; all of ``rows`` come back as stored, with whether they were created."""
         first = rows.dropDuplicates(self.keys)
-        new = first.join(self.read().select(*self.keys), self.keys, "left_anti")
-        keys = new.select(*self.keys).withColumn("created", F.lit(True)).collect()  # what one caller adds at once
+        # written to a table of its own first: what is new can't be told any more once it is in the ledger
+        new = stored(first.join(self.read().select(*self.keys), self.keys, "left_anti"), "new-rows")
         new.select(*self.read().columns).write.mode("append").parquet(self.path)
-        created = self.spark.createDataFrame(keys, new.select(*self.keys).schema.add("created", "boolean"))
+        created = new.select(*self.keys).withColumn("created", F.lit(True))
         return self.read().join(first.select(*self.keys), self.keys, "left_semi").join(created, self.keys, "left").fillna(False, ["created"])
 
     def latest(self, prefix: list[str], seq: str) -> DataFrame:
