@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.windows import js_round, over
+from tidewright.functions.windows import chunked, js_round, over, own, stream
 from tidewright.sources.ticks import epoch
 
 
@@ -48,8 +48,7 @@ def order_flow(candles: DataFrame, order: str) -> DataFrame:
 def aggression(ticks: DataFrame, seconds: int = 60, recent: int = 10) -> DataFrame:
     """Buy and sell aggression of each bucket. A tick moves against the tick before it, also over a bucket's edge; the
     intensity compares a bucket's moves with the mean of up to ``recent`` buckets before it."""
-    stream = Window.partitionBy("symbol").orderBy("i")
-    move = ticks.withColumn("d", F.col("price") - F.lag("price").over(stream)).withColumn("start", F.floor(epoch("ts") / seconds) * seconds)
+    move = own(chunked(ticks, 1).withColumn("d", F.col("price") - F.lag("price").over(stream()))).withColumn("start", F.floor(epoch("ts") / seconds) * seconds)
     up, down = F.col("d") > 0, F.col("d") < 0
     rows = move.groupBy("symbol", "start").agg(
         F.count_if(up).alias("up_ticks"), F.count_if(down).alias("down_ticks"), F.count("*").alias("ticks"),
