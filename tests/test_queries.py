@@ -39,7 +39,7 @@ def test_query_equals_its_sql(spark, duck, name):
 #: What must hold of every row, or of the whole, where SQL has no answer.
 HOLDS = {
     "historical_analogs": lambda d: (d["continued_pct"].fillna(0).between(0, 100) & (d["continued_pct"].fillna(0) + d["reversed_pct"].fillna(0) <= 101)).all() and d["symbol"].is_unique,
-    "similar_windows": lambda d: len(d) > 0 and (d.groupby("symbol").size() <= 8).all(),
+    "similar_windows": lambda d: (d.groupby("symbol").size() <= 8).all() and d["distance"].between(0, 0.9).all(),
     "probability_engine": lambda d: (d["p_continue"] + d["p_reverse"] == 100).all() and d["p_continue"].between(5, 95).all() and d["confidence"].between(10, 95).all(),
     "rule_engine": lambda d: d["confidence"].between(0, 100).all() and (d["type"] == "trendStrength").sum() == d["symbol"].nunique(),
     "thompson_sampling": lambda d: d["draw"].between(0, 1).all() and d.sort_values("rank")["draw"].is_monotonic_decreasing and sorted(d["rank"]) == list(range(1, len(d) + 1)),

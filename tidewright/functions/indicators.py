@@ -156,7 +156,11 @@ def windowed(ticks: DataFrame, names: list[str] | None = None, size: int | None
     names = names or list(WINDOWED)
     halo = 2 * max(periods.get(n, WINDOWED[n][1]) for n in names) + 4
     rows = prepare(ticks, halo, size)
-    rows = with_shared(rows, {n: lambda n=n: WINDOWED[n][0](periods.get(n, WINDOWED[n][1])) for n in names})
+    period = lambda n: periods.get(n, WINDOWED[n][1])
+    again = {"hurst", "fractal_dimension"} <= set(names) and period("hurst") == period("fractal_dimension")
+    rows = with_shared(rows, {n: lambda n=n: WINDOWED[n][0](period(n)) for n in names if not (again and n == "fractal_dimension")})
+    if again:  # one follows from the other
+        rows = rows.withColumn("fractal_dimension", 2 - F.col("hurst"))
     return own(rows).drop("d", "d0", "d_before")
 
 
