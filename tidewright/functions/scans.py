@@ -31,14 +31,14 @@ def running(rows: DataFrame, keys: list[str], order: list, sums: dict[str, Colum
     return out.drop(*[f"_{n}" for n in sums], *[f"_{n}_0" for n in sums])
 
 
-def numbered(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """``rows`` with their place in ``order``, from 1."""
+def numbered(rows: DataFrame, order: list, name: str = "rank", kind: str = "int") -> DataFrame:
+    """``rows`` with their place in ``order``, from 1; ``kind`` is its type, long where rows may be billions."""
     placed = ordered(rows, *order)
     sizes = placed.groupBy("part").agg(F.count("*").alias("_n"))
     # a row for each partition of the sort
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    return placed.join(starts, "part").withColumn(name, (F.col("_first") + F.col("at") + 1).cast("int")).drop("part", "at", "_first")
+    return placed.join(starts, "part").withColumn(name, (F.col("_first") + F.col("at") + 1).cast(kind)).drop("part", "at", "_first")
 
 
 def least_after(rows: DataFrame, order: list, value: Column, name: str) -> DataFrame:
