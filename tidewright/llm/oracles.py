@@ -53,4 +53,41 @@ e as (select a, b from l union select b, a from l),
 r as (select doc_id as node, doc_id as root from documents union select e.b, r.root from r join e on e.a = r.node)
 select d.doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(r.root) as component_id, d.doc_id = min(r.root) as kept
 from documents d join r on r.node = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id""",
+    "op11_filter_audit": r"""
+with m as (select coalesce(text, '') t, min(doc_id) first from documents group by 1),
+f as (
+  select doc_id, coalesce(source, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+l as (select doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels group by doc_id),
+b as (
+  select part, coalesce(good, false) good, coalesce(toxic, false) toxic,
+    (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int
+    + 4 * (100 * (length(f.t) - length(regexp_replace(f.t, '[A-Z]', '', 'g'))) > 2 * length(f.t))::int
+    + 8 * regexp_matches(f.t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int bits
+  from f join m on m.t = f.t left join l using (doc_id)),
+c as (select part, bits, count(*) n, count(*) filter (good) g, count(*) filter (toxic) x from b group by 1, 2),
+v(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p as (
+  select [a.bit, b.bit, c.bit, d.bit, e.bit] bs, a.letter || b.letter || c.letter || d.letter || e.letter filter_order
+  from v a join v b on b.bit <> a.bit join v c on c.bit not in (a.bit, b.bit) join v d on d.bit not in (a.bit, b.bit, c.bit)
+  join v e on a.bit + b.bit + c.bit + d.bit + e.bit = 31 and e.bit not in (a.bit, b.bit, c.bit, d.bit)),
+s as (select filter_order, step, bs[step] bit, list_sum(bs[1:step]) - bs[step] before from p, range(1, 6) t(step)),
+o as (
+  select part, filter_order, step::int step, bit, sum(n) filter (bits & (before + bit) = 0) kept,
+    sum(n) filter (bits & before = 0 and bits & bit > 0) removed, sum(n) filter (bits & before > 0 and bits & bit > 0) redundant,
+    sum(n) filter (bits = bit) unique_fails, sum(g) filter (bits & before = 0 and bits & bit > 0) good_lost,
+    sum(x) filter (bits & before = 0 and bits & bit > 0) toxic_lost
+  from c, (select filter_order, step, bit, before::bigint before from s) group by 1, 2, 3, 4)
+select part, filter_order, step, coalesce(kept, 0)::bigint kept, coalesce(removed, 0)::bigint removed, coalesce(redundant, 0)::bigint redundant,
+  coalesce(unique_fails, 0)::bigint unique_fails, coalesce(good_lost, 0)::bigint good_lost, coalesce(toxic_lost, 0)::bigint toxic_lost,
+  coalesce(sum(removed) over (partition by part, bit), 0)::bigint shapley
+from o""",
+    "op12_line_dedup": r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) pos from documents),
+k as (
+  select *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key
+  from l),
+c as (select key, max(doc_id) last from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+j as (select k.*, coalesce(c.last <> doc_id, false) gone from k left join c using (key))
+select doc_id, count(*)::bigint n_lines, count(*) filter (gone)::bigint n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256
+from j group by doc_id""",
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, lm, minhash, packing, pii, quality, substrings, warc
+from . import ann, bpe, interactions, licenses, lines, lm, minhash, packing, pii, quality, resample, substrings, warc
 from .common import table, texts
 
 
@@ -51,10 +51,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(texts(table(spark, sf_dir, "documents")), ranks, public_tokenizers.PATTERN).drop("ids")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(texts(table(spark, sf_dir, "documents"))).drop("text")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_packing, op3_pii, op4_lm_scoring, op5_license_scan, op6_nearest_neighbours, op7_substring_dedup,
-        op8_minhash, op9_quality_rules, op10_byte_bpe,
+        op8_minhash, op9_quality_rules, op10_byte_bpe, op11_filter_audit, op12_line_dedup, op13_importance_resampling,
     )
 }
