@@ -54,13 +54,18 @@ def least_after(rows: DataFrame, order: list, value: Column, name: str) -> DataF
 def carried(rows: DataFrame, value: Column, name: str, index: str = "i", size: int = CHUNK, inclusive: bool = True) -> DataFrame:
     """``rows`` (symbol, ``index``) with the last ``value`` that isn't null at the row or before it (before it only, where
     not ``inclusive``), however far back: within chunks of a symbol, then from the ends of the chunks before."""
-    cut = rows.withColumn("_c", F.floor(F.col(index) / size)).withColumn("_v", value)
+    return all_carried(rows, {name: value}, index, size, inclusive)
+
+
+def all_carried(rows: DataFrame, values: dict[str, Column], index: str = "i", size: int = CHUNK, inclusive: bool = True) -> DataFrame:
+    """As ``carried``, for several columns in one pass."""
+    cut = rows.withColumn("_c", F.floor(F.col(index) / size)).withColumns({f"_v_{n}": c for n, c in values.items()})
     frame = Window.partitionBy("symbol", "_c").orderBy(index).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    ends = cut.groupBy("symbol", "_c").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(index))).alias("_end"))
+    ends = cut.groupBy("symbol", "_c").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(index))).alias(f"_end_{n}") for n in values])
     before = Window.partitionBy("symbol").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select("symbol", "_c", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
-    out = cut.withColumn("_here", F.last("_v", ignorenulls=True).over(frame)).join(carry, ["symbol", "_c"])
-    return out.withColumn(name, F.coalesce("_here", "_carry")).drop("_c", "_v", "_here", "_carry")
+    carry = ends.select("symbol", "_c", *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_carry_{n}") for n in values])
+    out = cut.withColumns({f"_here_{n}": F.last(f"_v_{n}", ignorenulls=True).over(frame) for n in values}).join(carry, ["symbol", "_c"])
+    return out.withColumns({n: F.coalesce(f"_here_{n}", f"_carry_{n}") for n in values}).drop("_c", *[f"_{k}_{n}" for n in values for k in ("v", "here", "carry")])
 
 
 def counted(rows: DataFrame, hit: Column, name: str, index: str = "i", size: int = CHUNK) -> DataFrame:

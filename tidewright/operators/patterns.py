@@ -11,11 +11,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.scans import carried
-from tidewright.functions.windows import js_round, over
+from tidewright.functions.scans import all_carried
+from tidewright.functions.windows import chunked, js_round, over, own, stream
+
 
 def by_candle():
-    return Window.partitionBy("symbol").orderBy("c")
+    """Over chunks of a symbol's candles; every use of it cuts them with the neighbours it looks at."""
+    return stream("c")
+
+
+def cut(candles: DataFrame, before: int, after: int = 0) -> DataFrame:
+    return chunked(candles, before, after, index="c")
+
+
+def _sized(candles: DataFrame) -> DataFrame:
+    """``candles`` with ``n``, how many their symbol has."""
+    return candles.drop("n").join(candles.groupBy("symbol").agg(F.count("*").alias("n")), "symbol")
 
 
 def bull(k: int = 0) -> Column:
@@ -43,14 +54,14 @@ def candlesticks(candles: DataFrame) -> DataFrame:
     size, before = top() - bottom(), top(1) - bottom(1)
     upper, lower = F.col("high") - top(), bottom() - F.col("low")
     span = F.col("high") - F.col("low")
-    rows = candles.withColumns({
+    rows = cut(candles, 1).withColumns({
         "engulfing": F.when((bull() != bull(1)) & (top() >= top(1)) & (bottom() <= bottom(1)) & (size > before), _side(bull())),
         "outsideBar": F.when((F.col("high") > at("high", 1)) & (F.col("low") < at("low", 1)), _side(bull())),
         "insideBar": F.when((F.col("high") <= at("high", 1)) & (F.col("low") >= at("low", 1)), "none"),
         "pinBar": F.when(size == 0, None).when((lower >= 2 * size) & (upper <= 0.3 * lower), "bullish").when((upper >= 2 * size) & (lower <= 0.3 * upper), "bearish"),
         "doji": F.when(over(size, span) <= 0.1, "none"),
     })
-    return _long(rows, "engulfing", "outsideBar", "insideBar", "pinBar", "doji")
+    return _long(own(rows), "engulfing", "outsideBar", "insideBar", "pinBar", "doji")
 
 
 def _long(rows: DataFrame, *names: str) -> DataFrame:
@@ -64,7 +75,7 @@ def swings(candles: DataFrame, lookback: int = 2) -> DataFrame:
     near = [k for k in range(-lookback, lookback + 1) if k]
     high = reduce(lambda a, b: a & b, [F.col("high") > at("high", k) for k in near])
     low = reduce(lambda a, b: a & b, [F.col("low") < at("low", k) for k in near])
-    rows = candles.withColumns({"is_high": high, "is_low": low})
+    rows = own(cut(candles, lookback, lookback).withColumns({"is_high": high, "is_low": low}))
     found = F.array(F.when(F.col("is_high"), F.struct(F.lit("high").alias("type"), F.col("high").alias("price"))), F.when(F.col("is_low"), F.struct(F.lit("low").alias("type"), F.col("low").alias("price"))))
     return rows.select("symbol", "c", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("s")).select("symbol", "c", "s.type", "s.price")
 
@@ -104,9 +115,7 @@ def with_structure(candles: DataFrame, lookback: int = 2, causal: bool = False)
     if causal:
         by = by.withColumn("c", F.col("c") + lookback)
     rows = candles.join(by, ["symbol", "c"], "left")
-    for n, x in (("last_high", "swing_high"), ("last_low", "swing_low"), ("trend", "swing_trend")):
-        rows = carried(rows, F.col(x), n, "c", inclusive=causal)
-    return rows
+    return all_carried(rows, {"last_high": F.col("swing_high"), "last_low": F.col("swing_low"), "trend": F.col("swing_trend")}, "c", inclusive=causal)
 
 
 def structure(candles: DataFrame, lookback: int = 2, causal: bool = False) -> DataFrame:
@@ -128,11 +137,12 @@ def zones(candles: DataFrame, times: float = 2, mean_of: int = 10) -> DataFrame:
     gap = F.when(up, F.struct(F.lit("bullish").alias("direction"), at("low", -1).alias("top"), at("high", 1).alias("bottom"))).when(
         down, F.struct(F.lit("bearish").alias("direction"), at("low", 1).alias("top"), at("high", -1).alias("bottom"))
     )
-    gaps = candles.withColumn("f", gap).filter("f is not null").select("symbol", F.lit("fvg").alias("type"), "c", "f.direction", "f.top", "f.bottom", (F.col("c") + 1).alias("confirmed_at"))
+    rows = cut(candles, max(mean_of, 6), 1)
+    gaps = rows.withColumn("f", gap).filter("own and f is not null").select("symbol", F.lit("fvg").alias("type"), "c", "f.direction", "f.top", "f.bottom", (F.col("c") + 1).alias("confirmed_at"))
     usual = F.avg(F.abs(F.col("close") - F.col("open"))).over(by_candle().rowsBetween(-mean_of, -1))
-    moved = (F.row_number().over(by_candle()) > mean_of) & (usual > 0) & (F.abs(F.col("close") - F.col("open")) >= times * usual)
+    moved = (F.col("c") >= mean_of) & (usual > 0) & (F.abs(F.col("close") - F.col("open")) >= times * usual)
     opposite = F.coalesce(*[F.when(bull(k) != bull(), F.struct((F.col("c") - k).alias("c"), top(k).alias("top"), bottom(k).alias("bottom"))) for k in range(1, 7)])
-    blocks = candles.withColumn("f", F.when(moved, opposite)).withColumn("direction", _side(bull())).filter("f is not null")
+    blocks = rows.withColumn("f", F.when(moved, opposite)).withColumn("direction", _side(bull())).filter("own and f is not null")
     blocks = blocks.select("symbol", F.lit("orderBlock").alias("type"), "f.c", "direction", "f.top", "f.bottom", F.col("c").alias("confirmed_at"))
     return gaps.unionByName(blocks)
 
@@ -171,12 +181,12 @@ def genome_analogs(candles: DataFrame, ahead: int = 6, most: float = 0.6, usual:
     """How candles went on after three candles shaped like a symbol's last three."""
     span = F.col("high") - F.col("low")
     share = lambda x: F.coalesce(over(x, span), F.lit(0.0))
-    rows = candles.withColumns({
+    rows = cut(_sized(candles), usual, ahead).withColumns({
         "body": share(F.abs(F.col("close") - F.col("open"))), "upper": share(F.col("high") - top()), "lower": share(bottom() - F.col("low")), "way": F.when(bull(), 1).otherwise(-1),
-        "span": span, "mean": F.avg(span).over(by_candle().rowsBetween(-(usual - 1), 0)), "after": at("close", -ahead), "n": F.count("*").over(Window.partitionBy("symbol")),
+        "span": span, "mean": F.avg(span).over(by_candle().rowsBetween(-(usual - 1), 0)), "after": at("close", -ahead),
     })
     genes = [F.struct(*[at(x, k).alias(x) for x in ("body", "upper", "lower", "way")], over(at("span", k), F.col("mean")).alias("size")) for k in (2, 1, 0)]
-    rows = rows.withColumn("genome", F.array(*genes)).withColumn("sign", F.col("way"))
+    rows = own(rows.withColumn("genome", F.array(*genes)).withColumn("sign", F.col("way")))
     current = rows.filter("c = n - 1 and mean > 0 and n >= 39").select("symbol", F.col("genome").alias("now"), F.col("way").alias("current_direction"))
 
     def apart(a: Column, b: Column) -> Column:
@@ -192,7 +202,7 @@ def _signatures(candles: DataFrame, size: int, lookback: int, ahead: int) -> Dat
     """For the window of ``size`` candles that each candle ends: trend of its own swings, share of rising candles, move;
     also the same over the window and the ``ahead`` candles after it."""
     s = swings(candles, lookback).groupBy("symbol", "c").agg(F.sort_array(F.collect_list(F.struct("type", "price"))).alias("s"))
-    rows = candles.join(s, ["symbol", "c"], "left").withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
+    rows = cut(_sized(candles).join(s, ["symbol", "c"], "left"), size, ahead)
 
     def trend(first: int, end: int) -> Column:
         inside = F.flatten(F.collect_list("s").over(by_candle().rowsBetween(first + lookback, end - lookback)))
@@ -202,10 +212,10 @@ def _signatures(candles: DataFrame, size: int, lookback: int, ahead: int) -> Dat
     rising = F.count_if(bull()).over(whole)
     span = F.col("high") - F.col("low")
     move = over(F.col("close") - F.first("open").over(whole), F.first("open").over(whole))
-    return rows.withColumns({
+    return own(rows.withColumns({
         "trend": trend(-(size - 1), 0), "trend_after": trend(-(size - 1), ahead), "ratio": rising / size, "skew": (2 * rising - size) / size, "move": F.coalesce(move, F.lit(0.0)),
         "volatility": F.coalesce(100 * over(F.stddev_pop(span).over(whole), F.avg(span).over(whole)), F.lit(0.0)), "after": at("close", -ahead),
-    })
+    }))
 
 
 def historical_analogs(candles: DataFrame, size: int = 12, ahead: int = 8, least: float = 0.75) -> DataFrame:
@@ -237,5 +247,5 @@ def reach(candles: DataFrame, target: float = 1.05, ahead: int = 20) -> DataFram
     far = abs(target - 1)
     forward = by_candle().rowsBetween(1, ahead)
     hit = (F.max("high").over(forward) - F.col("close")) / F.col("close") if target >= 1 else (F.col("close") - F.min("low").over(forward)) / F.col("close")
-    rows = candles.withColumn("hit", hit >= far).withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).filter(f"c < n - {ahead} and close != 0")
+    rows = own(cut(_sized(candles), 0, ahead).withColumn("hit", hit >= far)).filter(f"c < n - {ahead} and close != 0")
     return rows.groupBy("symbol").agg(js_round(F.least(F.greatest(100.0 * F.count_if("hit") / F.count("*"), F.lit(5.0)), F.lit(95.0))).alias("probability"), F.count("*").alias("sample_size"))

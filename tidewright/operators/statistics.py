@@ -63,8 +63,8 @@ def ranked(values: DataFrame, key: str) -> DataFrame:
     """Features by a composite of the three measures."""
     rows = mutual_information(values).join(split_gain(values, key), "feature").join(linear_effect(values), "feature")
     score = (F.col("mutual_information") + 2 * F.col("split_gain") + F.col("linear_effect")) / 4
-    rows = rows.withColumn("composite", score)
-    return numbered(rows, [F.desc("composite"), "feature"])
+    # a row for each feature: too few to be worth a sort by ranges
+    return rows.withColumn("composite", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite"), "feature")))
 
 
 def kolmogorov_smirnov(rows: DataFrame, side: Column, value: str, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import place
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,9 +25,28 @@ def index_by_day(rows: DataFrame, keys: list[str], order: list[str], day: Column
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, ts, event_id, price and i, the tick's place in its symbol's stream; ``event_id`` breaks ties of time."""
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"))
-    return index_by_day(e, ["symbol"], ["ts", "event_id"], F.to_date("ts"), "i")
+    """symbol, ts, event_id, price and i, the tick's place in its symbol's stream; ``event_id`` breaks ties of time. They are
+    numbered once a session and kept in the shared folder for as long as the files of ``events`` stay the same."""
+    source = f"{sf_dir}/events.parquet"
+    key = (spark.sparkContext.applicationId, source, _files(spark, source))
+    if key not in _numbered or not _files(spark, _numbered[key][0]):
+        e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"))
+        made = index_by_day(e, ["symbol"], ["ts", "event_id"], F.to_date("ts"), "i")
+        path = place(spark, "ticks")
+        made.write.parquet(path)
+        _numbered[key] = (path, made.schema)
+    path, schema = _numbered[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+_numbered: dict[tuple, tuple] = {}
+
+
+def _files(spark: SparkSession, source: str) -> tuple:
+    """Name, length and time of the file or files at a path of any Hadoop file system; none where there is nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)) if fs.exists(path) else ()
 
 
 def epoch(ts: str | Column) -> Column:
