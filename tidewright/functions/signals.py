@@ -30,7 +30,7 @@ def _at(k: int, x: str = "price") -> Column:
     return back(x, k)
 
 
-def prepare(ticks: DataFrame, seconds: int = 86_400, size: int | None = None) -> DataFrame:
+def prepare(ticks: DataFrame, seconds: int = 86_400, size: int | None = None, halo: int = HALO) -> DataFrame:
     """Ticks with their change, direction, running candle of a bucket of ``seconds`` and time in milliseconds. The
     running candle needs its whole bucket, so it is made before rows are cut into chunks."""
     from pyspark.sql import Window
@@ -40,7 +40,7 @@ def prepare(ticks: DataFrame, seconds: int = 86_400, size: int | None = None) ->
     rows = ticks.withColumn("ms", ms).withColumn("candle_start", start).withColumn("candle_end", start + seconds)
     so_far = Window.partitionBy("symbol", "candle_start").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"candle_open": F.first("price").over(so_far), "candle_high": F.max("price").over(so_far), "candle_low": F.min("price").over(so_far)})
-    rows = chunked(rows, HALO, 1, **({"size": size} if size else {}))
+    rows = chunked(rows, halo, 1, **({"size": size} if size else {}))
     rows = rows.withColumn("d", F.col("price") - F.lag("price").over(stream()))
     return rows.withColumn("candle_range", F.col("candle_high") - F.col("candle_low"))
 
