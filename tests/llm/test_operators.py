@@ -297,7 +297,17 @@ def test_licenses(spark, docs):
     ("MIT License", "mit"),
     ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint main", "apache-2,mit"),
     ("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND CC-BY-SA-4.0", "cc-by-sa-4.0,classpath-exception-2-0,gpl-2"),
-    ("SPDX-License-Identifier: LicenseRef-Own AND MIT", ""),
+    ("SPDX-License-Identifier: LicenseRef-Own AND MIT", "mit"),
+    ("SPDX-License-Identifier: Foo-1.0 OR MIT", "mit"),
+    ("SPDX-License-Identifier: MIT OR Foo-1.0 OR (Apache-2.0 AND Bar)", "apache-2,mit"),
+    ("SPDX-License-Identifier: Foo-1.0\nand then much more text of a file that goes on and on with mit in it", ""),
+    ('license = "BSD-3-Clause"', "bsd-3-clause"),
+    ("License: MIT", "mit"),
+    ("Name: x\nLicence : (GPL-2.0-only WITH Classpath-exception-2.0)", "classpath-exception-2-0,gpl-2"),
+    ('{"name": "y", "license": "Apache-2.0", "license_id": "isc"}', "apache-2,isc"),
+    ("the license: it says nothing", ""),
+    ("an mit license plate of the mit license renewal", ""),
+    ("the mit license holds", "mit"),
     ("released under the Mozilla Public License 2.0", "mpl-2"),
     ("the MIT professor took a license", ""),
 ])
@@ -621,3 +631,42 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for i, g in got.sort_values("start").groupby("doc_id"):
         assert (g["doc_tokens"] == len(want[i])).all() and g["length"].sum() == len(want[i])
         assert all(zlib.crc32(want[i][s : s + n].tobytes()) == c for s, n, c in zip(g["start"], g["length"], g["ids_crc32"]))
+
+
+def test_copies_of_a_passage_are_one_segment():
+    rng = random.Random(5)
+    passage, other = prose(rng, 80), prose(rng, 80)
+    rows = pd.DataFrame([(i, passage if i < 60 else other if i < 62 else prose(rng, 80), 0) for i in range(64)], columns=["doc_id", "text", "block"])
+    keys, told, sizes, contents = [], [], [], {}
+    for part in (rows[:30], rows[30:]):
+        b = substrings.Block(part, 50, 16)
+        names, at = np.unique(b.anchor, return_inverse=True)
+        pairs = np.unique(at.astype("u8") << np.uint64(32) | b.fingerprints())
+        told.append(np.concatenate([np.bincount((pairs >> np.uint64(32)).astype("i8"), minlength=len(names)).astype("u4"), pairs.astype("u4")]))
+        keys.append(names)
+        sizes.append(len(names))
+        for i, a in enumerate(b.anchor.tolist()):
+            contents.setdefault(a, set()).add(b.content(i))
+    names, at = np.unique(np.concatenate(keys), return_inverse=True)
+    got = substrings.distinct_segments(at, sizes, told, len(names))
+    assert got.tolist() == [len(contents[a]) for a in names.tolist()] and max(got) < 10 and len(names) > 5
+
+
+def test_ties_of_score_go_to_the_smaller_document():
+    same = np.arange(50, dtype="<u4")
+    docs = [same] * 30 + [np.arange(100, 150, dtype="<u4")] * 3
+    unused = np.ones(33)
+    unused[[0, 4]] = 0
+    assert packing.Bm25(docs).neighbours(0, unused, 16, 5) == [1, 2, 3, 5, 6]
+
+
+def test_a_partition_is_cut_into_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PARTITIONS", 2)
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.choice([5, 40, 400]))) for i in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), P.path("byte_bpe_50k.json"), window=256, shard_docs=20).toPandas()
+    assert got["doc_id"].nunique() == 300 and (got.groupby("doc_id")["length"].sum() == got.groupby("doc_id")["doc_tokens"].first()).all()
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == (g["length"].cumsum() - g["length"]).tolist() and g["length"].sum() <= 256
+    short = (got.groupby("sequence_id")["length"].sum() < 256).sum()
+    assert 8 <= short <= 17 and got["sequence_id"].map(lambda x: x >> 40).nunique() == 2

@@ -192,6 +192,9 @@ TITLES = [
     ("llama-community", "community license agreement", "(?:meta )?llama [234](?: [0-9])? (?:version release date )?community license agreement"),
 ]
 
+#: What follows a license that isn't one of software: a title before one of these words is no title.
+OTHERS = "plates?|keys?|numbers?|fees?|servers?|holders?|renewals?|disks?|frames?"
+
 #: Names of licenses as they stand in running text (a regular expression over words) and their identifiers as words. The
 #: keywords of a name are what its pattern cannot do without.
 NAMES = {
@@ -294,14 +297,15 @@ def rules() -> tuple[Rule, ...]:
     for label, keyword, pattern in BODIES:
         add(label, pattern, (f" {keyword}",), 80, 0.95)
     for label, keyword, pattern in TITLES:
-        add(label, pattern, (f" {keyword}",), 60, 0.8)
+        add(label, f"{pattern}(?! (?:{OTHERS}) )", (f" {keyword}",), 60, 0.8)
     for label, (name, ident) in NAMES.items():
         # the literal words that begin an alternative; a regular expression's signs end them
         keywords = tuple(sorted({" " + re.split(r"[(?\[\\]", b)[0].rstrip() for b in branches(name)}))
         add(label, f"{_UNDER}{name}(?: or later| or any later version| only)?(?: licen[sc]e)?", keywords, 50, 0.9)
         add(label, f"(?:this|the) {name} licen[sc]e (?:applies|governs|agreement|text|file)", keywords, 45, 0.8)
         add(label, f"licen[sc]e(?:d)? (?:is |as )?(?:the )?{name} licen[sc]e", keywords, 40, 0.7)
-        add(label, f"licen[sc]e {ident}(?: or later| only)", (" license ", " licence "), 35, 0.6)
+        begin = ident.split("[")[0].rstrip()
+        add(label, f"licen[sc]e {ident}(?: or later| only)", (f" license {begin}", f" licence {begin}"), 35, 0.6)
     for elements in CC_ELEMENTS:
         label = "cc-" + elements.replace(" ", "-")
         long = " ".join(CC_LONG[e] for e in elements.split())
@@ -334,20 +338,41 @@ def identifiers() -> tuple[re.Pattern, dict[str, str]]:
     return re.compile(f"(?:{one})(?: or later| only| plus)?(?= )"), groups
 
 
+#: An identifier that isn't known has this many words at most.
+UNKNOWN = re.compile(r"(?:[^ ]+ ){0,7}?[^ ]+(?= (?:and|or|with) )")
+_JOINED = re.compile(" (?:and|or|with) ")
+
+
 def expression(line: str, at: int) -> list[tuple[int, int, str]]:
     """The identifiers of an expression that begins at ``at``: start, end, label. Parentheses are no words; identifiers are
-    joined by and, or, with; an unknown one is passed over up to the next of these words."""
+    joined by and, or, with; an unknown one, of up to eight words, is passed over up to the next of these words."""
     pattern, groups = identifiers()
     out = []
     while True:
         m = pattern.match(line, at)
         if m:
             out.append((m.start(), m.end(), groups[m.lastgroup]))
-            at = m.end()
-        joined = re.compile(" (?:and|or|with) ").match(line, at)
-        if not m or not joined:
+        passed = m if m and _JOINED.match(line, m.end()) else UNKNOWN.match(line, at)
+        if not passed:
             return out
-        at = joined.end()
+        at = _JOINED.match(line, passed.end()).end()
+
+
+#: A field that names a license, as manifests and headers have it; what its value is, is read as an expression.
+FIELD = re.compile(r"""\blicen[sc]e(?:[ _-]?(?:id|name|expression|type))?["']?[ \t]*[:=]+[ \t]*["'\[{( \t]*(?=[A-Za-z0-9])""", re.IGNORECASE | re.ASCII)
+_FIELDS = (" license ", " licence ")
+_FIELD = (55, 0.85)
+
+
+def fields(text: str) -> list[int]:
+    """For each license field of ``text`` how many words come before its value."""
+    out, words, at = [], 0, 0
+    for m in FIELD.finditer(text):
+        # what lies between two values holds whole words, since a value begins one
+        words += len(text[at : m.end()].encode().translate(_TABLE).split())
+        at = m.end()
+        out.append(words)
+    return out
 
 
 @cache
@@ -360,6 +385,8 @@ def prefilter():
         for keyword in r.keywords:
             by.setdefault(keyword, []).append(i)
     by[_IDENTIFIER] = [-1]
+    for word in _FIELDS:
+        by.setdefault(word, []).append(-2)
     for word, which in by.items():
         found.add_word(word, tuple(which))
     found.make_automaton()
@@ -404,7 +431,7 @@ def scan(text: str | None) -> tuple:
         return len(words), 0, None, None, "", "", 0.0, ""
     table = rules()
     found = []
-    for i in sorted(which - {-1}):
+    for i in sorted(which - {-1, -2}):
         r = table[i]
         found += [(r.priority, m.start(), m.end(), r.label, r.score) for m in r.pattern.finditer(line)]
     if -1 in which:
@@ -413,8 +440,10 @@ def scan(text: str | None) -> tuple:
             at += len(_IDENTIFIER)
             found += [(_SPDX[0], a, b, label, _SPDX[1]) for a, b, label in expression(line, at)]
             at = line.find(_IDENTIFIER, at - 1)
-    kept = suppress(found)
     begins = list(accumulate((len(w.decode()) + 1 for w in words), initial=1))
+    if -2 in which:
+        found += [(_FIELD[0], a, b, label, _FIELD[1]) for k in fields(text) for a, b, label in expression(line, begins[k])]
+    kept = suppress(found)
     place = lambda at: bisect_right(begins, at) - 1
     base = [d for d in found if d[0] == 100]
     labels = sorted({d[3] for d in kept})
