@@ -7,8 +7,9 @@ and takes them in order of score, asking on until it is full or no unused one sh
 the window ends and seeds the next, so that only a shard's last window is padded.
 
 Shards are dealt by content: a row's key is the two smallest of the weighted hashes of its token ids, so documents
-that share much of their vocabulary are likely to have a key in common, and the order of keys is cut into shards of equal
-numbers of documents. The key ends in a hash of the row, so a frequent one is spread over several shards.
+that share much of their vocabulary are likely to have a key in common. Rows are dealt to partitions by ranges of the key
+and sorted within them; a partition is cut into shards of equal numbers of documents as it is read, one shard in memory at
+a time. The key ends in a hash of the row, so a frequent one is spread over several shards.
 
 A null text is an empty one: its only id is the end id. Ties in score go to the smaller doc_id. Repeated rows are
 packed one by one.
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from .bpe import CHUNK, Memo
 from .common import materialize, texts
 
+#: Partitions that the shards are dealt over at most; beyond them a partition has several shards, one after the other.
+MOST_PARTITIONS = 20_000
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -117,9 +121,10 @@ class Bm25:
         spans = [slice(self.first[t], self.last[t]) for t in ask.tolist()]
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         score *= unused
-        top = np.argpartition(-score, k)[:k] if k < self.n else np.arange(self.n)
-        top = top[score[top] > 0]
-        return top[np.lexsort((top, -score[top]))].tolist()
+        # ties at the cut go to the smaller number, so all of them are sorted
+        least = np.partition(score, self.n - k)[self.n - k] if k < self.n else 0.0
+        top = np.flatnonzero((score >= least) & (score > 0))
+        return top[np.lexsort((top, -score[top]))][:k].tolist()
 
 
 def windows(docs: list[np.ndarray], window: int, terms: int = 16, k: int = 8) -> list[list[tuple[int, int, int]]]:
@@ -207,11 +212,11 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        base = int(rows["shard"].iat[0]) << 31
+    def fill(rows: pd.DataFrame, first: int) -> pd.DataFrame:
+        """The pieces of one shard; its sequences are numbered from ``first``."""
         rows = rows.sort_values(["doc_id", "doc_tokens", "start", "ids_crc32"], kind="stable", na_position="first")
         whole = rows["ids"].isna()
-        full = rows[whole].assign(sequence_id=base + np.arange(int(whole.sum())), offset=0)
+        full = rows[whole].assign(sequence_id=first + np.arange(int(whole.sum())), offset=0)
         rest = rows[~whole]
         ids = [np.frombuffer(x, "<u4") for x in rest["ids"]]
         docs, starts, totals = rest["doc_id"].tolist(), rest["start"].tolist(), rest["doc_tokens"].tolist()
@@ -219,20 +224,45 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
         for i, pieces in enumerate(windows(ids, window)):
             offset = 0
             for d, start, length in pieces:
-                out.append((docs[d], starts[d] + start, length, zlib.crc32(ids[d][start : start + length].tobytes()), totals[d], base + len(full) + i, offset))
+                out.append((docs[d], starts[d] + start, length, zlib.crc32(ids[d][start : start + length].tobytes()), totals[d], first + len(full) + i, offset))
                 offset += length
         columns = [x.split()[0] for x in PIECES.split(", ")]
         frame = pd.concat([full[columns], pd.DataFrame(out, columns=columns)]) if len(full) else pd.DataFrame(out, columns=columns)
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
+    def shards(batches):
+        """A partition's rows, in order of their keys, cut where another ``shard_docs`` documents end."""
+        from pyspark import TaskContext
+
+        first, held, size = TaskContext.get().partitionId() << 40, [], 0
+
+        def close():
+            nonlocal first, held, size
+            frame = fill(pd.concat(held, ignore_index=True), first)
+            first, held, size = int(frame["sequence_id"].max()) + 1, [], 0
+            return frame
+
+        for b in batches:
+            ends = np.cumsum((b["start"] + b["length"] == b["doc_tokens"]).to_numpy())
+            at = 0
+            while len(ends) and size + ends[-1] - (ends[at - 1] if at else 0) >= shard_docs:
+                stop = int(np.searchsorted(ends, shard_docs - size + (ends[at - 1] if at else 0))) + 1
+                held.append(b.iloc[at:stop])
+                yield close()
+                at = stop
+                if at == len(b):
+                    break
+            if at < len(b):
+                held.append(b.iloc[at:])
+                size += int(ends[-1] - (ends[at - 1] if at else 0))
+        if held:
+            yield close()
+
     made = texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("salt")).mapInPandas(
         tokenize, "key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     )
     pieces = materialize(made, "pieces")
-    ends = pieces.filter("start + length = doc_tokens").select("key")
-    n = max(1, math.ceil(ends.count() / shard_docs))
-    # the places where shards end: a number for each shard, all that the driver gets
-    cuts = np.array(ends.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 1_000_000)).first()[0] if n > 1 else [], "i8")
-    shard = F.pandas_udf(lambda key: pd.Series(np.searchsorted(cuts, key.to_numpy()).astype("i4")), "int")
-    return pieces.withColumn("shard", shard("key")).groupBy("shard").applyInPandas(fill, PIECES)
+    docs_ = pieces.filter("start + length = doc_tokens").count()
+    dealt = pieces.repartitionByRange(max(1, min(MOST_PARTITIONS, math.ceil(docs_ / shard_docs))), "key").sortWithinPartitions("key", "doc_id", "doc_tokens", "start", "ids_crc32")
+    return dealt.mapInPandas(shards, PIECES)

@@ -9,7 +9,7 @@ wavelet matrix of packed bits. Segments are then streamed through the index by b
 of each window is an interval of suffixes, and the smallest doc_id over it says whether a document before has the window.
 
 Anchors with more than ``hot`` distinct segments, such as a line that stands in very many texts, would make a shard too
-large; the windows of these are compared by 128-bit hashes of their own instead, in buckets of equal size.
+large (copies of one passage are one segment, however many there are); the windows of these are compared by 128-bit hashes of their own instead, in buckets of equal size.
 
 A null or empty text has no words. Documents with a null doc_id keep all words and are compared with nothing; rows with
 the same doc_id don't repeat each other. Very long texts count towards a block's size.
@@ -30,6 +30,8 @@ from .common import SPACE_RUN, in_blocks, let, pack_words, texts, unpack_words
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 NONE = np.iinfo("i8").max
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -95,6 +97,15 @@ class Block:
         a = self.start[i] - self.first[d]
         return b" ".join(self.words[d][a : a + self.stop[i] - self.start[i] + self.window - 1])
 
+    def fingerprints(self) -> np.ndarray:
+        """A number of 32 bits for the words of each segment: a polynomial of their hashes, from sums up to each word."""
+        n = len(self.hashes)
+        with np.errstate(over="ignore"):
+            up, down = (np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(n, x, "u8")]), dtype="u8") for x in (_ODD, _ODD_INVERSE))
+            total = np.concatenate([np.zeros(1, "u8"), np.cumsum(self.hashes * down[:n], dtype="u8")])
+            whole = (total[self.stop + self.window - 1] - total[self.start]) * up[self.start]
+            return (mix(whole, whole) >> np.uint64(32)).astype("u4")
+
     def window_keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows of some segments: their places and 16-byte keys."""
         places = np.concatenate([np.arange(self.start[i], self.stop[i]) for i in which.tolist()])
@@ -224,21 +235,25 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 16, hot: int = 20_000
 
     def ask_anchors(rows: pd.DataFrame) -> pd.DataFrame:
         number, block = int(rows["block"].iat[0]), Block(rows, window, gram)
-        keys, at, count = np.unique(block.anchor, return_inverse=True, return_counts=True)
+        keys, at = np.unique(block.anchor, return_inverse=True)
+        pairs = np.unique(at.astype("u8") << np.uint64(32) | block.fingerprints()) if len(keys) else np.zeros(0, "u8")
+        under = (pairs >> np.uint64(32)).astype("i8")
+        count, prints = np.bincount(under, minlength=len(keys)).astype("<u4"), pairs.astype("<u4")
         docs_ = np.fromiter((block.ids[d] for d in block.doc), "i8", len(block.doc))
         low, high = np.full(len(keys), NONE), np.full(len(keys), -NONE)
         np.minimum.at(low, at, docs_)
         np.maximum.at(high, at, docs_)
         several = (low < high).astype("u1")
-        out = []
-        for b, part in _cells((keys % np.uint64(n)).astype("i8")):
-            out.append((b, number, 0, keys[part].tobytes(), several[part].tobytes(), count[part].astype("<u4").tobytes()))
+        bucket = (keys % np.uint64(n)).astype("i8")
+        out, of = [], dict(_cells(bucket[under]))
+        for b, part in _cells(bucket):
+            out.append((b, number, 0, keys[part].tobytes(), several[part].tobytes(), count[part].tobytes() + prints[of[b]].tobytes()))
         return pd.DataFrame(out, columns=[x.split()[0] for x in cell.split(", ")])
 
     def judge_anchors(rows: pd.DataFrame) -> pd.DataFrame:
         keys, at = np.unique(np.frombuffer(b"".join(rows["a"]), "<u8"), return_inverse=True)
         blocks_ = np.bincount(at, minlength=len(keys)) + np.bincount(at, np.frombuffer(b"".join(rows["b"]), "u1"), len(keys))
-        segments = np.bincount(at, np.frombuffer(b"".join(rows["c"]), "<u4"), len(keys))
+        segments = distinct_segments(at, [len(x) // 8 for x in rows["a"]], [np.frombuffer(x, "<u4") for x in rows["c"]], len(keys))
         flag = np.where(blocks_ < 2, 0, np.where(segments > hot, 2, 1)).astype("u1")[at]
         ends = np.cumsum([len(x) // 8 for x in rows["a"]])
         parts = [x.tobytes() for x in np.split(flag, ends[:-1])]
@@ -359,6 +374,15 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 16, hot: int = 20_000
     return dealt.cogroup(answers.groupBy("block")).applyInPandas(finish, OUT + ", starts array<long>, ends array<long>")
 
 
+def distinct_segments(at: np.ndarray, sizes: list[int], told: list[np.ndarray], n: int) -> np.ndarray:
+    """How many different segments stand under each of ``n`` anchors: ``at`` says which anchor each entry of the blocks is, ``told`` has,
+    for each block, how many segments its entries have and then their fingerprints."""
+    count = np.concatenate([x[:k] for x, k in zip(told, sizes, strict=True)])
+    prints = np.concatenate([x[k:] for x, k in zip(told, sizes, strict=True)])
+    pairs = np.unique(np.repeat(at.astype("u8"), count) << np.uint64(32) | prints)
+    return np.bincount((pairs >> np.uint64(32)).astype("i8"), minlength=n)
+
+
 def _cells(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """For each bucket that occurs, the places where it does, in order."""
     if not len(bucket):
