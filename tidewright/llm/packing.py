@@ -71,8 +71,9 @@ SETTLED = re.compile("[\x00-\u024f]*")
 
 
 class Encoder:
-    """Ids of whole texts. A text falls into runs of white space with what follows; no token reaches over the start of
-    such a run, so each distinct one is encoded once while the memory for them, of bounded size, lasts."""
+    """Ids of whole texts. One of settled letters is encoded at once. Others fall into runs of white space with what follows; no
+    token reaches over the start of such a run, so each distinct one is encoded once while the memory for them, of bounded
+    size, lasts."""
 
     def __init__(self, path: str, most: int = 600_000):
         slow, quick = tokenizers_of(path)
@@ -81,9 +82,11 @@ class Encoder:
             got = quick.encode_ordinary(run) if SETTLED.fullmatch(run) else slow.encode(run, add_special_tokens=False).ids
             return np.array(got, "<u4").tobytes()
 
-        self.memo, self.most = Memo(ids), most
+        self.memo, self.most, self.quick = Memo(ids), most, quick
 
     def __call__(self, text: str) -> np.ndarray:
+        if SETTLED.fullmatch(text):
+            return np.array(self.quick.encode_ordinary(text), "<u4")
         if len(self.memo) > self.most:
             self.memo.clear()
         return np.frombuffer(b"".join(map(self.memo.__getitem__, CHUNK.findall(text))), "<u4")
