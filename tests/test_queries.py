@@ -44,8 +44,6 @@ HOLDS = {
     "rule_engine": lambda d: d["confidence"].between(0, 100).all() and (d["type"] == "trendStrength").sum() == d["symbol"].nunique(),
     "thompson_sampling": lambda d: d["draw"].between(0, 1).all() and d.sort_values("rank")["draw"].is_monotonic_decreasing and sorted(d["rank"]) == list(range(1, len(d) + 1)),
     "novel_states": lambda d: len(d) == 5 and (d["is_novel"] == (d["distance"] >= 1)).all(),
-    "calibration_study": lambda d: d["n"].sum() == 100 and d["bin"].between(0, 9).all(),
-    "power_study": lambda d: d["power"].iat[0] > 0.9,
     "burst_metrics": lambda d: len(d) > 900 and d["exhaustion"].between(0, 100).all() and d["td_pct"].between(-100, 100).all(),
     "burst_signals": lambda d: set(d["result"]) <= {"win", "loss", "pend"},
     "market_bias": lambda d: set(d["market"]) <= {"Bullish", "Bearish", "Ranging", "Neutral"} and set(d["narrative"]) <= {"bullish", "bearish", "ranging", "neutral"},

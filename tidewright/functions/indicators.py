@@ -6,10 +6,15 @@ same chunks, with a halo after which what came before has no weight left in doub
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .windows import CHUNK, agg, back, chunked, last, over, own, shared, stream, with_shared
 
@@ -151,17 +156,59 @@ def prepare(ticks: DataFrame, halo: int = HALO, size: int | None = None) -> Data
     return rows.withColumn("d_before", F.lag("d").over(stream()))
 
 
+def rolling_cci(price: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(len(price), np.nan)
+    if len(price) >= n:
+        w = sliding_window_view(price, n)
+        mean = w.mean(axis=1)
+        off = np.abs(w - mean[:, None]).mean(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[n - 1 :] = np.where(w.max(axis=1) == w.min(axis=1), 0.0, (price[n - 1 :] - mean) / (0.015 * off))
+    return out
+
+
+def rolling_hurst(price: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(len(price), np.nan)
+    if len(price) > n:
+        w = sliding_window_view(np.diff(price), n)
+        path = np.cumsum(w - w.mean(axis=1)[:, None], axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.log((path.max(axis=1) - path.min(axis=1)) / w.std(axis=1)) / math.log(n)
+        out[n:] = np.where(w.max(axis=1) == w.min(axis=1), np.nan, value)
+    return out
+
+
+#: Indicators that need each window's values, not sums of them, over the prices of a chunk. Their columns above are the same for
+#: use among other columns; over whole streams arrays are many times faster than a list for each row.
+ROLLING = {"cci": rolling_cci, "hurst": rolling_hurst, "fractal_dimension": lambda price, n: 2 - rolling_hurst(price, n)}
+
+
+def with_rolling(rows: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """The own ``rows`` of chunks (symbol, chunk, own, i, price) with a column for each of ``wanted``, name: (indicator, period), null
+    until its window is full. Chunks lie together after the windows before, so no row moves."""
+    schema = StructType([*rows.schema, *[StructField(n, DoubleType()) for n in wanted]])
+
+    def run(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("i")
+        price = chunk.column("price").to_numpy().astype("f8")
+        for name, (kind, n) in wanted.items():
+            values = ROLLING[kind](price, n)
+            chunk = chunk.append_column(name, pa.array(values, pa.float64(), mask=np.isnan(values)))
+        return chunk.filter(chunk.column("own"))
+
+    return rows.groupBy("symbol", "chunk").applyInArrow(run, schema)
+
+
 def windowed(ticks: DataFrame, names: list[str] | None = None, size: int | None = None, **periods: int) -> DataFrame:
     """``ticks`` with a column for each indicator; ``periods`` overrides the defaults."""
     names = names or list(WINDOWED)
     halo = 2 * max(periods.get(n, WINDOWED[n][1]) for n in names) + 4
-    rows = prepare(ticks, halo, size)
     period = lambda n: periods.get(n, WINDOWED[n][1])
-    again = {"hurst", "fractal_dimension"} <= set(names) and period("hurst") == period("fractal_dimension")
-    rows = with_shared(rows, {n: lambda n=n: WINDOWED[n][0](period(n)) for n in names if not (again and n == "fractal_dimension")})
-    if again:  # one follows from the other
-        rows = rows.withColumn("fractal_dimension", 2 - F.col("hurst"))
-    return own(rows).drop("d", "d0", "d_before")
+    rows = with_shared(prepare(ticks, halo, size), {n: lambda n=n: WINDOWED[n][0](period(n)) for n in names if n not in ROLLING})
+    rolling = {n: (n, period(n)) for n in names if n in ROLLING}
+    if rolling:
+        rows = with_rolling(rows.drop("d", "d0", "d_before"), rolling)
+    return own(rows).select(*ticks.columns, *names)
 
 
 def _ema(x: np.ndarray, n: int) -> np.ndarray:

@@ -65,14 +65,16 @@ def observed(ticks: DataFrame, candidates: list[Row], size: int | None = None) -
     unknown = sorted(({n for _, n, _ in parts} - {*ind.WINDOWED, *ind.RECURSIVE, "run_length"}) | (plain - {*sg.STATES, *sg.PROXIES, "up_cluster", "down_cluster"}) | (contexts - set(REQUIRED)))
     if unknown:
         raise Unresolvable(f"no series over ticks for {unknown}")
-    windows = {column(n, p, "indicator"): lambda n=n, p=p: ind.WINDOWED[n][0](p) for _, n, p in sorted(parts) if n in ind.WINDOWED}
+    windows = {column(n, p, "indicator"): lambda n=n, p=p: ind.WINDOWED[n][0](p) for _, n, p in sorted(parts) if n in ind.WINDOWED and n not in ind.ROLLING}
     windows |= {n: sg.STATES[n] for n in sg.STATES if n in plain or (contexts and n in _BEHIND)}
     windows |= {n: sg.PROXIES[n] for n in sg.PROXIES if n in plain}
     if contexts:
         windows["momentum"] = lambda: ind.momentum(10)
     halo = max([sg.HALO, *(2 * p + 4 for _, n, p in parts if n in ind.WINDOWED)])
     rows = sg.prepare(ticks, size=size, halo=halo).withColumn("d0", F.coalesce("d", F.lit(0.0))).withColumn("d_before", F.lag("d").over(stream()))
-    rows = own(with_shared(rows, windows))
+    rows = with_shared(rows, windows)
+    rolling = {column(n, p, "indicator"): (n, p) for _, n, p in sorted(parts) if n in ind.ROLLING}
+    rows = own(ind.with_rolling(rows, rolling) if rolling else rows)
     if contexts:
         rows = rows.withColumns({n: c for n, c in sg.contexts().items() if n in contexts})
     if "prior_candle" in contexts:
@@ -104,9 +106,11 @@ def label(candidate: Row) -> str:
     return column(candidate["name"], candidate["period"], candidate["type"])
 
 
-def series(ticks: DataFrame, candidates: list[Row], size: int | None = None) -> DataFrame:
-    """(symbol, i, candidate, value): the series of each of ``candidates`` over ``ticks``, null where it isn't known yet. The
-    specifications are few, and Catalyst computes what they share once; their series are as long as the ticks."""
+def series(ticks: DataFrame, candidates: list[Row], size: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, i, candidate, value): the series of each of ``candidates`` over ``ticks``, null where it isn't known yet, with the
+    columns of ``ticks`` to ``keep``. The specifications are few, and Catalyst computes what they share once; their series are
+    as long as the ticks."""
     rows = observed(ticks, candidates, size)
-    wide = rows.select("symbol", "i", *[value(c).alias(label(c)) for c in candidates])
-    return wide.unpivot(["symbol", "i"], [label(c) for c in candidates], "candidate", "value")
+    ids = ["symbol", "i", *keep]
+    wide = rows.select(*ids, *[value(c).alias(label(c)) for c in candidates])
+    return wide.unpivot(ids, [label(c) for c in candidates], "candidate", "value")

@@ -21,7 +21,7 @@ def ks_exponential(gaps: np.ndarray) -> float:
     return float(np.maximum(np.abs(f - i / len(x)), np.abs((i + 1) / len(x) - f)).max())
 
 
-def poisson(gaps: np.ndarray, rng: np.random.Generator, times: int = 200) -> tuple[float, float]:
+def poisson(gaps: np.ndarray, rng: np.random.Generator, times: int = 1000) -> tuple[float, float]:
     """The distance from an exponential of the same mean, and the share of simulated samples, refitted, at least as far."""
     seen = ks_exponential(gaps)
     return seen, float(np.mean([ks_exponential(rng.exponential(1, len(gaps))) >= seen for _ in range(times)]))
@@ -52,7 +52,7 @@ def ks_two(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.abs(cut(a) - cut(b)).max())
 
 
-def labelled(gaps: np.ndarray, rises: np.ndarray, rng: np.random.Generator, times: int = 200) -> tuple[float, float]:
+def labelled(gaps: np.ndarray, rises: np.ndarray, rng: np.random.Generator, times: int = 1000) -> tuple[float, float]:
     """Whether gaps after rises and falls differ, against shuffled labels."""
     if rises.all() or not rises.any():
         return 0.0, 1.0

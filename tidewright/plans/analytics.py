@@ -202,10 +202,11 @@ def feature_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gv.lineage(*_graph(spark, sf_dir))
 
 
-@query("""with recursive e as (select n as child, n // 3 as parent from range(1, 200) t(n)), c as (select child as node, parent as ancestor, 1 as distance from e
+@query("""with recursive e as (select c_custkey + 1 as child, (c_custkey + 1) // 3 as parent from customer), c as (select child as node, parent as ancestor, 1 as distance from e
   union all select c.node, e.parent, c.distance + 1 from c join e on e.child = c.ancestor) select node, ancestor, min(distance) as distance from c group by 1, 2""")
 def provenance_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gv.closure(spark.range(1, 200).select(F.col("id").alias("child"), F.floor(F.col("id") / 3).alias("parent")))
+    n = F.col("c_custkey") + 1
+    return gv.closure(table(spark, sf_dir, "customer").select(n.alias("child"), F.floor(n / 3).alias("parent")))
 
 
 @query("""with a as (select o_orderkey as access_id, o_custkey % 50 as dataset, o_orderkey as s from orders),

@@ -9,8 +9,11 @@ from tidewright.functions.windows import rounded
 from tidewright.operators import candidates as cn
 from tidewright.operators import discovery as ds
 from tidewright.operators import funnel as fn
+from tidewright.operators import procedures as pr
 from tidewright.operators import runs as rn
 from tidewright.operators import snapshots as sn
+from tidewright.operators import statistics as st
+from tidewright.sources.shared import stored
 from tidewright.sources.ticks import ticks
 
 from . import signals as sig
@@ -79,14 +82,15 @@ r{p} as (select symbol, i, e as ema_{p}, sl as ema_slope_{p}, line - sig as macd
   case when i >= 19 then 2 * tr20 / m20 end as keltner_width_{p} from s{p})"""
 
 
-def _series_sql() -> str:
+def _series_sql(end: str) -> str:
+    """The series of all candidates as u (symbol, i, candidate, value) and names, a list of them, before ``end``."""
     states, proxies = list(ds.STATE_NAMES), list(ds.PROXY_NAMES)
     plain = [(n, "st") for n in states] + [(n, "px") for n in proxies]
     pairs = [(a[0], b[0]) for a, b in zip(plain, plain[1:]) if a[1] == b[1]]
     composite = ", ".join(f"case when {a} is not null and {b} is not null then ({a} <> 0 and {b} <> 0)::int::double end as \"{a}+{b}\"" for a, b in pairs)
     masked = [(n, ds.CONTEXT_NAMES[k % len(ds.CONTEXT_NAMES)]) for k, (n, _) in enumerate(plain)]
     conditional = ", ".join(f"case when {c} = '{cn.REQUIRED[c]}' then {n}::double end as \"{n}|{c}\"" for n, c in masked)
-    long = lambda t: f"select symbol, candidate, value from (unpivot (select * from {t}) on columns(* exclude (symbol, i)) into name candidate value value)"
+    long = lambda t: f"select symbol, i, candidate, value from (unpivot (select * from {t}) on columns(* exclude (symbol, i)) into name candidate value value)"
     parts = " union all ".join(long(f"{k}{p}") for p in PERIODS for k in "wr") + " union all " + " union all ".join(long(t) for t in ("n", "b", "c", "k"))
     every = [f"{n}_{p}" for n in ds.INDICATORS for p in PERIODS] + [n for n, _ in plain] + [f"{a}+{b}" for a, b in pairs] + [f"{n}|{c}" for n, c in masked]
     names = ", ".join(f"'{n}'" for n in every)
@@ -98,11 +102,14 @@ st as ({sig.ORACLES['market_states']}), px as (select * from ({sig.ORACLES['mark
 o as (select symbol, i, prior_direction as prior_candle, * exclude (symbol, i, candle_start, prior_direction) from ({sig.ORACLES['observable_contexts']}) join ({sig.ORACLES['prior_candle_context']}) using (symbol, i)),
 a as (select * from st join px using (symbol, i) join o using (symbol, i)),
 b as (select symbol, i, {", ".join(f"{n}::double as {n}" for n, _ in plain)} from a), c as (select symbol, i, {composite} from a), k as (select symbol, i, {conditional} from a),
-u as ({parts}), g as (select symbol, candidate, count(*) as known, round(avg(round(value::double, 5)), 4) as mean, count(*) filter (round(value::double, 5) <> 0) as active from u group by 1, 2)
-select symbol, candidate, coalesce(known, 0) as known, mean, coalesce(active, 0) as active from (select * from (select distinct event_type as symbol from events), (select unnest([{names}]) as candidate)) left join g using (symbol, candidate)"""
+u as ({parts}), names as (select unnest([{names}]) as candidate) {end}"""
 
 
-@query(_series_sql())
+_SUMMARY = """, g as (select symbol, candidate, count(*) as known, round(avg(round(value::double, 5)), 4) as mean, count(*) filter (round(value::double, 5) <> 0) as active from u group by 1, 2)
+select symbol, candidate, coalesce(known, 0) as known, mean, coalesce(active, 0) as active from (select * from (select distinct event_type as symbol from events), names) left join g using (symbol, candidate)"""
+
+
+@query(_series_sql(_SUMMARY))
 def candidate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates of the registry that ticks can show, over all ticks: where each is known, its mean and where it isn't 0."""
     specs = ds.candidates(spark, PERIODS).filter("type <> 'event'").collect()
@@ -119,6 +126,28 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(label, "event_key").withColumn("goes_on", (F.col("outcome") == F.col("direction")).cast("int"))
 
 
+_INFORMATION = """, y2 as (select symbol, i, (lead(price) over (partition by symbol order by i) > price)::int as label from t),
+vv as (select candidate, label, round(value::double, 5) as v from u join y2 using (symbol, i) where label is not null and value is not null),
+ee as (select candidate, min(v) as lo, max(v) as hi, count(*) as n, avg(label) as rises from vv group by 1),
+bn as (select candidate, label, n, lo, hi, case when hi = lo then 0 else least(floor((v - lo) / (hi - lo) * 10), 9) end as bin from vv join ee using (candidate)),
+ct as (select candidate, bin, label, n, lo, hi, count(*) as c from bn group by all), mg as (select *, sum(c) over (partition by candidate, bin) as r, sum(c) over (partition by candidate, label) as k from ct),
+mi as (select candidate, case when any_value(n) < 3 or any_value(hi) = any_value(lo) then 0 else greatest(sum(c / n * log2(c * n / (r * k))), 0) end as information from mg group by 1)
+select candidate, n as pairs, round(rises, 6) as rises, round(information, 6) as information from ee join mi using (candidate)"""
+
+
+@query(_series_sql(_INFORMATION))
+def candidate_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each candidate says of whether the next tick rises, over all ticks at which both are known, each type of candidate by
+    the procedure that is registered for it."""
+    stream = ticks(spark, sf_dir)
+    labelled = stream.join(st.outcome_series(stream, "Rise", 1).withColumnRenamed("outcome", "label"), ["symbol", "i"], "left")
+    specs = ds.candidates(spark, PERIODS).filter("type <> 'event'")
+    rows = cn.series(labelled, specs.collect(), keep=("label",)).withColumn("value", F.round("value", 5)).filter("label is not null and value is not null")
+    values = stored(rows.select(F.col("candidate").alias("feature"), "value", "label"), "candidate-values")
+    kinds = spark.createDataFrame([(cn.label(c), c["type"]) for c in specs.collect()], "feature string, type string")
+    return rounded(pr.core().run(values, kinds).withColumnRenamed("feature", "candidate"))
+
+
 _LABELLED = f"""{SN}, lb as (select ff.*, (sign(t.price - e.trigger_price) = e.direction)::int as label from ff join e using (event_key) join t on t.symbol = e.symbol and t.i = e.i + 1 where t.price <> e.trigger_price),
 vv as (select event_key, label, feature, value from (unpivot (select event_key, label, {", ".join(f"{n}::double as {n}" for n in fn.FEATURES)} from lb) on {", ".join(fn.FEATURES)} into name feature value value)),
 nn as (select feature, count(*) as n, min(value) as lo, max(value) as hi, list(value order by value) as l from vv group by 1),

@@ -175,13 +175,13 @@ def positive_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.positive_control(rows).select("id", "control")
 
 
-@query("""with w as (select l_orderkey as id, count(*) as n, count(*) filter (l_discount < 0.05) as s from lineitem where l_tax > 0.01 group by 1),
+@query("""with w as (select l_orderkey as id, count(*) as n, count(*) filter (l_discount < 0.05) as s from lineitem group by 1),
 o as (select o_orderkey as id, coalesce(n, 0) as windows, coalesce(s, 0) as significant, case when o_orderkey % 3 > 0 then o_custkey % 20 / 100 end as tick_p, case when o_orderkey % 4 > 0 then o_orderkey % 10 / 100 end as clock_p,
   case when o_orderkey % 5 > 0 then o_custkey % 10 / 100 end as coarse_p, o_orderkey % 9 / 100 as fine_p from orders left join w on w.id = o_orderkey),
 c as (select *, case when windows < 2 then 'InsufficientEvidence' when significant / windows < 0.5 then 'FiniteSampleOrNonStationary' when clock_p < 0.05 and tick_p >= 0.05 then 'RngOrTimingArtifact' else 'GenuineStructure' end as classification from o)
 select id, windows, significant, round(significant / nullif(windows, 0), 6) as persistence, classification, case when classification = 'GenuineStructure' and coarse_p is not null then case when fine_p < 0.05 and coarse_p >= 0.05 then 'fine only' else 'stable' end end as quantization from c""")
 def rng_forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = table(spark, sf_dir, "lineitem").filter("l_tax > 0.01").select(F.col("l_orderkey").alias("id"), F.col("l_discount").cast("double").alias("p_value"))
+    windows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_discount").cast("double").alias("p_value"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     others = table(spark, sf_dir, "orders").select(
         k.alias("id"), F.when(k % 3 > 0, c % 20 / 100).alias("tick_p"), F.when(k % 4 > 0, k % 10 / 100).alias("clock_p"), F.when(k % 5 > 0, c % 10 / 100).alias("coarse_p"), (k % 9 / 100).alias("fine_p")
@@ -235,12 +235,12 @@ def canary_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.persistent(runs, "family", "seq")
 
 
-@query("""with e as (select l_suppkey as id, l_discount - 0.045 as x from lineitem where l_linenumber <= 3), p as (select s_suppkey as id, (s_suppkey % 7 - 3) / 100 as pooled from supplier),
+@query("""with e as (select l_suppkey as id, l_discount - 0.045 as x from lineitem), p as (select s_suppkey as id, (s_suppkey % 7 - 3) / 100 as pooled from supplier),
 j as (select e.id, x::double as x, pooled from e join p using (id)), a as (select id, count(*) as parts, count(*) filter (x > 0) as up, count(*) filter (x < 0) as down, count(*) filter (x = 0) as flat, max(pooled) as pooled, avg(abs(x - pooled) / greatest(abs(pooled), 1e-9)) as off from j group by 1),
 s as (select *, case when up > down then 1 when down > up then -1 else sign(pooled) end::int as g, greatest(0, least(1, 1 - off)) as m from a where parts >= 2), t as (select *, (case g when 1 then up when -1 then down else flat end) / parts as share from s)
 select id, parts, g as majority_sign, round(share, 6) as sign_agreement, round(m, 6) as magnitude_consistency, round(share * m, 6) as stability from t""")
 def discovery_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    effects = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select(F.col("l_suppkey").alias("id"), (F.col("l_discount").cast("decimal(12,3)") - F.expr("0.045")).cast("double").alias("x"))
+    effects = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), (F.col("l_discount").cast("decimal(12,3)") - F.expr("0.045")).cast("double").alias("x"))
     pooled = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), ((F.col("s_suppkey") % 7 - 3) / 100).alias("pooled"))
     return rounded(ev.stability(effects, "id", "x", pooled))
 
@@ -304,13 +304,13 @@ def campaign_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.round_metrics(_rounds(spark, sf_dir))
 
 
-@query("""with recursive m as (select c_mktsegment as family, o_orderkey as k, row_number() over (partition by c_mktsegment order by o_orderkey) as n, o_orderkey * 7 % 1000 / 50000 as p from orders join customer on c_custkey = o_custkey where o_orderkey % 5 > 0),
+@query("""with recursive m as (select c_mktsegment as family, o_orderkey as k, row_number() over (partition by c_mktsegment order by o_orderkey) as n, o_orderkey * 7 % 1000 / 50000 as p from orders join customer on c_custkey = o_custkey),
 w as (select family, n, 0.0125::double + case when p <= 0.0125 then 0.025::double else 0::double end as wealth from m where n = 1 union all select m.family, m.n, w.wealth * 0.5::double + case when m.p <= w.wealth * 0.5::double then 0.025::double else 0::double end from m join w on w.family = m.family and m.n = w.n + 1),
 l as (select family, arg_max(wealth, n) as wealth from w group by 1), f as (select distinct c_mktsegment as family from customer)
 select coalesce(f.family, 'all') as family, round(sum(coalesce(l.wealth, 0.025)), 6) as wealth from f left join l on l.family = f.family group by rollup (f.family)""")
 def wealth_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each family has left to spend, and all together; one that tested nothing has what it began with."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 > 0").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("family")), "o_custkey")
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("family")), "o_custkey")
     tests = o.select("family", F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7 % 1000 / 50000).alias("p"))
     families = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("family")).distinct()
     return rounded(cp.remaining(tests, families, "family", "k", "p"))
@@ -451,11 +451,11 @@ def graph_add_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with h as (select o_orderkey % 97 + 1 as s, max(o_orderkey) as top from orders where o_custkey % 2 = 1 group by 1), known as (select s_suppkey, greatest(coalesce(max(h.top), -1), coalesce(max(x.m), -1), coalesce(max(c.m), -1), coalesce(max(g.m), -1), max(s_suppkey)) as top from supplier left join h on h.s = s_suppkey
   left join (select l_suppkey as s, max(l_orderkey * 10 + l_linenumber) as m from lineitem where l_quantity > 48 group by 1) x on x.s = s_suppkey left join (select o_orderkey % 97 + 1 as s, max(o_orderkey) as m from orders where o_custkey % 2 = 0 group by 1) c on c.s = s_suppkey left join (select -1 as s, -1 as m) g on g.s = s_suppkey group by 1)
-select 'observes' as edge_type, 'H' || l_suppkey as from_node, 'V' || l_partkey as to_node, (top + row_number() over (partition by l_suppkey order by l_orderkey * 10 + l_linenumber, 'V' || l_partkey))::bigint as seq from lineitem join known on s_suppkey = l_suppkey join part on p_partkey = l_partkey where l_linenumber = 7""")
+select 'observes' as edge_type, 'H' || l_suppkey as from_node, 'V' || l_partkey as to_node, (top + row_number() over (partition by l_suppkey order by l_orderkey * 10 + l_linenumber, 'V' || l_partkey))::bigint as seq from lineitem join known on s_suppkey = l_suppkey join part on p_partkey = l_partkey""")
 def graph_add_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New edges of hypotheses, those from or to unknown nodes left out, numbered on from what their source has."""
     nodes, edges = _graph(spark, sf_dir)
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    li = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     new = li.select(F.lit("observes").alias("edge_type"), name("H", "l_suppkey").alias("from_node"), name("V", "l_partkey").alias("to_node"), F.col("k"))
     new = new.unionByName(li.select(F.lit("observes").alias("edge_type"), name("H", "l_suppkey").alias("from_node"), name("nowhere", "l_partkey").alias("to_node"), F.col("k")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.functions.windows import rounded
+from tidewright.operators import commentary as cm
 from tidewright.operators import patterns as pt
 from tidewright.sources.ticks import candles_by_count, ticks
 
@@ -140,3 +141,44 @@ def nearest_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.operators import scoring as sc
 
     return sc.nearest_levels(candles(spark, sf_dir))
+
+
+def _t(name: str, **words: str) -> str:
+    """A sentence as an SQL expression."""
+    text = "'" + cm.SAID[name].replace("'", "''") + "'"
+    for k, v in words.items():
+        text = text.replace("{" + k + "}", f"' || {v} || '")
+    return text
+
+
+_UP, _DOWN = "(trend = 'up' and not choch_down)", "(trend = 'down' and not choch_up)"
+_FMT = "case when now < 10 then printf('%.4f', {0}) when now < 1000 then printf('%.3f', {0}) else printf('%.2f', {0}) end"
+_SIDE, _OTHER, _ACTING = "case when up then 'buyers' else 'sellers' end", "case when up then 'Sellers' else 'Buyers' end", "case when up then 'buying' else 'selling' end"
+
+
+@query(f"""with {ST}, lb as (select *, lag(price) over (partition by symbol, type order by c) as q from s),
+ll as (select *, case when q is null then case type when 'high' then 'H' else 'L' end when type = 'high' then case when price > q then 'HH' else 'LH' end else case when price > q then 'HL' else 'LL' end end as label from lb),
+la as (select symbol, count(*) as cn, arg_max(close, c) as now, arg_max(open, c) as op, arg_max(high, c) as hi, arg_max(low, c) as lo, arg_max(close, c) >= arg_max(open, c) as up,
+  (arg_max(close, c) - arg_min(open, c)) / arg_min(open, c) * 100 as momentum, stddev_pop(high - low) / avg(high - low) * 100 as volatility from c group by 1 having count(*) >= 20),
+fl as (select symbol, abs(arg_max(close, c) - arg_min(open, c)) / sum(w) as absorption, sum(greatest(dl, 0)) as b, sum(greatest(-dl, 0)) as x
+  from (select c.*, case when high = low then 1e-9 else high - low end as w, ((close - low) / case when high = low then 1e-9 else high - low end - 0.5::double) * 2 * case when high = low then 1e-9 else high - low end as dl from c join la using (symbol) where c.c >= la.cn - 20) group by 1),
+bk as (select symbol, bool_or(type = 'bos' and direction = 'bullish') as bos_up, bool_or(type = 'bos' and direction = 'bearish') as bos_down, bool_or(type = 'choch' and direction = 'bullish') as choch_up, bool_or(type = 'choch' and direction = 'bearish') as choch_down
+  from br join la using (symbol) where br.c >= la.cn - 10 group by 1),
+lv as (select symbol, coalesce(arg_max(ll.label, c) filter (type = 'low' and price <= now), arg_max(ll.label, c) filter (type = 'low')) as sl, coalesce(arg_max(price, c) filter (type = 'low' and price <= now), arg_max(price, c) filter (type = 'low')) as sp,
+  coalesce(arg_max(ll.label, c) filter (type = 'high' and price >= now), arg_max(ll.label, c) filter (type = 'high')) as rl, coalesce(arg_max(price, c) filter (type = 'high' and price >= now), arg_max(price, c) filter (type = 'high')) as rp,
+  arg_max(price, c) filter (type = 'low' and label in ('HL', 'L')) as held_low, arg_max(price, c) filter (type = 'high' and label in ('LH', 'H')) as held_high from ll join la using (symbol) group by 1),
+f4 as (select symbol, list(price order by k) filter (type = 'high') as hs, list(price order by k) filter (type = 'low') as ls from o where k > (select max(z.k) - 4 from o z where z.symbol = o.symbol) group by 1),
+t4 as (select symbol, case when len(hs) >= 2 and len(ls) >= 2 and hs[-1] > hs[-2] and ls[-1] > ls[-2] then 'up' when len(hs) >= 2 and len(ls) >= 2 and hs[-1] <= hs[-2] and ls[-1] <= ls[-2] then 'down' else 'none' end as trend from f4),
+al as (select la.*, absorption, b > x as buyers, coalesce(bos_up, false) as bos_up, coalesce(bos_down, false) as bos_down, coalesce(choch_up, false) as choch_up, coalesce(choch_down, false) as choch_down, sl, sp, rl, rp, held_low, held_high, coalesce(trend, 'none') as trend,
+  abs(now - op) as body, case when up then hi - greatest(op, now) else least(op, now) - lo end as wick from la join fl using (symbol) left join bk using (symbol) left join lv using (symbol) left join t4 using (symbol))
+select symbol, case when {_UP} then case when bos_up then 'Bullish Continuation' else 'Bullish, Awaiting Confirmation' end when {_DOWN} then case when bos_down then 'Bearish Continuation' else 'Bearish, Awaiting Confirmation' end else 'Transitioning / Unclear' end as trend_label,
+  case when {_UP} then {_t('bullish')} || coalesce({_t('bullish_level', price=_FMT.format('held_low'))}, '') || {_t('bullish_end')} when {_DOWN} then {_t('bearish')} || coalesce({_t('bearish_level', price=_FMT.format('held_high'))}, '') || {_t('bearish_end')} else {_t('unclear')} end as trend_narrative,
+  {_t('active', side=_SIDE)} || ' ' || case when up then {_t('defend_up')} else {_t('defend_down')} end || ' ' || case when body > 0 and wick > body * 0.3 then {_t('attempted', Other=_OTHER, way="case when up then 'lower' else 'higher' end")} else {_t('little', Other=_OTHER)} end
+    || ' ' || case when hi > lo and body > 0.45 * (hi - lo) then {_t('healthy', acting=_ACTING)} else {_t('small', acting=_ACTING)} end || ' ' || {_t('unless', against="case when up then 'bearish' else 'bullish' end", side=_SIDE)} as candle_psychology,
+  case when momentum > 0.3 then 'positive' when momentum < -0.3 then 'negative' else 'flat' end as momentum_label, case when volatility < 50 then {_t('calm')} else {_t('wild')} end || ' ' || case when abs(momentum) < 3 then {_t('fresh')} else {_t('tired')} end as momentum_observations,
+  case when buyers then 'buyers' else 'sellers' end as order_flow_control, case when buyers then {_t('pressure_up')} else {_t('pressure_down')} end || ' ' || case when absorption < 0.35 then {_t('distribution')} else {_t('no_distribution')} end
+    || ' ' || case when {_UP} or {_DOWN} then {_t('collection')} else {_t('mixed')} end || ' ' || case when buyers then {_t('demand')} else {_t('supply')} end as order_flow_observations,
+  sl as support_label, sp as support_price, rl as resistance_label, rp as resistance_price, case when {_UP} then {_t('warn_up')} when {_DOWN} then {_t('warn_down')} else {_t('warn')} end as warning_signs from al""")
+def candle_commentary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of each symbol's candles of ten ticks as they stand at their end."""
+    return cm.commentary(candles(spark, sf_dir))

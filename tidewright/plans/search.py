@@ -86,12 +86,14 @@ o as (select type, name, case type when 'state' then 20 when 'proxy' then 10 end
 c as (select 'composite' as type, a.name || '+' || b.name as name, a.period, [a.name, b.name] as parts, null::varchar as context from o a join o b on b.k = a.k + 1 and b.type = a.type where a.type <> 'event'),
 h as (select 'conditional' as type, name || '|' || {contexts}[(row_number() over (order by k) - 1) % {len(ds.CONTEXT_NAMES)} + 1] as name, period, parts, {contexts}[(row_number() over (order by k) - 1) % {len(ds.CONTEXT_NAMES)} + 1] as context from o where type in ('state', 'proxy')),
 u as (select * from i union all select type, name, period, parts, context from o union all select * from c union all select * from h)
-select type, name, period::int as period, array_to_string(parts, ',') as parts, context, sha256('{{"name":"' || name || '","parts":["' || array_to_string(parts, '","') || '"],' || case when period is not null then '"period":' || period || ',' else '' end || '"type":"' || type || '"}}') as fingerprint from u"""
+select type, name, period::int as period, array_to_string(parts, ',') as parts, context, (select count(*) from events) as ticks, sha256('{{"name":"' || name || '","parts":["' || array_to_string(parts, '","') || '"],' || case when period is not null then '"period":' || period || ',' else '' end || '"type":"' || type || '"}}') as fingerprint from u"""
 
 
 @query(_registry_sql())
 def candidate_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ds.candidates(spark).withColumn("parts", F.array_join("parts", ","))
+    """The registry, with how many ticks its candidates are to be evaluated on."""
+    n = table(spark, sf_dir, "events").agg(F.count("*").alias("ticks"))
+    return ds.candidates(spark).withColumn("parts", F.array_join("parts", ",")).join(F.broadcast(n))
 
 
 @query("""with a as (select avg(l_extendedprice) as m, stddev_pop(l_quantity) / sqrt(count(*)) as h from lineitem), g as (select unnest(range(5, 50, 5))::double as "at"),
@@ -122,24 +124,6 @@ def family_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ds.prioritized(rounds))
 
 
-@query()
-def calibration_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ds.histogram(ds.trials(spark, 100), "p_value")
-
-
-@query()
-def null_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each kind of data without an effect is found, and how evenly its p-values lie."""
-    rows = stored(ds.null_trials(spark, 100), "trials")
-    return rounded(rows.groupBy("kind").agg(F.count("*").alias("trials"), F.avg((F.col("p_value") <= 0.05).cast("double")).alias("false_rate"), F.avg("p_value").alias("mean_p")))
-
-
-@query()
-def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rounds of a campaign on candidates that have no effect: how many come how far."""
-    rows = stored(ds.null_trials(spark, 50), "trials").withColumn("deep_p", F.pmod(F.xxhash64("trial"), F.lit(1000)) / 1000)
-    return cp.round_metrics(cp.rounds(rows, "kind", "trial", "r", "p_value", "deep_p", 0.5))
-
 
 _CONDITIONS = ("l_quantity > 25", "l_discount >= 0.05", "l_tax < 0.04", "l_linenumber <= 3")
 _LIFT = f"""with b as (select l_extendedprice::double as y, {', '.join(f'({c}) as c{k}' for k, c in enumerate(_CONDITIONS))} from lineitem), m as (select unnest(range(16)) as m),
@@ -171,10 +155,6 @@ def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame([(max(known.values()),)], "lift double"))
 
 
-@query()
-def power_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ds.trials(spark, 50, 0.5).agg(F.count("*").alias("trials"), F.avg(F.col("detected").cast("double")).alias("power"))
-
 
 @query()
 def burst_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
