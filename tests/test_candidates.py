@@ -59,7 +59,7 @@ def test_all_registered_candidates_are_the_same_in_small_chunks(spark):
         assert (a.value is None) == (b.value is None) and (a.value is None or math.isclose(a.value, b.value, abs_tol=1e-9)), a
 
 
-@pytest.mark.parametrize("bad", [spec("indicator", ["nothing"], 10), spec("event", ["time_gap"]), spec("conditional", ["trend"], 20, "weather"), spec("indicator", ["ema"], 500)])
+@pytest.mark.parametrize("bad", [spec("indicator", ["nothing"], 10), spec("event", ["time_gap"]), spec("conditional", ["trend"], 20, "weather")])
 def test_what_ticks_cannot_show_is_refused(spark, bad):
     with pytest.raises(cn.Unresolvable):
         cn.series(walk(spark, 5), [bad])

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import indicators as ind
 from tidewright.functions import signals as sg
+from tidewright.functions import windows as wd
 from tidewright.operators import candles as cd
 from tidewright.operators import governance as gv
 from tidewright.operators import machines as mc
@@ -318,3 +320,37 @@ def test_searches_find_the_best_of_a_known_landscape():
     assert se.evolved(score, 6, generations=40)[0] == best
     mask, value, visits = se.tree_search(score, 6, playouts=600)
     assert mask[0] and value > 0.4 and visits[1] > visits[0] and sum(visits.values()) == 600
+
+
+def test_arrays_and_frames_give_the_same_indicators(spark):
+    """Each indicator once over arrays of a chunk and once over frames, on moves, flat stretches, zeros and a short stream."""
+    rng = random.Random(12)
+    price, rows = 50.0, []
+    for i in range(260):
+        price += 0.0 if 90 <= i < 150 else rng.choice([-1.5, -0.25, 0.0, 0.5, 1.0])
+        rows.append(("a", i, 0.0 if 200 <= i < 203 else round(price, 2)))
+    rows += [("b", i, 3.0 + i) for i in range(6)]
+    ticks = spark.createDataFrame(rows, "symbol string, i long, price double")
+    assert set(ind.ROLLING) == set(ind.WINDOWED)
+    by_array = {(r.symbol, r.i): r for r in ind.windowed(ticks, size=70).collect()}
+    frames = wd.own(wd.with_shared(ind.prepare(ticks), {n: lambda b=b, p=p: b(p) for n, (b, p) in ind.WINDOWED.items()})).collect()
+    assert len(frames) == len(by_array) == 266
+    for r in frames:
+        for n in ind.WINDOWED:
+            x, y = by_array[r.symbol, r.i][n], r[n]
+            assert (x is None) == (y is None) and (x is None or abs(x - y) <= 1e-7 * max(1, abs(y))), (n, r.symbol, r.i, x, y)
+
+
+def test_long_periods_forget_what_is_before_their_halo(spark):
+    rng = random.Random(1)
+    price, rows = 100.0, []
+    for i in range(9000):
+        price += rng.choice([-1.0, -0.5, 0.0, 0.5, 1.0])
+        rows.append(("a", i, price))
+    ticks = spark.createDataFrame(rows, "symbol string, i long, price double")
+    for period, size in ((40, 1000), (60, 700)):
+        whole, cut = (ind.recursive(ticks, size=n, period=period).orderBy("i").toPandas() for n in (10_000, size))
+        for name in ind.RECURSIVE:
+            a, b = whole[name].astype("f8"), cut[name].astype("f8")
+            assert (a.isna() == b.isna()).all() and np.nanmax(np.abs(a - b)) < 1e-9, name
+    assert ind.recursive(ticks, period=500).filter("rsi is not null").count() == 8500

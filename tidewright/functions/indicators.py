@@ -19,8 +19,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .windows import CHUNK, agg, back, chunked, last, over, own, shared, stream, with_shared
 
 HALO = 64
-#: Rows after which a period-30 exponential average keeps less than 1e-50 of what came before.
-LONG_HALO = 2_000
+#: Rows before a chunk of recursive averages at least, and for each step of a period: a Wilder average keeps less than 1e-50 of
+#: what came before 115 periods, one of averages little more.
+LONG_HALO, HALO_PERIODS = 2_000, 125
 
 
 def full(n: int, value: Column) -> Column:
@@ -156,36 +157,101 @@ def prepare(ticks: DataFrame, halo: int = HALO, size: int | None = None) -> Data
     return rows.withColumn("d_before", F.lag("d").over(stream()))
 
 
-def rolling_cci(price: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(len(price), np.nan)
-    if len(price) >= n:
-        w = sliding_window_view(price, n)
-        mean = w.mean(axis=1)
-        off = np.abs(w - mean[:, None]).mean(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out[n - 1 :] = np.where(w.max(axis=1) == w.min(axis=1), 0.0, (price[n - 1 :] - mean) / (0.015 * off))
-    return out
+def _windows(x: np.ndarray, n: int) -> np.ndarray:
+    """The windows of ``n`` values, a row for each place from the ``n``-th value on."""
+    return sliding_window_view(x, n) if len(x) >= n else np.empty((0, n))
 
 
-def rolling_hurst(price: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(len(price), np.nan)
-    if len(price) > n:
-        w = sliding_window_view(np.diff(price), n)
-        path = np.cumsum(w - w.mean(axis=1)[:, None], axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.log((path.max(axis=1) - path.min(axis=1)) / w.std(axis=1)) / math.log(n)
-        out[n:] = np.where(w.max(axis=1) == w.min(axis=1), np.nan, value)
-    return out
+def _late(values: np.ndarray, size: int) -> np.ndarray:
+    """``values`` of the last places of ``size``; those before are unknown."""
+    return np.concatenate([np.full(size - len(values), np.nan), values])
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a / b``, unknown where b is 0."""
+    return np.divide(a, b, out=np.full(np.broadcast(a, b).shape, np.nan), where=b != 0)
+
+
+def _flat(w: np.ndarray) -> np.ndarray:
+    return w.max(axis=1) == w.min(axis=1)
+
+
+def _spread(w: np.ndarray) -> np.ndarray:
+    return np.where(_flat(w), 0.0, w.std(axis=1))
+
+
+def _bits(*shares: np.ndarray) -> np.ndarray:
+    return -sum(np.where(p > 0, p * np.log2(np.where(p > 0, p, 1.0)), 0.0) for p in shares)
+
+
+def _on_prices(f):
+    """An indicator of windows of prices, known from the first full one on."""
+    return lambda price, n: _late(f(_windows(price, n), price[n - 1 :], n), len(price))
+
+
+def _on_moves(f):
+    """An indicator of windows of ``n`` moves, of which the first price has none."""
+    return lambda price, n: _late(f(_windows(np.diff(price), n), n), len(price))
+
+
+def _directions(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (w > 0).sum(axis=1).astype("f8"), (w < 0).sum(axis=1).astype("f8")
+
 
+def _cci(w: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+    mean = w.mean(axis=1)
+    return np.where(_flat(w), 0.0, _ratio(p - mean, 0.015 * np.abs(w - mean[:, None]).mean(axis=1)))
 
-#: Indicators that need each window's values, not sums of them, over the prices of a chunk. Their columns above are the same for
-#: use among other columns; over whole streams arrays are many times faster than a list for each row.
-ROLLING = {"cci": rolling_cci, "hurst": rolling_hurst, "fractal_dimension": lambda price, n: 2 - rolling_hurst(price, n)}
+
+def _hurst(w: np.ndarray, n: int) -> np.ndarray:
+    path = np.cumsum(w - w.mean(axis=1)[:, None], axis=1)
+    scaled = _ratio(path.max(axis=1) - path.min(axis=1), _spread(w))
+    return np.log(np.where(scaled > 0, scaled, np.nan)) / math.log(n)
+
+
+def _entropy(w: np.ndarray, n: int) -> np.ndarray:
+    up, down = _directions(w)
+    return _bits(up / n, down / n, (n - up - down) / n)
+
+
+def _directional(w: np.ndarray, n: int) -> np.ndarray:
+    up, down = _directions(w)
+    return np.where(up + down > 0, _bits(_ratio(up, up + down), _ratio(down, up + down)), np.nan)
+
+
+def _moment(w: np.ndarray, k: int, flat: float, less: float) -> np.ndarray:
+    c = w - w.mean(axis=1)[:, None]
+    return np.where(_flat(w), flat, _ratio((c**k).mean(axis=1), _spread(w) ** k) - less)
+
+
+def _neighbours(w: np.ndarray, n: int) -> np.ndarray:
+    """Correlation of the ``n - 1`` pairs of neighbouring moves."""
+    a, b = w[:, :-1], w[:, 1:]
+    cov = ((a - a.mean(axis=1)[:, None]) * (b - b.mean(axis=1)[:, None])).mean(axis=1)
+    return np.where(_flat(a) | _flat(b), 0.0, _ratio(cov, _spread(a) * _spread(b)))
+
+
+def _back(price: np.ndarray, n: int) -> np.ndarray:
+    return _late(price[:-n], len(price)) if len(price) > n else np.full(len(price), np.nan)
+
+
+#: The indicators of WINDOWED over the prices of a chunk. Columns of frames, above, are for use among other columns; over whole
+#: streams arrays of windows are many times faster, as Spark adds up a sliding frame anew for each row.
+ROLLING = {
+    "sma": _on_prices(lambda w, p, n: w.mean(axis=1)), "wma": _on_prices(lambda w, p, n: w @ np.arange(1.0, n + 1) / (n * (n + 1) / 2)), "cci": _on_prices(_cci),
+    "momentum": lambda price, n: price - _back(price, n), "roc": lambda price, n: 100 * _ratio(price - _back(price, n), _back(price, n)),
+    "bollinger_width": _on_prices(lambda w, p, n: _ratio(4 * _spread(w), w.mean(axis=1))), "bollinger_position": _on_prices(lambda w, p, n: _ratio(p - (w.mean(axis=1) - 2 * _spread(w)), 4 * _spread(w))),
+    "volatility": lambda price, n: _late(_spread(_windows(np.diff(price, prepend=price[:1]), n)), len(price)), "range": _on_prices(lambda w, p, n: w.max(axis=1) - w.min(axis=1)),
+    "zscore": _on_prices(lambda w, p, n: _ratio(p - w.mean(axis=1), _spread(w))), "entropy": _on_moves(_entropy), "hurst": _on_moves(_hurst), "fractal_dimension": _on_moves(lambda w, n: 2 - _hurst(w, n)),
+    "tick_imbalance": _on_moves(lambda w, n: ((w > 0).sum(axis=1) - (w < 0).sum(axis=1)) / n), "directional_entropy": _on_moves(_directional),
+    "stochastic_k": _on_prices(lambda w, p, n: np.where(_flat(w), 50.0, 100 * _ratio(p - w.min(axis=1), w.max(axis=1) - w.min(axis=1)))),
+    "autocorrelation": _on_moves(_neighbours), "skewness": _on_moves(lambda w, n: _moment(w, 3, 0.0, 0.0)), "kurtosis": _on_moves(lambda w, n: _moment(w, 4, -3.0, 3.0)),
+}
 
 
 def with_rolling(rows: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
     """The own ``rows`` of chunks (symbol, chunk, own, i, price) with a column for each of ``wanted``, name: (indicator, period), null
-    until its window is full. Chunks lie together after the windows before, so no row moves."""
+    until its window is full. A chunk is a bounded group; where windows over chunks come before, no row moves again."""
     schema = StructType([*rows.schema, *[StructField(n, DoubleType()) for n in wanted]])
 
     def run(chunk: pa.Table) -> pa.Table:
@@ -203,12 +269,8 @@ def windowed(ticks: DataFrame, names: list[str] | None = None, size: int | None
     """``ticks`` with a column for each indicator; ``periods`` overrides the defaults."""
     names = names or list(WINDOWED)
     halo = 2 * max(periods.get(n, WINDOWED[n][1]) for n in names) + 4
-    period = lambda n: periods.get(n, WINDOWED[n][1])
-    rows = with_shared(prepare(ticks, halo, size), {n: lambda n=n: WINDOWED[n][0](period(n)) for n in names if n not in ROLLING})
-    rolling = {n: (n, period(n)) for n in names if n in ROLLING}
-    if rolling:
-        rows = with_rolling(rows.drop("d", "d0", "d_before"), rolling)
-    return own(rows).select(*ticks.columns, *names)
+    rows = with_rolling(chunked(ticks, halo, **({"size": size} if size else {})), {n: (n, periods.get(n, WINDOWED[n][1])) for n in names})
+    return rows.select(*ticks.columns, *names)
 
 
 def _ema(x: np.ndarray, n: int) -> np.ndarray:
@@ -252,9 +314,15 @@ def smooth(p: np.ndarray, first: bool, n: int = 14) -> dict[str, np.ndarray]:
 RECURSIVE = ("ema", "ema_slope", "macd", "rsi", "adx", "atr", "keltner_width")
 
 
+def recursive_chunks(ticks: DataFrame, period: int, size: int | None = None) -> DataFrame:
+    """``ticks`` (symbol, i, price) in chunks whose halo outlasts the memory of averages of ``period``; chunks are longer than it."""
+    halo = max(LONG_HALO, HALO_PERIODS * period)
+    return chunked(ticks.select("symbol", "i", "price"), halo, size=size or max(5 * CHUNK, 2 * halo))
+
+
 def recursive(ticks: DataFrame, size: int | None = None, period: int = 14) -> DataFrame:
-    """``ticks`` (symbol, i, price) with the recursively smoothed indicators; the halo is long enough for periods up to 60."""
-    rows = chunked(ticks.select("symbol", "i", "price"), LONG_HALO, size=size or 5 * CHUNK)
+    """``ticks`` (symbol, i, price) with the recursively smoothed indicators."""
+    rows = recursive_chunks(ticks, period, size)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import indicators as ind
 from tidewright.functions import signals as sg
-from tidewright.functions.windows import CHUNK, chunked, own, stream, with_shared
+from tidewright.functions.windows import own, with_shared
 
 from .discovery import combined, conditional
 
@@ -21,9 +21,6 @@ REQUIRED = {
 
 #: States that the contexts of the same row are made from.
 _BEHIND = ("high_volatility", "low_volatility", "trend", "compression", "expansion", "ranging")
-#: The longest period whose average has forgotten all before the halo.
-LONGEST = 60
-
 
 class Unresolvable(ValueError):
     """A candidate names no series that ticks have."""
@@ -36,11 +33,8 @@ def column(name: str, period: int | None, kind: str) -> str:
 
 def smoothed(ticks: DataFrame, wanted: list[tuple[str, int]], size: int | None = None) -> DataFrame:
     """(symbol, i) with a column for each recursively smoothed indicator and period of ``wanted``, all in one pass over chunks."""
-    too_long = [p for _, p in wanted if p > LONGEST]
-    if too_long:
-        raise Unresolvable(f"periods {too_long} need a longer halo than {ind.LONG_HALO} rows")
-    rows = chunked(ticks.select("symbol", "i", "price"), ind.LONG_HALO, size=size or 5 * CHUNK)
     periods = sorted({p for _, p in wanted})
+    rows = ind.recursive_chunks(ticks, periods[-1], size)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")
@@ -62,17 +56,15 @@ def observed(ticks: DataFrame, candidates: list[Row], size: int | None = None) -
     parts = {(c["type"], n, c["period"]) for c in candidates if c["type"] == "indicator" for n in c["parts"]}
     plain = {n for c in candidates if c["type"] != "indicator" for n in c["parts"]}
     contexts = {c["context"] for c in candidates if c["context"]}
-    unknown = sorted(({n for _, n, _ in parts} - {*ind.WINDOWED, *ind.RECURSIVE, "run_length"}) | (plain - {*sg.STATES, *sg.PROXIES, "up_cluster", "down_cluster"}) | (contexts - set(REQUIRED)))
+    unknown = sorted(({n for _, n, _ in parts} - {*ind.ROLLING, *ind.RECURSIVE, "run_length"}) | (plain - {*sg.STATES, *sg.PROXIES, "up_cluster", "down_cluster"}) | (contexts - set(REQUIRED)))
     if unknown:
         raise Unresolvable(f"no series over ticks for {unknown}")
-    windows = {column(n, p, "indicator"): lambda n=n, p=p: ind.WINDOWED[n][0](p) for _, n, p in sorted(parts) if n in ind.WINDOWED and n not in ind.ROLLING}
-    windows |= {n: sg.STATES[n] for n in sg.STATES if n in plain or (contexts and n in _BEHIND)}
+    windows = {n: sg.STATES[n] for n in sg.STATES if n in plain or (contexts and n in _BEHIND)}
     windows |= {n: sg.PROXIES[n] for n in sg.PROXIES if n in plain}
     if contexts:
         windows["momentum"] = lambda: ind.momentum(10)
-    halo = max([sg.HALO, *(2 * p + 4 for _, n, p in parts if n in ind.WINDOWED)])
-    rows = sg.prepare(ticks, size=size, halo=halo).withColumn("d0", F.coalesce("d", F.lit(0.0))).withColumn("d_before", F.lag("d").over(stream()))
-    rows = with_shared(rows, windows)
+    halo = max([sg.HALO, *(2 * p + 4 for _, n, p in parts if n in ind.ROLLING)])
+    rows = with_shared(sg.prepare(ticks, size=size, halo=halo), windows)
     rolling = {column(n, p, "indicator"): (n, p) for _, n, p in sorted(parts) if n in ind.ROLLING}
     rows = own(ind.with_rolling(rows, rolling) if rolling else rows)
     if contexts:

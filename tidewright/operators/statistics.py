@@ -36,15 +36,10 @@ def mutual_information(values: DataFrame, bins: int = 8) -> DataFrame:
 def split_gain(values: DataFrame, key: str) -> DataFrame:
     """The best fall in Gini impurity by one split of the rows in order of value, equal values in order of ``key``.
 
-    A split is a prefix. Values are cut into ranges of a feature first; ranks and label sums of the ranges before are
-    added to those within, so no feature is sorted in one task."""
-    cells = values.join(F.broadcast(values.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"), F.sum("label").alias("pos"))), "feature")
-    cells = cells.withColumn("cell", F.coalesce(F.floor(over(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * 1024), F.lit(0)))
-    sums = cells.groupBy("feature", "cell").agg(F.count("*").alias("k"), F.sum("label").alias("s"))
-    before = Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("feature", "cell", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
-    within = Window.partitionBy("feature", "cell").orderBy("value", key).rowsBetween(Window.unboundedPreceding, 0)
-    rows = cells.join(sums, ["feature", "cell"]).withColumns({"nl": F.col("k0") + F.count("*").over(within), "pl": F.col("s0") + F.sum("label").over(within)})
+    A split is a prefix, so its size and its labels are running sums, which ranges of the sorted rows add up one by one: neither
+    a feature nor a place where values crowd is sorted in one task."""
+    totals = values.groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    rows = running(values, ["feature"], ["value", key], {"nl": F.lit(1), "pl": F.col("label")}).join(F.broadcast(totals), "feature")
     n, pos = F.col("n"), F.col("pos")
     nr, pr = n - F.col("nl"), pos - F.col("pl")
     gini = lambda p, k: 1 - (p / k) * (p / k) - ((k - p) / k) * ((k - p) / k)
