@@ -14,6 +14,7 @@ from tidewright.operators import governance as gv
 from tidewright.operators import machines as mc
 from tidewright.operators import patterns as pt
 from tidewright.operators import point_process as pp
+from tidewright.operators import resampling as rs
 from tidewright.operators import runs as rn
 from tidewright.operators import snapshots as sn
 from tidewright.operators import statistics as st
@@ -179,9 +180,9 @@ def test_permutation_and_bootstrap_recover_dependence(spark):
     x = rng.normal(size=300)
     rows = pd.DataFrame({"s": ["dep"] * 300 + ["ind"] * 300, "i": list(range(300)) * 2, "x": np.r_[x, x], "y": np.r_[x + rng.normal(0, 0.1, 300), rng.normal(size=300)]})
     df = spark.createDataFrame(rows)
-    p = {r.s: r.p_value for r in st.permutation_test(df, ["s"], "i", "x", "y", 99).collect()}
+    p = {r.s: r.p_value for r in rs.permutation_test(df, ["s"], "i", "x", "y", 99).collect()}
     assert p["dep"] == 0.01 < p["ind"]
-    b = {r.s: r for r in st.bootstrap(df, ["s"], "i", "x", "y", 200).collect()}
+    b = {r.s: r for r in rs.bootstrap(df, ["s"], "i", "x", "y", 200).collect()}
     assert b["dep"].low > 0.9 and b["ind"].low < 0 < b["ind"].high
 
 
@@ -299,7 +300,7 @@ def test_confirmation_finds_what_is_there_and_says_when_it_is_unsure(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal(150)
     rows = [("dep", i, float(a), float(a + 0.3 * b)) for i, (a, b) in enumerate(zip(x, rng.standard_normal(150)))] + [("ind", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, rng.standard_normal(150)))] + [("few", i, 1.0, float(i)) for i in range(59)]
-    got = {r.s: r for r in st.confirmation(spark.createDataFrame(rows, "s string, i int, x double, y double"), ["s"], "i", "x", "y", 199, 300).collect()}
+    got = {r.s: r for r in rs.confirmation(spark.createDataFrame(rows, "s string, i int, x double, y double"), ["s"], "i", "x", "y", 199, 300).collect()}
     assert set(got) == {"dep", "ind"} and got["dep"].p_value == 1 / 200 and got["dep"].warnings == "least p" and got["dep"].ci_lower > 0.9
     assert math.isclose(got["dep"].effect, np.corrcoef([r[2] for r in rows[:150]], [r[3] for r in rows[:150]])[0, 1]) and got["ind"].p_value > 0.01 and got["ind"].ci_lower < 0 < got["ind"].ci_upper
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,58 +127,6 @@ def mulberry(seed: int, n: int, skip: int = 0) -> np.ndarray:
         return (t ^ (t >> np.uint32(14))).astype("f8") / 4294967296.0
 
 
-def _mi(x: np.ndarray, y: np.ndarray, bins: int = 8) -> float:
-    def cut(v: np.ndarray) -> np.ndarray:
-        span = np.ptp(v)
-        return np.minimum((v - v.min()) / span * bins, bins - 1).astype(int) if span else np.zeros(len(v), int)
-
-    joint = np.bincount(cut(x) * bins + cut(y), minlength=bins * bins).reshape(bins, bins) / len(x)
-    outer = joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)
-    some = joint > 0
-    return max(0.0, float((joint[some] * np.log2(joint[some] / outer[some])).sum()))
-
-
-def permutation_test(rows: DataFrame, keys: list[str], order: str, x: str, y: str, times: int = 200, seed: int = 42) -> DataFrame:
-    """Mutual information of two series for each of ``keys`` and its one-sided p-value under circular shifts. A group is
-    one candidate's series, whose length is bounded by its study's window."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.dropna(subset=[x, y]).sort_values(order)
-        a, b, n = part[x].to_numpy("f8"), part[y].to_numpy("f8"), len(part)
-        head = {k: part[k].iat[0] for k in keys} if n else {}
-        if n < 3:
-            return pd.DataFrame(columns=[*keys, "n", "statistic", "p_value"])
-        low = max(1, int(0.05 * n))
-        shifts = low + np.floor(mulberry(seed, times) * (n - 2 * low)).astype(int)
-        seen = _mi(a, b)
-        p = (1 + sum(_mi(a, np.roll(b, s)) >= seen for s in shifts.tolist())) / (1 + times)
-        return pd.DataFrame([{**head, "n": n, "statistic": seen, "p_value": p}])
-
-    return rows.select(*keys, order, x, y).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", n long, statistic double, p_value double")
-
-
-def bootstrap(rows: DataFrame, keys: list[str], order: str, x: str, y: str, times: int = 2000, seed: int = 43, level: float = 0.95) -> DataFrame:
-    """Pearson's r for each of ``keys`` with a percentile interval of paired resamples, one drawn after another. A group is
-    one candidate's series, whose length is bounded by its study's window."""
-
-    def r(a: np.ndarray, b: np.ndarray) -> float:
-        s = a.std() * b.std()
-        return float(((a - a.mean()) * (b - b.mean())).mean() / s) if s else 0.0
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.dropna(subset=[x, y]).sort_values(order)
-        a, b, n = part[x].to_numpy("f8"), part[y].to_numpy("f8"), len(part)
-        if n < 2:
-            return pd.DataFrame(columns=[*keys, "n", "r", "low", "high", "error"])
-        picks = (np.floor(mulberry(seed, n, n * t) * n).astype(int) for t in range(times))
-        draws = np.sort([r(a[k], b[k]) for k in picks])
-        at = lambda q: draws[max(0, math.ceil(q * times) - 1)]
-        tail = (1 - level) / 2
-        return pd.DataFrame([{**{k: part[k].iat[0] for k in keys}, "n": n, "r": r(a, b), "low": at(tail), "high": at(1 - tail), "error": draws.std(ddof=1)}])
-
-    return rows.select(*keys, order, x, y).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", n long, r double, low double, high double, error double")
-
-
 def outcome_series(ticks: DataFrame, direction: str, length: int) -> DataFrame:
     """For each tick (symbol, i, price) whether its next ``length`` moves all are rises, or with another ``direction`` none
     is; the last ticks of a symbol, which have fewer moves after them, have no outcome. It looks ahead: a label."""
@@ -189,36 +136,3 @@ def outcome_series(ticks: DataFrame, direction: str, length: int) -> DataFrame:
     hit = F.min("_rises").over(moves) == 1 if direction == "Rise" else F.max("_rises").over(moves) == 0
     full = own(rows.withColumn("outcome", F.when(F.count("_rises").over(moves) == length, hit.cast("int"))))
     return full.filter("outcome is not null").select("symbol", (F.col("i") - length).alias("i"), "outcome")
-
-
-CONFIRMED = "n long, statistic double, effect double, error double, ci_lower double, ci_upper double, p_value double, null_mean double, null_variance double, monte_carlo_error double, skewness double, warnings string"
-
-
-def confirmation(rows: DataFrame, keys: list[str], order: str, x: str, y: str, times: int = 1000, resamples: int = 2000, seed: int = 42, least: int = 60) -> DataFrame:
-    """The report on one candidate's series for each of ``keys``: |r| under circular shifts, r with its interval from paired
-    resamples, and what makes either unsure. Fewer than ``least`` pairs give no row. A group is one study's window."""
-
-    def r(a: np.ndarray, b: np.ndarray) -> float:
-        s = a.std() * b.std()
-        return float(((a - a.mean()) * (b - b.mean())).mean() / s) if s else 0.0
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.dropna(subset=[x, y]).sort_values(order)
-        a, b, n = part[x].to_numpy("f8"), part[y].to_numpy("f8"), len(part)
-        names = [*keys, *[f.split()[0] for f in CONFIRMED.split(", ")]]
-        if n < least:
-            return pd.DataFrame(columns=names)
-        low = max(1, int(0.05 * n))
-        shifts = low + np.floor(mulberry(seed, times) * (n - 2 * low)).astype(int)
-        seen, null = abs(r(a, b)), np.array([abs(r(a, np.roll(b, s))) for s in shifts.tolist()])
-        p = (1 + int((null >= seen).sum())) / (1 + times)
-        picks = (np.floor(mulberry(seed + 1, n, n * t) * n).astype(int) for t in range(resamples))
-        draws = np.sort([r(a[k], b[k]) for k in picks])
-        spread = draws.std(ddof=1)
-        skew = float((((draws - draws.mean()) / spread) ** 3).mean()) if spread else 0.0
-        ends = [draws[max(0, math.ceil(q * resamples) - 1)] for q in (0.025, 0.975)]
-        unsure = [w for w, is_so in (("skewed", abs(skew) > 1), ("wide", ends[1] - ends[0] > 1.5), ("least p", p <= 1 / (times + 1))) if is_so]
-        row = [n, seen, r(a, b), spread, *ends, p, null.mean(), null.var(ddof=1), math.sqrt(p * (1 - p) / times), skew, ",".join(unsure) or None]
-        return pd.DataFrame([[*[part[k].iat[0] for k in keys], *row]], columns=names)
-
-    return rows.select(*keys, order, x, y).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", " + CONFIRMED)

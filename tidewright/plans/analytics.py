@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.windows import rounded
 from tidewright.operators import governance as gv
 from tidewright.operators import machines as mc
+from tidewright.operators import resampling as rs
 from tidewright.operators import runs as rn
 from tidewright.operators import snapshots as sn
 from tidewright.operators import statistics as st
@@ -251,26 +252,70 @@ def partition_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gv.overlapping(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("dataset"), (F.col("c_custkey") * 7).alias("start"), (F.col("c_custkey") * 7 + 100).alias("end")))
 
 
-@query()
-def permutation_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.permutation_test(_pairs(spark, sf_dir), ["symbol", "day"], "i", "x", "y"))
+_MASK = "4294967295"
 
 
-@query()
-def bootstrap_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.bootstrap(_pairs(spark, sf_dir), ["symbol", "day"], "i", "x", "y"))
+def _mixed(x: str) -> str:
+    """SQL of a 32-bit mixing function."""
+    for by, k in (("16", "2146121005"), ("15", "2221713035")):
+        x = f"(list_transform([{x}], lambda v: xor(v, v >> {by}) * {k}::ubigint & {_MASK})[1])"
+    return f"(list_transform([{x}], lambda v: xor(v, v >> 16))[1])"
 
 
-@query()
+def _shifts(times: int, seed: int = 42) -> str:
+    """SQL of the shifts ``sh`` (symbol, k, s) of each series of ``z`` (symbol, k, n), 0 among them."""
+    return f"""g0 as (select k, ({seed}::ubigint + (k::ubigint + 1) * 1831565813::ubigint) & {_MASK} as a from range({times}) u(k)),
+g1 as (select k, xor(a, a >> 15) * (a | 1) & {_MASK} as t from g0), g2 as (select k, xor(t, (t + (xor(t, t >> 7) * (t | 61) & {_MASK})) & {_MASK}) as t from g1),
+g as (select k + 1 as k, xor(t, t >> 14) / 4294967296::double as u from g2), n as (select symbol, count(*) as n from z group by 1),
+sh as (select symbol, k, greatest(1, floor(0.05 * n)) + floor(u * (n - 2 * greatest(1, floor(0.05 * n)))) as s, n from n, g union all select symbol, 0, 0, n from n)"""
+
+
+def _resampled(times: int, seed: int) -> str:
+    """SQL of the correlations ``b`` (symbol, t, r) of resamples of ``z`` (symbol, k, x, y)."""
+    weight = " + ".join(f"(h >= {v}::ubigint)::int" for v in rs.POISSON)
+    return f"""zi as (select *, {_mixed('k::ubigint')} as hk from z), ti as (select t, {_mixed(f'({seed}::ubigint + t::ubigint * 2654435769::ubigint) & {_MASK}')} as ht from range({times}) u(t)),
+hs as (select symbol, t, x, y, {_mixed('xor(hk, ht)')} as h from zi, ti), ws as (select *, {weight} as w from hs),
+bs as (select symbol, t, sum(w) as w, sum(w * x) as wx, sum(w * y) as wy, sum(w * x * x) as wxx, sum(w * y * y) as wyy, sum(w * x * y) as wxy from ws group by 1, 2),
+b as (select symbol, t, (wxy / w - wx / w * (wy / w)) / sqrt((wxx / w - wx / w * (wx / w)) * (wyy / w - wy / w * (wy / w))) as r from bs)"""
+
+
+#: Each tick's price and the change to the next, numbered by symbol; and their values in deviations from the mean.
+_PRICES = f"""{T}, z0 as (select symbol, i as k, price as x, lead(price) over (partition by symbol order by i) - price as y from t), z as (select * from z0 where y is not null)"""
+_SCALED = "select symbol, row_number() over (partition by symbol order by k) - 1 as k, (x - avg(x) over v) / stddev_pop(x) over v as x, (y - avg(y) over v) / stddev_pop(y) over v as y from {0} window v as (partition by symbol)"
+
+
+@query(f"""with {_PRICES}, c as (select symbol, k, least(floor((x - min(x) over v) / (max(x) over v - min(x) over v) * 8), 7) as x, least(floor((y - min(y) over v) / (max(y) over v - min(y) over v) * 8), 7) as y from z window v as (partition by symbol)),
+{_shifts(1000)}, j as (select s.symbol, s.k, s.n, a.x, b.y, count(*) as v from sh s join c a on a.symbol = s.symbol join c b on b.symbol = s.symbol and b.k = (a.k - s.s + s.n) % s.n group by 1, 2, 3, 4, 5),
+m as (select symbol, k, n, greatest(sum(v / n * log2(v::double * n / (r * q))), 0) as s from (select *, sum(v) over (partition by symbol, k, x) as r, sum(v) over (partition by symbol, k, y) as q from j) group by 1, 2, 3)
+select o.symbol, o.n, round(o.s, 6) as statistic, round((1 + count(*) filter (m.s >= o.s - 1e-9)) / 1001, 6) as p_value from m o join m on m.symbol = o.symbol and m.k > 0 where o.k = 0 group by o.symbol, o.n, o.s""")
+def permutation_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rs.permutation_test(_pairs(spark, sf_dir), ["symbol"], "i", "x", "y"))
+
+
+@query(f"""with {_PRICES.replace(', z as (', ', z1 as (')}, z as ({_SCALED.format('z1')}), {_resampled(2000, 43)}, o as (select symbol, count(*) as n, avg(x * y) as r from z group by 1)
+select o.symbol, n, round(o.r, 6) as r, round(list_sort(list(b.r))[50], 6) as low, round(list_sort(list(b.r))[1950], 6) as high, round(stddev_samp(b.r), 6) as error from o join b on b.symbol = o.symbol group by o.symbol, n, o.r""")
+def bootstrap_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rs.bootstrap(_pairs(spark, sf_dir), ["symbol"], "i", "x", "y"))
+
+
+@query(f"""with {T}, z0 as (select symbol, i as k, case when i >= 10 then price - lag(price, 10) over w end as x, lead(price) over w as p1, lead(price, 2) over w as p2, price from t window w as (partition by symbol order by i)),
+z1 as (select symbol, k, x, (p1 > price and p2 > p1)::int as y from z0 where x is not null and p2 is not null), z as ({_SCALED.format('z1')}), {_shifts(1000)}, {_resampled(2000, 43)},
+j as (select s.symbol, s.k, s.n, sum(a.x * b.y) / s.n as r from sh s join z a on a.symbol = s.symbol join z b on b.symbol = s.symbol and b.k = (a.k - s.s + s.n) % s.n group by 1, 2, 3),
+o as (select * from j where k = 0), f as (select o.symbol, o.n, abs(o.r) as statistic, o.r as effect, (1 + count(*) filter (abs(j.r) >= abs(o.r) - 1e-9)) / 1001 as p_value, avg(abs(j.r)) as null_mean, var_samp(abs(j.r)) as null_variance
+  from o join j on j.symbol = o.symbol and j.k > 0 group by o.symbol, o.n, o.r),
+d as (select symbol, list_sort(list(r))[50] as ci_lower, list_sort(list(r))[1950] as ci_upper, stddev_samp(r) as error, avg(pow((r - m) / sd, 3)) as skewness
+  from (select *, avg(r) over (partition by symbol) as m, stddev_samp(r) over (partition by symbol) as sd from b) group by 1)
+select symbol, n, round(statistic, 6) as statistic, round(effect, 6) as effect, round(error, 6) as error, round(ci_lower, 6) as ci_lower, round(ci_upper, 6) as ci_upper, round(p_value, 6) as p_value, round(null_mean, 6) as null_mean,
+  round(null_variance, 6) as null_variance, round(sqrt(p_value * (1 - p_value) / 1000), 6) as monte_carlo_error, round(skewness, 6) as skewness,
+  nullif(concat_ws(',', case when abs(skewness) > 1 then 'skewed' end, case when ci_upper - ci_lower > 1.5 then 'wide' end, case when p_value <= 1 / 1001::double + 1e-12 then 'least p' end), '') as warnings from f join d using (symbol)""")
 def confirmation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each day's 10-tick momentum against whether the next two ticks rise: effect, p-value, interval and warnings."""
+    """Each symbol's 10-tick momentum against whether the next two ticks rise: effect, p-value, interval and warnings."""
     from tidewright.functions import indicators as ind
 
     stream = ticks(spark, sf_dir)
     rows = ind.windowed(stream, ["momentum"]).select("symbol", "i", F.col("momentum").alias("x"))
     y = st.outcome_series(stream, "Rise", 2).withColumnRenamed("outcome", "y")
-    days = stream.select("symbol", "i", F.to_date("ts").cast("string").alias("day"))
-    return rounded(st.confirmation(rows.join(y, ["symbol", "i"]).join(days, ["symbol", "i"]), ["symbol", "day"], "i", "x", "y"))
+    return rounded(rs.confirmation(rows.join(y, ["symbol", "i"]), ["symbol"], "i", "x", "y"))
 
 
 @query(f"""with {T} select symbol, i, (list_min(l) > 0)::int as outcome from (select symbol, i, list(d) over (partition by symbol order by i rows between 1 following and 3 following) as l
@@ -281,10 +326,10 @@ def outcome_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ticks of each symbol and day: price and the change to the next one."""
-    stream = ticks(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
+    """The ticks of each symbol: price and the change to the next one."""
+    stream = ticks(spark, sf_dir)
     nxt = stream.select("symbol", (F.col("i") - 1).alias("i"), F.col("price").alias("next_price"))
-    return stream.join(nxt, ["symbol", "i"]).select("symbol", "day", "i", F.col("price").alias("x"), (F.col("next_price") - F.col("price")).alias("y"))
+    return stream.join(nxt, ["symbol", "i"]).select("symbol", "i", F.col("price").alias("x"), (F.col("next_price") - F.col("price")).alias("y"))
 
 
 @query()
