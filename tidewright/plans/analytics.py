@@ -285,7 +285,8 @@ _SCALED = "select symbol, row_number() over (partition by symbol order by k) - 1
 
 
 @query(f"""with {_PRICES}, c as (select symbol, k, least(floor((x - min(x) over v) / (max(x) over v - min(x) over v) * 8), 7) as x, least(floor((y - min(y) over v) / (max(y) over v - min(y) over v) * 8), 7) as y from z window v as (partition by symbol)),
-{_shifts(1000)}, j as (select s.symbol, s.k, s.n, a.x, b.y, count(*) as v from sh s join c a on a.symbol = s.symbol join c b on b.symbol = s.symbol and b.k = (a.k - s.s + s.n) % s.n group by 1, 2, 3, 4, 5),
+{_shifts(1000)}, sa as materialized (select s.symbol, s.k, s.n, a.x, (a.k - s.s::bigint + s.n) % s.n as kb from sh s join c a on a.symbol = s.symbol),
+j as (select s.symbol, s.k, s.n, s.x, b.y, count(*) as v from sa s join c b on b.symbol = s.symbol and b.k = s.kb group by 1, 2, 3, 4, 5),
 m as (select symbol, k, n, greatest(sum(v / n * log2(v::double * n / (r * q))), 0) as s from (select *, sum(v) over (partition by symbol, k, x) as r, sum(v) over (partition by symbol, k, y) as q from j) group by 1, 2, 3)
 select o.symbol, o.n, round(o.s, 6) as statistic, round((1 + count(*) filter (m.s >= o.s - 1e-9)) / 1001, 6) as p_value from m o join m on m.symbol = o.symbol and m.k > 0 where o.k = 0 group by o.symbol, o.n, o.s""")
 def permutation_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +301,8 @@ def bootstrap_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {T}, z0 as (select symbol, i as k, case when i >= 10 then price - lag(price, 10) over w end as x, lead(price) over w as p1, lead(price, 2) over w as p2, price from t window w as (partition by symbol order by i)),
 z1 as (select symbol, k, x, (p1 > price and p2 > p1)::int as y from z0 where x is not null and p2 is not null), z as ({_SCALED.format('z1')}), {_shifts(1000)}, {_resampled(2000, 43)},
-j as (select s.symbol, s.k, s.n, sum(a.x * b.y) / s.n as r from sh s join z a on a.symbol = s.symbol join z b on b.symbol = s.symbol and b.k = (a.k - s.s + s.n) % s.n group by 1, 2, 3),
+sa as materialized (select s.symbol, s.k, s.n, a.x, (a.k - s.s::bigint + s.n) % s.n as kb from sh s join z a on a.symbol = s.symbol),
+j as (select s.symbol, s.k, s.n, sum(s.x * b.y) / s.n as r from sa s join z b on b.symbol = s.symbol and b.k = s.kb group by 1, 2, 3),
 o as (select * from j where k = 0), f as (select o.symbol, o.n, abs(o.r) as statistic, o.r as effect, (1 + count(*) filter (abs(j.r) >= abs(o.r) - 1e-9)) / 1001 as p_value, avg(abs(j.r)) as null_mean, var_samp(abs(j.r)) as null_variance
   from o join j on j.symbol = o.symbol and j.k > 0 group by o.symbol, o.n, o.r),
 d as (select symbol, list_sort(list(r))[50] as ci_lower, list_sort(list(r))[1950] as ci_upper, stddev_samp(r) as error, avg(pow((r - m) / sd, 3)) as skewness
