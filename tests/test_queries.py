@@ -46,6 +46,8 @@ HOLDS = {
     "novel_states": lambda d: len(d) == 5 and (d["is_novel"] == (d["distance"] >= 1)).all(),
     "burst_metrics": lambda d: len(d) > 900 and d["exhaustion"].between(0, 100).all() and d["td_pct"].between(-100, 100).all(),
     "burst_signals": lambda d: set(d["result"]) <= {"win", "loss", "pend"},
+    "burst_signals_smoothed": lambda d: len(d) > 0 and set(d["result"]) <= {"win", "loss", "pend"} and set(d["direction"]) <= {-1, 1},
+    "streaming_burst_signals": lambda d: len(d) > 0 and set(d["result"]) <= {"win", "loss"},
     "market_bias": lambda d: set(d["market"]) <= {"Bullish", "Bearish", "Ranging", "Neutral"} and set(d["narrative"]) <= {"bullish", "bearish", "ranging", "neutral"},
     "gap_partition_effects": lambda d: d["effect"].between(0, 1).all(),
     "null_model_hierarchy": lambda d: ((d["poisson_p"] > 0.05) == (d["verdict"] == "poisson")).all() and d["hawkes_p"].isna()[d["verdict"] == "poisson"].all(),

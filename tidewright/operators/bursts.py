@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.scans import carried
 from tidewright.functions.windows import chunked, frame, js_round, own, stream
 
 #: Widths in ticks and thresholds.
@@ -12,94 +15,113 @@ WIDTH, TREND, MODEL, HORIZON = 14, 30, 60, 5
 IMBALANCE, EXHAUSTED, YOUNG, FRESH, ACCEL, PERSISTENCE, LEAST_RUN, NOISE, FULL_RUN = 35, 55, 6, 3, 0.02, 0.03, 8, 0.2, 8
 #: Weights of run length, fading moves and failed extremes in exhaustion.
 FADE = (0.34, 0.30, 0.36)
-#: Rows before a chunk: the model's width, the freshest crossing and, for flat ticks, the last move before them.
-HALO = 600
+#: A run counts at most LONGEST ticks, the length of the buffer that is looked at; HALO rows before a chunk tell all of it.
+LONGEST = 600
+HALO = LONGEST + MODEL
 
+METRICS = "td_pct double, flow_pct double, drift int, accel_aligned double, run int, run_dir int, exhaustion long, persistence double, p_run double, p_run_low double, conditions_met int, ready boolean"
 
-def _mean(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v, lambda a: a / F.greatest(F.size(x), F.lit(1)))
 
+def _trailing(x: np.ndarray, n: int) -> np.ndarray:
+    """A row for each of ``x``: it and the ``n - 1`` before it, 0 where there is none."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(n - 1, x.dtype), x]), n)
 
-def metrics(ticks: DataFrame) -> DataFrame:
-    """``ticks`` (symbol, i, price) with td_pct, flow_pct, drift, accel_aligned, run, run_dir, exhaustion, persistence and
-    the model's chance of a run; rows with fewer than four ticks so far have neutral ones.
 
-    A flat tick takes the direction of the last move. Runs are counted within the last MODEL ticks, flat streams longer
-    than HALO have no direction. Null prices make their metrics null.
-    """
-    rows = chunked(ticks, HALO)
-    raw = F.coalesce(F.signum(F.col("price") - F.lag("price").over(stream())), F.lit(0.0)).cast("int")
-    rows = rows.withColumn("raw", raw).withColumn("mag", F.coalesce(F.abs(F.col("price") - F.lag("price").over(stream())), F.lit(0.0)))
-    carried = F.last(F.when(F.col("raw") != 0, F.col("raw")), ignorenulls=True).over(frame(-HALO, 0))
-    rows = rows.withColumn("dir", F.coalesce(carried, F.lit(0)))
-    w = frame(-(WIDTH - 1), 0)
-    rows = rows.withColumn("w", F.least(F.col("i") + 1, F.lit(WIDTH))).withColumn("td", F.sum("dir").over(w))
-    rows = rows.withColumn("mags", F.sum("mag").over(w)).withColumn("flow", F.sum(F.col("dir") * F.col("mag")).over(w))
-    rows = rows.withColumn("first", F.first("price").over(frame(-(TREND - 1), 0)))
+def _slope(p: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Change a tick from end to end of the ``size`` prices from ``start`` on."""
+    last = np.minimum(start + np.maximum(size, 1) - 1, len(p) - 1)
+    return np.where(size > 1, (p[last] - p[start]) / np.maximum(size - 1, 1), 0.0)
+
+
+def _upto(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(x)])
+
+
+def measured(i: np.ndarray, p: np.ndarray, d: np.ndarray, mag: np.ndarray) -> dict[str, np.ndarray]:
+    """The metrics of consecutive ticks numbered ``i`` with prices ``p``, carried directions ``d`` and sizes of moves ``mag``; right
+    from the stream's beginning on, or after the first HALO ticks. What batches and streams compute alike."""
+    j = np.arange(len(p))
+    w = np.minimum(i + 1, WIDTH).astype(int)
+    w = np.minimum(w, j + 1)
+    td, mags, flow = _trailing(d, WIDTH).sum(axis=1), _trailing(mag, WIDTH).sum(axis=1), _trailing(d * mag, WIDTH).sum(axis=1)
+    side = np.sign(td)
     # the last 2k ticks, k half the width but two at least, in halves of which each has a velocity from end to end
-    k = F.greatest(F.lit(2), F.floor(F.col("w") / 2)).cast("int")
-    rows = rows.withColumn("k", k).withColumn("recent", F.collect_list("price").over(w))
-    part = F.slice("recent", -F.least(2 * F.col("k"), F.size("recent")), F.least(2 * F.col("k"), F.size("recent")))
-    rows = rows.withColumn("part", part).withColumn("half", F.greatest(F.floor(F.size("part") / 2), F.lit(1)).cast("int"))
-
-    def velocity(x: Column) -> Column:
-        return F.when(F.size(x) > 1, (F.element_at(x, -1) - F.get(x, F.lit(0))) / (F.size(x) - 1)).otherwise(0.0)
-
-    later = F.slice("part", F.col("half") + 1, F.size("part"))
-    rows = rows.withColumn("accel", velocity(later) - velocity(F.slice("part", F.lit(1), F.col("half"))))
-    usual = F.when(F.col("mags") > 0, F.col("mags") / F.col("w")).otherwise(1e-9)
-    rows = rows.withColumn("accel_aligned", F.col("accel") * F.signum("td") / usual)
-    # a run: how far back the direction stays what it is
-    m = frame(-(MODEL - 1), 0)
-    rows = rows.withColumn("dirs", F.collect_list("dir").over(m)).withColumn("sizes", F.collect_list("mag").over(m))
-    back = F.array_position(F.transform(F.reverse("dirs"), lambda d: (d != F.col("dir")).cast("int")), 1)
-    rows = rows.withColumn("run", F.when(F.col("dir") == 0, 0).when(back == 0, F.size("dirs")).otherwise(back - 1).cast("int")).withColumn("run_dir", F.col("dir"))
-    moves = F.when(F.col("run") > 0, F.slice("sizes", -F.col("run"), F.col("run"))).otherwise(F.array().cast("array<double>"))
-    rows = rows.withColumn("moves", moves).withColumn("cut", F.floor(F.col("run") / 2).cast("int"))
-    early = F.when(F.col("cut") > 0, _mean(F.slice("moves", F.lit(1), F.greatest(F.col("cut"), F.lit(1))))).otherwise(0.0)
-    late = _mean(F.slice("moves", F.col("cut") + 1, F.greatest(F.col("run") - F.col("cut"), F.lit(0))))
-    early = F.when(early > 0, early).otherwise(1e-9)
-    rows = rows.withColumn("fading", F.when(F.col("run") >= 4, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (early - late) / early))).otherwise(0.0))
+    size = np.minimum(2 * np.maximum(2, w // 2), w)
+    half = np.maximum(size // 2, 1)
+    start = j - size + 1
+    accel = _slope(p, np.minimum(start + half, j), size - half) - _slope(p, start, half)
+    aligned = accel * side / np.where(mags > 0, mags / w, 1e-9)
+    # a run: how far back the direction stays what it is, and whether its moves fade
+    begins = np.maximum.accumulate(np.where(np.append(True, d[1:] != d[:-1]), j, 0))
+    run = np.where(d == 0, 0, np.minimum(j - begins + 1, LONGEST))
+    cut, sums = run // 2, _upto(mag)
+    early = (sums[j - run + 1 + cut] - sums[j - run + 1]) / np.maximum(cut, 1)
+    late = (sums[j + 1] - sums[j - run + 1 + cut]) / np.maximum(run - cut, 1)
+    early = np.where(early > 0, early, 1e-9)
+    fading = np.where(run >= 4, np.clip((early - late) / early, 0.0, 1.0), 0.0)
     # of the last six prices those that set no new extreme in the run's direction
-    lead = F.transform(F.slice("recent", -F.least(F.lit(6), F.size("recent")), F.lit(6)), lambda p: p * F.col("run_dir"))
-    failed = F.aggregate(
-        lead, F.struct(F.lit(float("-inf")).alias("best"), F.lit(0).alias("n")),
-        lambda a, p: F.struct(F.greatest(a["best"], p).alias("best"), (a["n"] + F.when(p > a["best"], 0).otherwise(1)).alias("n")), lambda a: a["n"] / F.size(lead),
-    )
-    stretch = F.least(F.lit(1.0), F.col("run") / FULL_RUN)
-    rows = rows.withColumn("exhaustion", js_round(100 * (FADE[0] * stretch + FADE[1] * F.col("fading") + F.when(F.col("run_dir") != 0, FADE[2] * failed).otherwise(0.0))))
+    there = _trailing(np.ones(len(p), bool), 6)
+    lead = np.where(there, _trailing(p, 6) * d[:, None], -np.inf)
+    best = np.maximum.accumulate(np.concatenate([np.full((len(p), 1), -np.inf), lead[:, :-1]], axis=1), axis=1)
+    failed = (there & ~(lead > best)).sum(axis=1) / there.sum(axis=1)
+    exhaustion = np.floor(100 * (FADE[0] * np.minimum(1.0, run / FULL_RUN) + FADE[1] * fading + np.where(d != 0, FADE[2] * failed, 0.0)) + 0.5)
     # a chain of two states: how often a move is followed by one like it, with a uniform prior and a bound below it
-    steps = F.filter("dirs", lambda d: d != 0)
-    pairs = F.zip_with(F.slice(steps, F.lit(1), F.greatest(F.size(steps) - 1, F.lit(0))), F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0))), lambda a, b: 10 * a + b)
-    rows = rows.withColumn("pairs", pairs)
-    count = lambda v: F.size(F.filter("pairs", lambda p: p == v))
-    for name, same, other in (("up", 11, 9), ("down", -11, -9)):
-        n = count(same) + count(other)
-        rows = rows.withColumn(f"p_{name}", (count(same) + 1) / (n + 2)).withColumn(f"sd_{name}", F.sqrt(F.col(f"p_{name}") * (1 - F.col(f"p_{name}")) / (n + 3)))
-        rows = rows.withColumn(f"low_{name}", F.pow(F.greatest(F.lit(0.0), F.col(f"p_{name}") - 1.28 * F.col(f"sd_{name}")), F.lit(HORIZON - 1)))
-    known = F.col("i") >= 3
-    side = F.signum("td")
-    least = F.when(side > 0, F.col("low_up")).when(side < 0, F.col("low_down")).otherwise(F.greatest("low_up", "low_down"))
-    mean = F.pow(F.when(side > 0, F.col("p_up")).when(side < 0, F.col("p_down")).otherwise(F.greatest("p_up", "p_down")), F.lit(HORIZON - 1))
-    zero = lambda c: F.when(known, c).otherwise(0.0)
-    rows = rows.withColumns({
-        "td": F.when(known, F.col("td")).otherwise(0), "td_pct": zero(F.col("td") / F.col("w") * 100), "flow_pct": zero(F.when(F.col("mags") > 0, F.col("flow") / F.col("mags") * 100).otherwise(0.0)),
-        "drift": zero(F.signum(F.col("price") - F.col("first"))).cast("int"), "accel_aligned": zero(F.col("accel_aligned")), "run": F.when(known, F.col("run")).otherwise(0), "run_dir": F.when(known, F.col("run_dir")).otherwise(0),
-        "exhaustion": F.when(known, F.col("exhaustion")).otherwise(0), "persistence": zero(F.col("p_up") + F.col("p_down") - 1), "p_run": F.when(known, mean).otherwise(0.0625), "p_run_low": zero(least),
-    })
+    before = np.append(0, d[:-1])
+    since = np.maximum(j - MODEL + 2, 0)
+    count = lambda a, b: (u := _upto((before == a) & (d == b)))[j + 1] - u[since]
+    chance, low = {}, {}
+    for way in (1, -1):
+        same, n = count(way, way), count(way, way) + count(way, -way)
+        chance[way] = (same + 1) / (n + 2)
+        low[way] = np.maximum(0.0, chance[way] - 1.28 * np.sqrt(chance[way] * (1 - chance[way]) / (n + 3))) ** (HORIZON - 1)
+    pick = lambda x: np.where(side > 0, x[1], np.where(side < 0, x[-1], np.maximum(x[1], x[-1])))
+    known = i >= 3
+    zero = lambda x: np.where(known, x, 0)
+    out = {
+        "td": zero(td), "td_pct": zero(td / w * 100), "flow_pct": zero(np.where(mags > 0, flow / np.where(mags > 0, mags, 1) * 100, 0.0)),
+        "drift": zero(np.nan_to_num(np.sign(p - p[np.maximum(j - TREND + 1, 0)]))), "accel_aligned": zero(aligned), "run": zero(run), "run_dir": zero(d), "exhaustion": zero(exhaustion),
+        "persistence": zero(chance[1] + chance[-1] - 1), "p_run": np.where(known, pick({k: c ** (HORIZON - 1) for k, c in chance.items()}), 0.0625), "p_run_low": zero(pick(low)),
+    }
     # fresh: the condition holds and didn't at one of the FRESH + 1 ticks before
-    rows = rows.withColumn("broke", F.abs("td_pct") >= IMBALANCE).withColumn("speeds", F.col("accel_aligned") > ACCEL)
-    before = frame(-(FRESH + 1), 0)
-    for name in ("broke", "speeds"):
-        long_held = (F.count(F.lit(1)).over(before) == FRESH + 2) & F.min(name).over(before)
-        rows = rows.withColumn(f"fresh_{name}", F.col(name) & ~long_held)
-    rows = rows.withColumn("conditions", F.array(
-        F.col("fresh_broke"), F.col("fresh_speeds"), F.col("exhaustion") <= EXHAUSTED, (F.col("run_dir") == F.signum("td")) & F.col("run").between(2, YOUNG),
-        F.col("drift") == F.signum("td"), F.col("persistence") >= PERSISTENCE, F.col("p_run_low") * 100 >= LEAST_RUN,
-    ))
-    rows = rows.withColumn("conditions_met", F.size(F.filter("conditions", lambda c: c))).withColumn("ready", (F.col("conditions_met") == 7) & (F.col("td") != 0))
-    names = ["td_pct", "flow_pct", "drift", "accel_aligned", "run", "run_dir", "exhaustion", "persistence", "p_run", "p_run_low", "conditions_met", "ready"]
-    return own(rows).select("symbol", "i", "price", "raw", "mag", F.col("td").cast("int").alias("td"), *names)
+    fresh = lambda c: c & ~_trailing(c, FRESH + 2).all(axis=1)
+    side = np.sign(out["td"])
+    conditions = [
+        fresh(np.abs(out["td_pct"]) >= IMBALANCE), fresh(out["accel_aligned"] > ACCEL), out["exhaustion"] <= EXHAUSTED, (out["run_dir"] == side) & (out["run"] >= 2) & (out["run"] <= YOUNG),
+        out["drift"] == side, out["persistence"] >= PERSISTENCE, out["p_run_low"] * 100 >= LEAST_RUN,
+    ]
+    met = np.sum(conditions, axis=0)
+    return out | {"conditions_met": met, "ready": (met == len(conditions)) & (side != 0)}
+
+
+def metrics(ticks: DataFrame) -> DataFrame:
+    """``ticks`` (symbol, i, price) with td_pct, flow_pct, drift, accel_aligned, run, run_dir, exhaustion, persistence and
+    the model's chance of a run; rows with fewer than four ticks so far have neutral ones.
+
+    A flat tick takes the direction of the last move, however far back that is. A null price is no move; what needs it is null,
+    its drift 0."""
+    change = F.col("price") - F.lag("price").over(stream())
+    rows = chunked(ticks.select("symbol", "i", "price"), 1).withColumns({"raw": F.coalesce(F.signum(change), F.lit(0.0)).cast("int"), "mag": F.coalesce(F.abs(change), F.lit(0.0))})
+    rows = carried(own(rows), F.when(F.col("raw") != 0, F.col("raw")), "dir")
+    schema = f"symbol string, i long, price double, raw int, mag double, td int, {METRICS}"
+    types = {f.split()[0]: f.split()[1] for f in schema.split(", ")}
+    arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+    def run(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("i")
+        at, p, mag = (chunk.column(c).to_numpy() for c in ("i", "price", "mag"))
+        made = measured(at, p.astype("f8"), chunk.column("dir").fill_null(0).to_numpy().astype("i8"), mag)
+        keep = chunk.column("own").to_numpy()
+        out = chunk.select(["symbol", "i", "price", "raw", "mag"]).filter(chunk.column("own"))
+        for name, values in made.items():
+            v = values[keep].astype({"int": "i4", "long": "i8", "double": "f8", "boolean": bool}[types[name]])
+            out = out.append_column(name, pa.array(v, arrow[types[name]], from_pandas=True))
+        return out
+
+    return chunked(rows.select("symbol", "i", F.col("price").cast("double").alias("price"), "raw", "mag", "dir"), HALO).groupBy("symbol", "chunk").applyInArrow(run, schema)
+
+
+def _mean(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v, lambda a: a / F.greatest(F.size(x), F.lit(1)))
 
 
 def unblocked(rows: DataFrame, gap: int = HORIZON - 1) -> DataFrame:

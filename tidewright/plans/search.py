@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import indicators as ind
+from tidewright.functions.indicators import windowed
 from tidewright.functions.windows import rounded
 from tidewright.operators import bursts as bs
 from tidewright.operators import campaign as cp
 from tidewright.operators import discovery as ds
 from tidewright.operators import scoring as sc
 from tidewright.operators import search as se
-from tidewright.sources.shared import stored
+from tidewright.sources.shared import place, stored
 from tidewright.sources.ticks import candles_by_count, candles_by_time, index_by_day, table, ticks
+from tidewright.streaming import bars, live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +166,23 @@ def burst_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def burst_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bs.signals(ticks(spark, sf_dir))
+
+
+def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that persists, unlike the raw one: of each tick from the 14th on the mean of it and the 13 before it."""
+    rows = windowed(ticks(spark, sf_dir), ["sma"], sma=14).filter("sma is not null")
+    return rows.select("symbol", (F.col("i") - 13).alias("i"), "ts", "event_id", F.col("sma").alias("price"))
+
+
+@query()
+def burst_signals_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bs.signals(_smooth(spark, sf_dir))
+
+
+@query()
+def streaming_burst_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream with state, once they are settled."""
+    rows = _smooth(spark, sf_dir).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", "price")
+    folder = place(spark, "smoothed")
+    rows.write.parquet(folder)
+    return bars.run_once(live.signals(spark.readStream.schema(rows.schema).parquet(folder)), "signals")

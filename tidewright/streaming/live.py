@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators import bursts
 from tidewright.sources.versions import Versions
 
 CANDLE = "symbol string, granularity long, epoch long, open double, high double, low double, close double, seq long"
@@ -97,3 +98,51 @@ def aggression(stream: DataFrame, seconds: int = 60, recent: int = 10) -> DataFr
 
     rows = stream.withColumn("bucket", F.floor(F.unix_timestamp("ts") / seconds) * seconds)
     return rows.groupBy("symbol").applyInPandasWithState(advance, AGGRESSION, _STATE, "append", "NoTimeout")
+
+
+SIGNAL = "symbol string, i long, direction int, prob long, in_direction int, result string"
+_SIGNAL_STATE = "prices binary, directions binary, seen long, carry int, open long, side int, prob long"
+
+
+def signals(stream: DataFrame) -> DataFrame:
+    """Burst signals of ``stream`` (symbol, ts, event_id, price), each once its horizon is over; see ``bursts.signals``, which gives the
+    same rows and those still open. A symbol's state is its last HALO prices with their directions, how many ticks there were,
+    the direction that flat ticks take and the open signal, during which no other fires. Ticks of one batch are put in order
+    of time, later ones are taken as they come."""
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        prices, directions, seen, carry, fired, side, prob = state.get if state.exists else (b"", b"", 0, 0, -1, 0, 0)
+        old = np.frombuffer(prices, "f8")
+        p = np.concatenate([old, rows["price"].to_numpy("f8")])
+        move = np.nan_to_num(np.diff(p, prepend=p[:1]))
+        raw = np.sign(move[len(old) :]).astype("i8")
+        place = np.maximum.accumulate(np.where(raw != 0, np.arange(1, len(raw) + 1), 0))
+        d = np.concatenate([np.frombuffer(directions, "i1").astype("i8"), np.append(carry, raw)[place]])
+        first = seen - len(old)
+        at = np.arange(first, first + len(p))
+        # sizes of the moves before what is kept count nowhere, as no window reaches that far
+        made = bursts.measured(at, p, d, np.abs(move))
+        out, total, last = [], seen + len(raw), bursts.HORIZON - 1
+
+        def settle() -> None:
+            here = slice(fired - first, fired - first + bursts.HORIZON)
+            size, way = np.abs(move[here]), np.sign(move[here])
+            broken = ((way == -side) & (size > bursts.NOISE * size.mean())).any()
+            won = not broken and np.sign(p[here][-1] - p[here][0]) == side
+            out.append((key[0], fired, side, prob, int((way == side).sum()), "win" if won else "loss"))
+
+        for k in (np.flatnonzero(made["ready"][len(old) :]) + seen).tolist():
+            if fired >= 0 and k - fired < last:
+                continue
+            if fired >= 0:
+                settle()
+            fired, side, prob = k, int(np.sign(made["td"][k - first])), math.floor(made["p_run"][k - first] * 100 + 0.5)
+        if fired >= 0 and fired + last < total:
+            settle()
+            fired = -1
+        keep = slice(max(0, len(p) - bursts.HALO), None)
+        state.update((p[keep].tobytes(), d[keep].astype("i1").tobytes(), total, int(d[-1]), fired, side, prob))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in SIGNAL.split(", ")])
+
+    return stream.groupBy("symbol").applyInPandasWithState(advance, SIGNAL, _SIGNAL_STATE, "append", "NoTimeout")
