@@ -69,6 +69,11 @@ def series(rows: DataFrame, keys: list[str], order: str, x: str, y: str, size: i
     return stored(made, "blocks")
 
 
+def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` over as many tasks as a shuffle has: blocks are few and small beside the work on them, so they aren't coalesced."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def standard(blocks: DataFrame) -> DataFrame:
     """``blocks`` with values as deviations from the mean in standard deviations; 0 where a series is constant."""
     scaled = lambda c: F.transform(c, lambda v: F.when(F.col(f"hi_{c}") == F.col(f"lo_{c}"), 0.0).otherwise((v - F.col(f"mean_{c}")) / F.col(f"sd_{c}")))
@@ -124,7 +129,7 @@ def shifted(blocks: DataFrame, keys: list[str], times: int, seed: int, size: int
     left = blocks.select(*keys, "n", "_a", "x", F.explode(partners("n", "_a")).alias("_b"))
     pairs = left.join(blocks.select(*keys, F.col("_a").alias("_b"), "y"), [*keys, "_b"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*keys).schema)
-    parts = pairs.groupBy(*keys, "_a", "_b").applyInArrow(run, f"{fields}, _k int, _cell int, _v double")
+    parts = _dealt(pairs, [*keys, "_a", "_b"]).groupBy(*keys, "_a", "_b").applyInArrow(run, f"{fields}, _k int, _cell int, _v double")
     return parts.groupBy(*keys, "_k", "_cell").agg(F.sum("_v").alias("_v"))
 
 
@@ -185,7 +190,7 @@ def resampled(blocks: DataFrame, keys: list[str], times: int, seed: int, size: i
         return pa.table({**{c: same.column(c) for c in keys}, "_t": pa.array(np.arange(times, dtype="i4")), **{c: pa.array(sums[:, j]) for j, c in enumerate(names)}})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*keys).schema)
-    parts = standard(blocks).select(*keys, "_a", "x", "y").groupBy(*keys, "_a").applyInArrow(run, f"{fields}, _t int, " + ", ".join(f"{c} double" for c in names))
+    parts = _dealt(standard(blocks).select(*keys, "_a", "x", "y"), [*keys, "_a"]).groupBy(*keys, "_a").applyInArrow(run, f"{fields}, _t int, " + ", ".join(f"{c} double" for c in names))
     sums = parts.groupBy(*keys, "_t").agg(*[F.sum(c).alias(c) for c in names])
     mean = {c: F.col(c) / F.nullif(F.col("w"), F.lit(0.0)) for c in names[1:]}
     spread = lambda c: F.greatest(mean[f"w{c}{c}"] - mean[f"w{c}"] * mean[f"w{c}"], F.lit(0.0))
