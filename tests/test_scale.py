@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tidewright.operators import funnel as fn
 from tidewright.operators import governance as gv
 from tidewright.operators import snapshots as sn
 
@@ -31,3 +32,12 @@ def test_histories_with_a_price_of_zero_count(spark):
     assert all(r.history_valid for r in got.values())
     assert got["s"].ncf_mfe == got["t"].ncf_mfe == math.inf and math.isnan(got["u"].ncf_mfe) and all(math.isnan(r.ncf_mae) for r in got.values())
     assert got["s"].ncf_net_displacement == 1 and got["t"].ncf_abs_path_length == 19 and got["u"].ncf_path_efficiency == 0
+
+
+def test_a_screened_feature_keeps_values_beyond_all_bounds(spark):
+    values = [float(k) for k in range(38)] + [math.inf, math.nan]
+    rows = spark.createDataFrame([(k, v, int(k % 2)) for k, v in enumerate(values)], "id long, x double, up int")
+    got = {r.candidate: r for r in fn.screening(rows, "id", F.col("up"), ("x",)).collect()}
+    assert {r.rows for r in got.values()} == {40} and got["x__p50_above"].threshold == 19 and list(got["x__p50_above"].sizes) == [19, 21]
+    # the range is NaN, so is each place in it
+    assert list(got["x__raw"].sizes) == [40] and got["x__raw"].score == 0

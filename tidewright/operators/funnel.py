@@ -63,10 +63,12 @@ def generated(values: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFram
 
 def tables(values: DataFrame, candidates: DataFrame, bins: int = BINS) -> DataFrame:
     """For each of ``candidates`` its counts over ``values`` (feature, value, label 0 or 1): sizes and hits of each bin, n and
-    mutual information in bits. Raw values fall into ``bins`` of equal width. Candidates are a few for each feature, so they
+    mutual information in bits. Raw values fall into ``bins`` of equal width, what has no place among them (an infinite value of an
+    infinite range, NaN) into the last. Candidates are a few for each feature, so they
     are sent to the values, and counts are combined before they are shuffled."""
     v, span = F.col("value"), F.col("hi") - F.col("lo")
-    raw = F.coalesce(F.least(F.floor(over(v - F.col("lo"), span) * bins), F.lit(bins - 1)), F.lit(0))
+    place = over(v - F.col("lo"), span) * bins
+    raw = F.when(F.isnan(place), bins - 1).otherwise(F.coalesce(F.least(F.floor(place), F.lit(bins - 1)), F.lit(0)))
     side = F.when(F.col("direction") == "above", v >= F.col("threshold")).otherwise(v < F.col("threshold")).cast("int")
     rows = values.join(F.broadcast(candidates.select("candidate", "feature", "lo", "hi", "kind", "direction", "threshold")), "feature")
     counts = rows.groupBy("candidate", F.when(F.col("kind") == "raw", raw).otherwise(side).cast("int").alias("bin")).agg(F.count("*").alias("size"), F.sum("label").cast("long").alias("hits"))
@@ -145,7 +147,7 @@ def screening(rows: DataFrame, key: str, label: Column, features: tuple[str, ...
     n = wide.count()
     if n < LEAST_ROWS:
         raise InsufficientData(f"a campaign needs {LEAST_ROWS} labelled rows, there are {n}")
-    values = unpivoted(wide, key, F.col("_label"), list(features))
+    values = unpivoted(wide, key, F.col("_label"), list(features), nan=True)
     made = stored(generated(values).filter(F.col("n") >= (1 - MOST_MISSING) * n), "candidates")
     return made.drop("lo", "hi", "n").join(tables(values, made), "candidate")
 
