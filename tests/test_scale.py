@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
 from tidewright.operators import funnel as fn
 from tidewright.operators import governance as gv
 from tidewright.operators import snapshots as sn
+from tidewright.operators import statistics as st
 
 
 def plan(df) -> str:
@@ -41,3 +43,24 @@ def test_a_screened_feature_keeps_values_beyond_all_bounds(spark):
     assert {r.rows for r in got.values()} == {40} and got["x__p50_above"].threshold == 19 and list(got["x__p50_above"].sizes) == [19, 21]
     # the range is NaN, so is each place in it
     assert list(got["x__raw"].sizes) == [40] and got["x__raw"].score == 0
+
+
+def test_split_gain_finds_the_best_prefix_whatever_crowds(spark, monkeypatch):
+    # no feature is sorted whole
+    monkeypatch.setattr(st, "running", None)
+    rng = random.Random(3)
+    rows = [("even", k, rng.random(), int(rng.random() < 0.5)) for k in range(3000)] + [("step", k, rng.gauss(0, 1), 0) for k in range(3000)]
+    rows = [(f, k, v, int(v > 0.3) if f == "step" else y) for f, k, v, y in rows] + [("crowd", k, float(k % 7 == 0), int(900 < k < 1500 or rng.random() < 0.2)) for k in range(3000)]
+    rows += [("few", k, float(k), k % 2) for k in range(3)] + [("same", k, 1.0, int(k > 5)) for k in range(12)]
+    gini = lambda p, n: 1 - (p / n) ** 2 - ((n - p) / n) ** 2
+    want = {}
+    for name in ("even", "step", "crowd", "few", "same"):
+        labels = [y for _, _, y in sorted((v, k, y) for f, k, v, y in rows if f == name)]
+        n, pos, pl, best = len(labels), sum(labels), 0, 0.0
+        for nl, y in enumerate(labels[:-1], 1):
+            pl += y
+            best = max(best, gini(pos, n) - nl / n * gini(pl, nl) - (n - nl) / n * gini(pos - pl, n - nl))
+        want[name] = best if n >= 4 else 0.0
+    made = st.split_gain(spark.createDataFrame(rows, "feature string, id long, value double, label int"), "id")
+    got = {r.feature: r.split_gain for r in made.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[f], want[f], abs_tol=1e-9) for f in want)

@@ -54,17 +54,18 @@ def snapshot(p: np.ndarray) -> dict[str, np.ndarray]:
         }
 
 
-def snapshots(ticks: DataFrame) -> DataFrame:
-    """``ticks`` with a column for each of KEYS; missing values are null."""
+def snapshots(ticks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``ticks`` with a column for each of KEYS; missing values are null. Columns to ``keep`` come along."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")
         for name, x in snapshot(part["price"].to_numpy()).items():
             part[name] = pd.array(x, dtype="Float64")
             part.loc[~np.isfinite(x), name] = pd.NA
-        return part[part["own"]][["symbol", "i", *KEYS]]
+        return part[part["own"]][["symbol", "i", *keep, *KEYS]]
 
-    rows = chunked(ticks.select("symbol", "i", "price"), LONG_HALO)
-    return rows.groupBy("symbol", "chunk").applyInPandas(run, "symbol string, i long, " + ", ".join(f"{k} double" for k in KEYS))
+    rows = chunked(ticks.select("symbol", "i", "price", *keep), LONG_HALO)
+    kinds = dict(ticks.dtypes)
+    return rows.groupBy("symbol", "chunk").applyInPandas(run, "symbol string, i long, " + ", ".join([*(f"{c} {kinds[c]}" for c in keep), *(f"{k} double" for k in KEYS)]))
 
 
 def v(key: str, at: int) -> Column:
@@ -223,8 +224,8 @@ def definitions() -> list[tuple[str, str, Column]]:
     return out
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """``rows`` (symbol, i and KEYS) as symbol, i and f000 to f177."""
+def features(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (symbol, i and KEYS) as symbol, i, what is to ``keep`` and f000 to f177."""
     rows = chunked(rows, 3)
-    rows = rows.select("symbol", "i", "chunk", "own", *[F.lag(k, at - 1).over(stream()).alias(f"{k}_{at}") if at > 1 else F.col(k).alias(f"{k}_1") for k in KEYS for at in NOW])
-    return own(rows).select("symbol", "i", *[c.cast("double").alias(f"f{n:03d}") for n, (_, _, c) in enumerate(definitions())])
+    rows = rows.select("symbol", "i", *keep, "chunk", "own", *[F.lag(k, at - 1).over(stream()).alias(f"{k}_{at}") if at > 1 else F.col(k).alias(f"{k}_1") for k in KEYS for at in NOW])
+    return own(rows).select("symbol", "i", *keep, *[c.cast("double").alias(f"f{n:03d}") for n, (_, _, c) in enumerate(definitions())])

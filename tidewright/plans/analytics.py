@@ -348,7 +348,9 @@ def generated_feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stream = ticks(spark, sf_dir).select("symbol", "i", "price")
     nxt = stream.select("symbol", (F.col("i") - 1).alias("i"), F.col("price").alias("next_price"))
-    label = stream.join(nxt, ["symbol", "i"]).select("symbol", "i", (F.col("next_price") > F.col("price")).cast("int").alias("rise"))
-    rows = stored(generated.features(generated.snapshots(stream)), "features").join(label, ["symbol", "i"]).withColumn("id", F.xxhash64("symbol", "i"))
+    # the label comes along from the beginning, since features are wide; a symbol's last tick has none
+    labelled = stream.join(nxt, ["symbol", "i"], "left").select(*stream.columns, F.coalesce((F.col("next_price") > F.col("price")).cast("int"), F.lit(-1)).alias("rise"))
+    made = generated.features(generated.snapshots(labelled, ("rise",)), ("rise",)).filter("rise >= 0")
+    rows = stored(made, "features").withColumn("id", F.xxhash64("symbol", "i"))
     names = [c for c in rows.columns if c.startswith("f")]
     return rounded(st.ranked(st.unpivoted(rows.select("id", "rise", *names), "id", F.col("rise"), names), "id"))
