@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import funnel as fn
 from tidewright.operators import governance as gv
+from tidewright.operators import registries as rg
 from tidewright.operators import snapshots as sn
 from tidewright.operators import statistics as st
 
@@ -64,3 +65,12 @@ def test_split_gain_finds_the_best_prefix_whatever_crowds(spark, monkeypatch):
     made = st.split_gain(spark.createDataFrame(rows, "feature string, id long, value double, label int"), "id")
     got = {r.feature: r.split_gain for r in made.collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[f], want[f], abs_tol=1e-9) for f in want)
+
+
+def test_names_with_shared_inputs_are_paired_by_class(spark, monkeypatch):
+    monkeypatch.setattr(rg, "BLOCK", 3)
+    held = {k: {0, 1, 2} if k < 11 else {k % 4, 7} if k < 20 else {k} for k in range(24)}
+    rows = spark.createDataFrame([(k, v) for k, vs in held.items() for v in vs for _ in range(2)], "name long, v long")
+    got = [(r.a, r.b, r.shared, r.n_a, r.n_b, r.overlap) for r in rg.shared_inputs(rows, "name", "v").collect()]
+    want = [(a, b, len(held[a] & held[b]), len(held[a]), len(held[b]), "full" if held[a] == held[b] else "partial") for a in held for b in held if a < b and held[a] & held[b]]
+    assert sorted(got) == want
