@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import funnel as fn
 from tidewright.operators import governance as gv
+from tidewright.operators import graph as gr
+from tidewright.operators import provenance as pv
 from tidewright.operators import registries as rg
 from tidewright.operators import snapshots as sn
 from tidewright.operators import statistics as st
+from tidewright.streaming import bars, live
 
 
 def plan(df) -> str:
@@ -74,3 +77,28 @@ def test_names_with_shared_inputs_are_paired_by_class(spark, monkeypatch):
     got = [(r.a, r.b, r.shared, r.n_a, r.n_b, r.overlap) for r in rg.shared_inputs(rows, "name", "v").collect()]
     want = [(a, b, len(held[a] & held[b]), len(held[a]), len(held[b]), "full" if held[a] == held[b] else "partial") for a in held for b in held if a < b and held[a] & held[b]]
     assert sorted(got) == want
+
+
+def test_slices_of_a_batch_change_no_candle_and_no_signal(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    rows = [("s", 60, 60 * max(0, k // 9 - rng.choice([0, 0, 1])), rng.random(), 2.0, 0.0, 1.0, k) for k in range(200)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(live, "SLICE", 7)
+    spark.createDataFrame(rows, live.CANDLE).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    got = bars.run_once(live.live_candles(spark.readStream.schema(live.CANDLE).parquet(f"file://{tmp_path}/in")), "counted")
+    newest, want = -1, []
+    for r in sorted(rows, key=lambda r: r[-1]):
+        if r[2] >= newest:
+            newest = r[2]
+            want.append(r[-1])
+    assert sorted(r.seq for r in got.collect()) == want and {(r.symbol, r.granularity) for r in got.collect()} == {("s", 60)}
+
+
+def test_new_edges_and_provenance_need_no_broadcast(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = spark.createDataFrame([("e", "a", "b", 4)], "edge_type string, from_node string, to_node string, seq long")
+    new = spark.createDataFrame([("e", "a", "b", 2), ("e", "a", "x", 1), ("e", "b", "a", 1)], "edge_type string, from_node string, to_node string, k long")
+    made = gr.add_edges(nodes, edges, new, "k")
+    assert {(r.from_node, r.seq) for r in made.collect()} == {("a", 5), ("b", 0)}
+    steps = spark.createDataFrame([(2, 1, 1), (3, 2, 2)], "child long, parent long, seq long")
+    assert "Broadcast" not in plan(pv._closing(steps, steps.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.col("seq").alias("latest"))))

@@ -14,19 +14,32 @@ from pyspark.sql import functions as F
 from tidewright.operators import bursts
 from tidewright.sources.versions import Versions
 
+#: Rows that a stream's function works on at once.
+SLICE = 50_000
+
 CANDLE = "symbol string, granularity long, epoch long, open double, high double, low double, close double, seq long"
 
+_NUMBERS = {"epoch": "i8", "open": "f8", "high": "f8", "low": "f8", "close": "f8", "seq": "i8"}
+
 
 def live_candles(messages: DataFrame) -> DataFrame:
     """Those of ``messages`` (CANDLE, ``seq`` their order of arrival) that count: a message updates its series' newest candle or
     begins a newer one; one of an older candle came too late. A series' state is the time of its newest candle."""
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        epoch = rows["epoch"].to_numpy("i8")
-        newest = np.maximum.accumulate(np.append(state.get[0] if state.exists else np.iinfo("i8").min, epoch))
+        # numbers only, without a copy in order: the key's names are the same in all rows
+        parts: dict[str, list] = {c: [] for c in _NUMBERS}
+        for b in batches:
+            for c, kind in _NUMBERS.items():
+                parts[c].append(b[c].to_numpy(kind))
+        rows = {c: np.concatenate(parts.pop(c)) for c in _NUMBERS}
+        order = np.argsort(rows["seq"], kind="stable")
+        newest = np.maximum.accumulate(np.append(state.get[0] if state.exists else np.iinfo("i8").min, rows["epoch"][order]))
         state.update((int(newest[-1]),))
-        yield rows[epoch >= newest[:-1]]
+        order = order[rows["epoch"][order] >= newest[:-1]]
+        for k in range(0, max(len(order), 1), SLICE):
+            part = {c: x[order[k : k + SLICE]] for c, x in rows.items()}
+            yield pd.DataFrame({"symbol": [key[0]] * len(part["seq"]), "granularity": np.full(len(part["seq"]), key[1], "i8"), **part})
 
     return messages.groupBy("symbol", "granularity").applyInPandasWithState(advance, CANDLE, "newest long", "append", "NoTimeout")
 
@@ -111,10 +124,22 @@ def signals(stream: DataFrame) -> DataFrame:
     of time, later ones are taken as they come."""
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        prices, directions, seen, carry, fired, side, prob = state.get if state.exists else (b"", b"", 0, 0, -1, 0, 0)
+        # of a batch no more is kept than time, number and price; its metrics are made slice by slice, as if slices were batches
+        parts = [(b["ts"].to_numpy("M8[ns]"), b["event_id"].to_numpy("i8"), b["price"].to_numpy("f8")) for b in batches]
+        ts, number, price = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((number, ts))
+        del ts, number
+        kept = state.get if state.exists else (b"", b"", 0, 0, -1, 0, 0)
+        for k in range(0, len(order), SLICE):
+            kept, out = settled(key[0], price[order[k : k + SLICE]], kept)
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in SIGNAL.split(", ")])
+        state.update(kept)
+
+    def settled(symbol: str, new: np.ndarray, kept: tuple) -> tuple[tuple, list]:
+        prices, directions, seen, carry, fired, side, prob = kept
         old = np.frombuffer(prices, "f8")
-        p = np.concatenate([old, rows["price"].to_numpy("f8")])
+        p = np.concatenate([old, new])
         move = np.nan_to_num(np.diff(p, prepend=p[:1]))
         raw = np.sign(move[len(old) :]).astype("i8")
         place = np.maximum.accumulate(np.where(raw != 0, np.arange(1, len(raw) + 1), 0))
@@ -130,7 +155,7 @@ def signals(stream: DataFrame) -> DataFrame:
             size, way = np.abs(move[here]), np.sign(move[here])
             broken = ((way == -side) & (size > bursts.NOISE * size.mean())).any()
             won = not broken and np.sign(p[here][-1] - p[here][0]) == side
-            out.append((key[0], fired, side, prob, int((way == side).sum()), "win" if won else "loss"))
+            out.append((symbol, fired, side, prob, int((way == side).sum()), "win" if won else "loss"))
 
         for k in (np.flatnonzero(made["ready"][len(old) :]) + seen).tolist():
             if fired >= 0 and k - fired < last:
@@ -142,7 +167,6 @@ def signals(stream: DataFrame) -> DataFrame:
             settle()
             fired = -1
         keep = slice(max(0, len(p) - bursts.HALO), None)
-        state.update((p[keep].tobytes(), d[keep].astype("i1").tobytes(), total, int(d[-1]), fired, side, prob))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in SIGNAL.split(", ")])
+        return (p[keep].tobytes(), d[keep].astype("i1").tobytes(), total, int(d[-1]), fired, side, prob), out
 
     return stream.groupBy("symbol").applyInPandasWithState(advance, SIGNAL, _SIGNAL_STATE, "append", "NoTimeout")
