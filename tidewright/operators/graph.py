@@ -34,7 +34,8 @@ def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame, order: str) ->
     """``new`` edges (edge_type, from_node, to_node, note) between nodes that exist, numbered on from what their source has,
     in the order of ``order`` and then of their targets."""
     known = nodes.select(F.col("id"))
-    fit = new.join(known.withColumnRenamed("id", "from_node"), "from_node", "left_semi").join(known.withColumnRenamed("id", "to_node"), "to_node", "left_semi")
+    # sources last: their join, the numbers they have and the window then share one shuffle
+    fit = new.join(known.withColumnRenamed("id", "to_node"), "to_node", "left_semi").join(known.withColumnRenamed("id", "from_node"), "from_node", "left_semi")
     have = edges.groupBy("from_node").agg((F.max("seq") + 1).alias("_next"))
     k = F.row_number().over(Window.partitionBy("from_node").orderBy(order, "to_node"))
     return fit.join(have, "from_node", "left").withColumn("seq", F.coalesce("_next", F.lit(0)) + k - 1).drop("_next")
