@@ -125,3 +125,25 @@ def test_campaign_finds_what_is_planted_and_nothing_else(spark):
     assert none.filter("round = 4").count() == 0 and fn.verdict(none).first().decision == "NULL_RESULT"
     with pytest.raises(fn.InsufficientData):
         fn.screening(df.limit(29), "k", F.col("y"), features)
+
+
+def test_series_are_summed_up_as_columns(spark):
+    ticks = walk(spark)
+    specs = [spec("indicator", ["sma"], 10), spec("indicator", ["run_length"], 14), spec("state", ["trend"], 20), spec("conditional", ["trend"], 20, "momentum_state", "trend|momentum_state")]
+    got = cn.summary(cn.wide(ticks, specs), [cn.label(s) for s in specs], 5)
+    assert "Expand" not in got._jdf.queryExecution().toString()
+    rows = cn.series(ticks, specs).withColumn("value", F.round("value", 5))
+    plain = rows.groupBy("symbol", "candidate").agg(F.count("value").alias("known"), F.avg("value").alias("mean"), F.count_if(F.col("value") != 0).alias("active"))
+    by = lambda df: sorted(df.collect(), key=lambda r: (r.symbol, r.candidate))
+    for a, b in zip(by(got), by(plain), strict=True):
+        assert a[:3] == b[:3] and a.active == b.active and math.isclose(a["mean"], b["mean"], rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("name", ["candidate_series"])
+def test_no_query_makes_a_row_of_each_candidate_and_tick(spark, monkeypatch, name):
+    from tidewright.plans import candidates as queries
+
+    made = []
+    monkeypatch.setattr(queries, "stored", lambda df, _: made.append(df) or df)
+    made.append(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert not any("Expand" in df._jdf.queryExecution().toString() for df in made)

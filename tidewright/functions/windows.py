@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +85,9 @@ def js_round(x: Column) -> Column:
 def rounded(rows: DataFrame, *keep: str, places: int = 6) -> DataFrame:
     """Doubles rounded for comparison, negative zero made zero, other columns as they are."""
     return rows.select(*[(F.round(F.col(c), places) + F.lit(0.0)).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in rows.dtypes])
+
+
+def rounded_array(x: np.ndarray, places: int) -> np.ndarray:
+    """``x`` rounded half away from zero by scaling, as DuckDB does; what is too large to have so many places stays as it is."""
+    scaled = np.abs(x) * 10.0**places
+    return np.where(scaled < 2.0**52, np.copysign(np.floor(scaled + 0.5) / 10.0**places, x), x)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidewright.functions import indicators as ind
 from tidewright.functions import signals as sg
-from tidewright.functions.windows import own, with_shared
+from tidewright.functions.windows import over, own, rounded_array, with_shared
 
 from .discovery import combined, conditional
 
@@ -98,11 +101,35 @@ def label(candidate: Row) -> str:
     return column(candidate["name"], candidate["period"], candidate["type"])
 
 
+def wide(ticks: DataFrame, candidates: list[Row], size: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, i) with the columns of ``ticks`` to ``keep`` and one for each of ``candidates``, its series over ``ticks``, null where it
+    isn't known yet. The specifications are few, and Catalyst computes what they share once."""
+    return observed(ticks, candidates, size).select("symbol", "i", *keep, *[value(c).alias(label(c)) for c in candidates])
+
+
 def series(ticks: DataFrame, candidates: list[Row], size: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(symbol, i, candidate, value): the series of each of ``candidates`` over ``ticks``, null where it isn't known yet, with the
-    columns of ``ticks`` to ``keep``. The specifications are few, and Catalyst computes what they share once; their series are
-    as long as the ticks."""
-    rows = observed(ticks, candidates, size)
-    ids = ["symbol", "i", *keep]
-    wide = rows.select(*ids, *[value(c).alias(label(c)) for c in candidates])
-    return wide.unpivot(ids, [label(c) for c in candidates], "candidate", "value")
+    """(symbol, i, candidate, value): the columns of ``wide`` as rows, of which there are as many as ticks times candidates."""
+    return wide(ticks, candidates, size, keep).unpivot(["symbol", "i", *keep], [label(c) for c in candidates], "candidate", "value")
+
+
+def summary(rows: DataFrame, names: list[str], places: int) -> DataFrame:
+    """(symbol, candidate, known, mean, active) of the columns ``names`` of ``rows`` (symbol), rounded to ``places``: where each is known, its
+    mean and where it isn't 0. Batches are added up column by column, so no value becomes a row of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            symbols = b.column("symbol").dictionary_encode(null_encoding="encode")
+            at, n = symbols.indices.to_numpy(), len(symbols.dictionary)
+            made = []
+            for name in names:
+                column = b.column(name)
+                known, x = column.is_valid().to_numpy(zero_copy_only=False), rounded_array(column.fill_null(0.0).to_numpy(), places)
+                # an unknown value counts as 0 here, which adds nothing and isn't active
+                made.append((np.bincount(at[known], minlength=n), np.bincount(at, x, n), np.bincount(at[x != 0], minlength=n)))
+            known, total, active = (np.concatenate(c) for c in zip(*made, strict=True))
+            symbol = symbols.dictionary.take(pa.array(np.tile(np.arange(n), len(names))))
+            yield pa.RecordBatch.from_arrays([symbol, pa.array(np.repeat(names, n)), pa.array(known), pa.array(total), pa.array(active)], ["symbol", "candidate", "known", "total", "active"])
+
+    parts = rows.select("symbol", *[F.col(f"`{n}`") for n in names]).mapInArrow(run, "symbol string, candidate string, known long, total double, active long")
+    out = parts.groupBy("symbol", "candidate").agg(*[F.sum(c).alias(c) for c in ("known", "total", "active")])
+    return out.select("symbol", "candidate", "known", over(F.col("total"), F.col("known")).alias("mean"), "active")

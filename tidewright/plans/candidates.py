@@ -113,8 +113,7 @@ select symbol, candidate, coalesce(known, 0) as known, mean, coalesce(active, 0)
 def candidate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates of the registry that ticks can show, over all ticks: where each is known, its mean and where it isn't 0."""
     specs = ds.candidates(spark, PERIODS).filter("type <> 'event'").collect()
-    rows = cn.series(ticks(spark, sf_dir), specs).withColumn("value", F.round("value", 5))
-    return rows.groupBy("symbol", "candidate").agg(F.count("value").alias("known"), (F.round(F.avg("value"), 4) + F.lit(0.0)).alias("mean"), F.count_if(F.col("value") != 0).alias("active"))
+    return rounded(cn.summary(cn.wide(ticks(spark, sf_dir), specs), [cn.label(c) for c in specs], 5), places=4)
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
