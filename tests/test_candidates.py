@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewright.operators import candidates as cn
 from tidewright.operators import discovery as ds
 from tidewright.operators import funnel as fn
+from tidewright.operators import procedures as pr
 
 
 def walk(spark, n=400, seed=7):
@@ -139,7 +140,23 @@ def test_series_are_summed_up_as_columns(spark):
         assert a[:3] == b[:3] and a.active == b.active and math.isclose(a["mean"], b["mean"], rel_tol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["candidate_series"])
+def test_information_of_columns_is_that_of_rows(spark):
+    rng = random.Random(9)
+    odd = [float("nan"), float("inf"), -float("inf"), None, -0.0, 4e-6, 5e-6, 0.015625, 1e300]
+    rows = [(k % 2, rng.random(), odd[rng.randrange(len(odd))], odd[3 + rng.randrange(5)], None, 7.0, round(rng.gauss(0, 1) + k % 2, 3)) for k in range(3000)]
+    names = ["plain", "odd", "small|x", "lacking", "flat", "a+b"]
+    df = spark.createDataFrame(rows, "label int, plain double, odd double, `small|x` double, lacking double, flat double, `a+b` double").repartition(5)
+    wide = {r.feature: r for r in pr.core(pr.columns_information).run_columns(df, {n: "state" for n in names}).collect()}
+    long = df.unpivot(["label"], [F.col(f"`{n}`") for n in names], "feature", "value").withColumn("value", F.round("value", 5)).filter("value is not null")
+    plain = pr.core().run(long, spark.createDataFrame([(n, "state") for n in names], "feature string, type string")).collect()
+    assert len(plain) == len(wide) == 5 and wide["a+b"].information > 0.05
+    for r in plain:
+        assert wide[r.feature].pairs == r.pairs and wide[r.feature].rises == r.rises and abs(wide[r.feature].information - r.information) < 1e-12, r.feature
+    with pytest.raises(pr.Unregistered):
+        pr.core(pr.columns_information).run_columns(df, {"plain": "state", "odd": "rumour"})
+
+
+@pytest.mark.parametrize("name", ["candidate_series", "candidate_information"])
 def test_no_query_makes_a_row_of_each_candidate_and_tick(spark, monkeypatch, name):
     from tidewright.plans import candidates as queries
 

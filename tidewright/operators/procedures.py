@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .statistics import mutual_information
+from .statistics import column_information, mutual_information
 
 #: What a feature says of itself, and how well it may be tested.
 DESCRIBED = ("name", "version", "description", "assumptions", "dependencies", "complexity", "validation_status", "max_lookahead")
@@ -41,16 +41,26 @@ class Procedures:
     def run(self, values: DataFrame, kinds: DataFrame) -> DataFrame:
         """``values`` (feature, value, label) by the procedures of their features' types; ``kinds`` (feature, type) is the registry, a few
         hundred rows. A type without a procedure is refused, never tested by another's."""
-        wanted = sorted(r.type for r in kinds.select("type").distinct().collect())
+        by = self._chosen([r.type for r in kinds.select("type").distinct().collect()])
+        typed = values.join(F.broadcast(kinds), "feature")
+        return reduce(DataFrame.unionByName, [run(typed.filter(F.col("type").isin(*types)).drop("type")) for run, types in by.items()])
+
+    def run_columns(self, rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+        """As ``run``, over a column for each feature of ``kinds`` (feature: type) and a ``label``; the procedures take such ``rows`` and
+        the names of their columns. Values that are columns needn't become rows, of which there would be hundreds for each."""
+        by = self._chosen(list(kinds.values()))
+        return reduce(DataFrame.unionByName, [run(rows, [n for n, t in kinds.items() if t in types]) for run, types in by.items()])
+
+    def _chosen(self, kinds: list[str]) -> dict[Callable, list[str]]:
+        """The procedures with their types; types that share one are tested in one pass."""
+        wanted = sorted(set(kinds))
         lacking = [t for t in wanted if t not in self._by_type]
         if lacking:
             raise Unregistered(f"no procedure for candidates of type {lacking}")
-        typed = values.join(F.broadcast(kinds), "feature")
-        # types that share a procedure are tested in one pass
         by: dict[Callable, list[str]] = {}
         for t in wanted:
             by.setdefault(self._by_type[t], []).append(t)
-        return reduce(DataFrame.unionByName, [run(typed.filter(F.col("type").isin(*types)).drop("type")) for run, types in by.items()])
+        return by
 
 
 def information(values: DataFrame) -> DataFrame:
@@ -59,11 +69,16 @@ def information(values: DataFrame) -> DataFrame:
     return each.join(mutual_information(values, 10).withColumnRenamed("mutual_information", "information"), "feature")
 
 
-def core() -> Procedures:
+def columns_information(rows: DataFrame, names: list[str]) -> DataFrame:
+    """As ``information``, of columns, whose values are rounded to five places."""
+    return column_information(rows, names, 10, 5).withColumnRenamed("mutual_information", "information")
+
+
+def core(procedure: Callable = information) -> Procedures:
     """The procedures for series over ticks."""
     out = Procedures()
     for kind in ("indicator", "state", "proxy", "composite", "conditional"):
-        out.register(kind, information)
+        out.register(kind, procedure)
     return out
 
 

@@ -140,11 +140,10 @@ def candidate_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     the procedure that is registered for it."""
     stream = ticks(spark, sf_dir)
     labelled = stream.join(st.outcome_series(stream, "Rise", 1).withColumnRenamed("outcome", "label"), ["symbol", "i"], "left")
-    specs = ds.candidates(spark, PERIODS).filter("type <> 'event'")
-    rows = cn.series(labelled, specs.collect(), keep=("label",)).withColumn("value", F.round("value", 5)).filter("label is not null and value is not null")
-    values = stored(rows.select(F.col("candidate").alias("feature"), "value", "label"), "candidate-values")
-    kinds = spark.createDataFrame([(cn.label(c), c["type"]) for c in specs.collect()], "feature string, type string")
-    return rounded(pr.core().run(values, kinds).withColumnRenamed("feature", "candidate"))
+    specs = ds.candidates(spark, PERIODS).filter("type <> 'event'").collect()
+    rows = stored(cn.wide(labelled, specs, keep=("label",)).filter("label is not null"), "candidate-columns")
+    out = pr.core(pr.columns_information).run_columns(rows, {cn.label(c): c["type"] for c in specs})
+    return rounded(out.withColumnRenamed("feature", "candidate"))
 
 
 _LABELLED = f"""{SN}, lb as (select ff.*, (sign(t.price - e.trigger_price) = e.direction)::int as label from ff join e using (event_key) join t on t.symbol = e.symbol and t.i = e.i + 1 where t.price <> e.trigger_price),
