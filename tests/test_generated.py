@@ -177,3 +177,21 @@ def test_snapshots_leave_missing_values_null(spark):
     rows = spark.createDataFrame([("A", i, 5.0) for i in range(3)], "symbol string, i long, price double")
     r = gn.snapshots(rows).filter(F.col("i") == 2).first()
     assert r.mid is None and r.chop is None and r.ema5 == 5.0
+
+
+def test_features_of_ticks_move_rows_once_and_interpret_nothing(spark):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(s, i, None if i % 37 == 36 else 5.0 if i < 25 else rng.choice([5.0, 6.0, 7.5])) for s, n in (("A", 120), ("B", 1), ("C", 2)) for i in range(n)], "symbol string, i long, price double")
+    made = gn.of_ticks(rows)
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange ") == 1 and "lambdafunction" not in text
+    by = lambda df: sorted(tuple(r) for r in df.collect())
+    assert by(made) == by(gn.features(gn.snapshots(rows))) and made.count() == 123
+
+
+def test_gaps_among_three_places_are_passed_over(spark):
+    rows = spark.createDataFrame([(1, 1.0, None, -2.0), (2, None, None, 3.0), (3, 1.0, 1.0, 2.0), (4, None, None, None)], "k int, a double, b double, c double")
+    x = [F.col(c) for c in "abc"]
+    flips = gn.total([F.coalesce(t, F.lit(False)) for t in gn.between([gn.sign(v) for v in x], lambda a, b: a != b)])
+    got = rows.orderBy("k").select(gn.known(x), gn.mean(x), gn.spread(x), flips, gn.plus(x)).collect()
+    assert [tuple(r) for r in got] == [(2, -0.5, 3.0, 1.0, -1.0), (1, 3.0, 0.0, 0.0, 3.0), (3, 4 / 3, 1.0, 0.0, 4.0), (0, None, None, 0.0, 0.0)]

@@ -11,8 +11,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .indicators import LONG_HALO, _divide, _ema, _wilder
 from .windows import chunked, own, stream
@@ -54,18 +56,28 @@ def snapshot(p: np.ndarray) -> dict[str, np.ndarray]:
         }
 
 
+def _in_chunks(ticks: DataFrame, keep: tuple[str, ...], columns: dict[str, tuple[str, int]]) -> DataFrame:
+    """symbol, i and what is to ``keep`` of ``ticks`` with ``columns``, name: (one of KEYS, how many ticks before), null where missing."""
+    rows = chunked(ticks.select("symbol", "i", "price", *keep), LONG_HALO)
+    schema = StructType([*(rows.schema[c] for c in ("symbol", "i", *keep)), *(StructField(n, DoubleType()) for n in columns)])
+
+    def run(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("i")
+        price = chunk.column("price").to_numpy().astype("f8")
+        made = {"price": price, **snapshot(price)}
+        out = chunk.select(["symbol", "i", *keep])
+        for name, (key, back) in columns.items():
+            # a chunk has more ticks before its own than features look back
+            x = np.concatenate([np.full(min(back, len(price)), np.nan), made[key][: max(len(price) - back, 0)]])
+            out = out.append_column(name, pa.array(x, pa.float64(), mask=np.isnan(x) if key == "price" else ~np.isfinite(x)))
+        return out.filter(chunk.column("own"))
+
+    return rows.groupBy("symbol", "chunk").applyInArrow(run, schema)
+
+
 def snapshots(ticks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``ticks`` with a column for each of KEYS; missing values are null. Columns to ``keep`` come along."""
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i")
-        for name, x in snapshot(part["price"].to_numpy()).items():
-            part[name] = pd.array(x, dtype="Float64")
-            part.loc[~np.isfinite(x), name] = pd.NA
-        return part[part["own"]][["symbol", "i", *keep, *KEYS]]
-
-    rows = chunked(ticks.select("symbol", "i", "price", *keep), LONG_HALO)
-    kinds = dict(ticks.dtypes)
-    return rows.groupBy("symbol", "chunk").applyInPandas(run, "symbol string, i long, " + ", ".join([*(f"{c} {kinds[c]}" for c in keep), *(f"{k} double" for k in KEYS)]))
+    return _in_chunks(ticks, keep, {k: (k, 0) for k in KEYS})
 
 
 def v(key: str, at: int) -> Column:
@@ -88,17 +100,28 @@ def less(a: str, b: str):
     return lambda at: v(a, at) - v(b, at)
 
 
-def some(values: list[Column]) -> Column:
-    return F.filter(F.array(*values), lambda x: x.isNotNull())
+def known(values: list[Column]) -> Column:
+    """How many aren't null. Like the other rules on three places it is plain arithmetic: functions of arrays are interpreted, row by row."""
+    return reduce(lambda a, b: a + b, [x.isNotNull().cast("int") for x in values])
+
+
+def plus(values: list[Column]) -> Column:
+    """The sum of those that aren't null, 0 if all are."""
+    return reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in values], F.lit(0.0))
 
 
 def mean(values: list[Column]) -> Column:
-    a = some(values)
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(a), F.lit(0))
+    return plus(values) / F.nullif(known(values), F.lit(0))
 
 
 def spread(values: list[Column]) -> Column:
-    return F.array_max(some(values)) - F.array_min(some(values))
+    return F.greatest(*values) - F.least(*values)
+
+
+def between(values: list[Column], test) -> list[Column]:
+    """``test`` of each two neighbours among the three ``values`` that aren't null; it is null for pairs that are none."""
+    a, b, c = values
+    return [test(a, b), test(b, c), F.when(b.isNull(), test(a, c))]
 
 
 def clamped(a: Column, b: Column) -> Column:
@@ -156,21 +179,20 @@ def definitions() -> list[tuple[str, str, Column]]:
         for k in places:
             add("Level", **{f"{label} {k}": f(k)})
 
-    signs = some([sign(v("hist", k)) for k in NOW])
-    flips = F.size(F.filter(F.zip_with(F.slice(signs, 2, 3), F.slice(signs, 1, F.greatest(F.size(signs) - 1, F.lit(0))), lambda a, b: a != b), lambda x: x))
-    hist = some([v("hist", k) for k in NOW])
+    hist = [v("hist", k) for k in NOW]
+    flips = total([F.coalesce(x, F.lit(False)) for x in between([sign(x) for x in hist], lambda a, b: a != b)])
     add("Hist", **{
-        "hist mean": at_mean("hist"), "hist sum": F.when(F.size(hist) > 0, F.aggregate(hist, F.lit(0.0), lambda s, x: s + x)), "hist bend": bend(of("hist")), "hist sign flips": F.when(F.size(signs) > 1, flips.cast("double")),
+        "hist mean": at_mean("hist"), "hist sum": F.when(known(hist) > 0, plus(hist)), "hist bend": bend(of("hist")), "hist sign flips": F.when(known(hist) > 1, flips),
         "hist all positive": all_of("hist", lambda x: x > 0), "hist all negative": all_of("hist", lambda x: x < 0), "hist late accel": v("hist", 1) - mean([v("hist", 3), v("hist", 2)]),
     })
     chop = of("chop")
     add("Chop", **{"chop mean": at_mean("chop"), "chop delta": slope(chop, 3, 1), "chop range": spread([chop(k) for k in NOW]), "chop accel": bend(chop), "chop falling": flag(slope(chop, 3, 1) < 0), "chop late drop": slope(chop, 2, 1)})
     cci = of("cci")
-    seen = some([cci(k) for k in NOW])
-    steps = F.zip_with(F.slice(seen, 2, 3), F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0))), lambda b, a: b - a)
+    seen = [cci(k) for k in NOW]
+    always = lambda test: reduce(lambda a, b: a & b, [F.coalesce(x, F.lit(True)) for x in between(seen, test)])
     add("CCI", **{
-        "cci mean": at_mean("cci"), "cci delta": slope(cci, 3, 1), "cci accel again": bend(cci), "cci abs max": F.array_max(F.transform(seen, F.abs)),
-        "cci monotone": F.when(F.size(seen) >= 2, flag(F.forall(steps, lambda x: x >= 0) | F.forall(steps, lambda x: x <= 0))), "cci momentum": slope(cci, 2, 1) * sign(cci(1)),
+        "cci mean": at_mean("cci"), "cci delta": slope(cci, 3, 1), "cci accel again": bend(cci), "cci abs max": F.greatest(*map(F.abs, seen)),
+        "cci monotone": F.when(known(seen) >= 2, flag(always(lambda a, b: b >= a) | always(lambda a, b: b <= a))), "cci momentum": slope(cci, 2, 1) * sign(cci(1)),
     })
     norm = lambda k: F.when(v("mid", k) > 0, width(k) / F.nullif(v("mid", k), F.lit(0.0)) * 100)
     pctb = of("pctb")
@@ -194,13 +216,13 @@ def definitions() -> list[tuple[str, str, Column]]:
     add("DMI", **{"adx mean": at_mean("adx"), "adx accel again": bend(of("adx")), "di spread accel": bend(di)})
 
     early, late = slope(price, 3, 2), slope(price, 2, 1)
-    moves = some([price(k) for k in NOW])
+    moves = known([price(k) for k in NOW])
     both = (early - late) * (early - late) / 4
     reversion = F.when(atr(1) > 0, less("price", "ema20")(1) / F.nullif(atr(1), F.lit(0.0)))
     crossings = [c for f in (gap, centred("stoch", 50), centred("rsi", 50), di) for c in crossed(f)]
     add("Regime", **{
         "bb contraction": bend(width), "atr expansion": slope(atr, 3, 1), "atr expansion/atr 1": clamped(slope(atr, 3, 1), atr(1)), "volatility late/early": clamped(atr(1), atr(3)),
-        "price disorder": F.when(F.size(moves) == 3, both).when(F.size(moves) == 2, 0.0), "persistence": F.when(early.isNotNull() & late.isNotNull(), F.when((early > 0) & (late > 0), 1.0).when((early < 0) & (late < 0), -1.0).otherwise(0.0)),
+        "price disorder": F.when(moves == 3, both).when(moves == 2, 0.0), "persistence": F.when(early.isNotNull() & late.isNotNull(), F.when((early > 0) & (late > 0), 1.0).when((early < 0) & (late < 0), -1.0).otherwise(0.0)),
         "reversion distance 1": F.abs(reversion), "reversion signed 1": reversion, "crossovers": total(crossings), "price curvature/atr": clamped(bend(price), atr(1)), "macd curvature": bend(of("macd")), "bb curvature/atr": clamped(bend(width), atr(1)),
     })
     shrink = 1 - width(1) / F.nullif(width(3), F.lit(0.0))
@@ -213,11 +235,11 @@ def definitions() -> list[tuple[str, str, Column]]:
     })
     vote = {"rsi": centred("rsi", 50), "hist": of("hist"), "di": di, "pctb": centred("pctb", 0.5), "roc": roc, "macd": of("macd"), "k_d": k_d}
     votes = lambda names, k: [sign(vote[n](k)) for n in names.split()]
-    cast = some(votes("rsi hist di pctb roc macd", 1))
-    count = lambda test: F.size(F.filter(cast, test))
+    cast = votes("rsi hist di pctb roc macd", 1)
+    count = lambda test: total([F.coalesce(test(x), F.lit(False)) for x in cast])
     add("Agreement", **{
         "consensus 1": mean(votes("rsi hist di pctb roc macd k_d", 1)), "consensus 2": mean(votes("rsi hist di roc macd", 2)),
-        "agreement 1": F.greatest(count(lambda x: x > 0), count(lambda x: x < 0)) / F.nullif(F.size(cast), F.lit(0)), "consensus shift": mean(votes("rsi hist roc macd", 1)) - mean(votes("rsi hist roc macd", 3)),
+        "agreement 1": F.greatest(count(lambda x: x > 0), count(lambda x: x < 0)) / F.nullif(known(cast), F.lit(0)), "consensus shift": mean(votes("rsi hist roc macd", 1)) - mean(votes("rsi hist roc macd", 3)),
         "turning 2-1": total([F.coalesce(sign(v(k, 1)) != sign(v(k, 2)), F.lit(False)) for k in ("hist", "rsi", "macd", "cci", "roc")]),
     })
     add("Diverge", **{"macd against price": flag(sign(slope(price, 3, 1)) != sign(slope(of("macd"), 3, 1))), "macd divergence": opposed("macd"), "rsi divergence": opposed("rsi"), "stoch divergence": opposed("stoch")})
@@ -228,4 +250,14 @@ def features(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` (symbol, i and KEYS) as symbol, i, what is to ``keep`` and f000 to f177."""
     rows = chunked(rows, 3)
     rows = rows.select("symbol", "i", *keep, "chunk", "own", *[F.lag(k, at - 1).over(stream()).alias(f"{k}_{at}") if at > 1 else F.col(k).alias(f"{k}_1") for k in KEYS for at in NOW])
-    return own(rows).select("symbol", "i", *keep, *[c.cast("double").alias(f"f{n:03d}") for n, (_, _, c) in enumerate(definitions())])
+    return _defined(own(rows), keep)
+
+
+def of_ticks(ticks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The features of ``ticks`` (symbol, i, price), as ``features`` of their ``snapshots``; the chunk that makes a tick's indicators has
+    those of the ticks before it as well, so rows move and are sorted once."""
+    return _defined(_in_chunks(ticks, keep, {f"{k}_{at}": (k, at - 1) for k in KEYS for at in NOW}), keep)
+
+
+def _defined(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return rows.select("symbol", "i", *keep, *[c.cast("double").alias(f"f{n:03d}") for n, (_, _, c) in enumerate(definitions())])

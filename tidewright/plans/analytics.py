@@ -338,7 +338,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.functions import generated
 
-    return rounded(generated.features(generated.snapshots(ticks(spark, sf_dir))))
+    return rounded(generated.of_ticks(ticks(spark, sf_dir)))
 
 
 @query()
@@ -350,7 +350,7 @@ def generated_feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt = stream.select("symbol", (F.col("i") - 1).alias("i"), F.col("price").alias("next_price"))
     # the label comes along from the beginning, since features are wide; a symbol's last tick has none
     labelled = stream.join(nxt, ["symbol", "i"], "left").select(*stream.columns, F.coalesce((F.col("next_price") > F.col("price")).cast("int"), F.lit(-1)).alias("rise"))
-    made = generated.features(generated.snapshots(labelled, ("rise",)), ("rise",)).filter("rise >= 0")
+    made = generated.of_ticks(labelled, ("rise",)).filter("rise >= 0")
     rows = stored(made, "features").withColumn("id", F.xxhash64("symbol", "i"))
     names = [c for c in rows.columns if c.startswith("f")]
     return rounded(st.ranked(st.unpivoted(rows.select("id", "rise", *names), "id", F.col("rise"), names), "id"))
