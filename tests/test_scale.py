@@ -99,3 +99,11 @@ def test_new_edges_are_numbered_on_and_need_known_ends(spark):
     new = spark.createDataFrame([("e", "a", "b", 2), ("e", "a", "x", 1), ("e", "b", "a", 1)], "edge_type string, from_node string, to_node string, k long")
     made = gr.add_edges(nodes, edges, new, "k")
     assert {(r.from_node, r.seq) for r in made.collect()} == {("a", 5), ("b", 0)}
+
+
+def test_the_last_stage_of_offers_holds_one_join(spark):
+    from tidewright.plans.stores import QUERIES
+
+    made = QUERIES["first_written_orders"](spark, "/root/testdata/sf0.001")
+    joins = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) == 1 and made.filter("writers between 1 and 5").count() == made.count() > 0

@@ -13,7 +13,7 @@ from tidewright.operators import lineages as lg
 from tidewright.operators import provenance as pv
 from tidewright.operators import runs as rn
 from tidewright.operators.reconciliation import Sweep
-from tidewright.sources.shared import place
+from tidewright.sources.shared import place, stored
 from tidewright.sources.ticks import candles_by_count, table, ticks
 from tidewright.sources.versions import Versions
 from tidewright.streaming import bars, live
@@ -43,7 +43,8 @@ def first_written_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store that keeps the first order of each customer, offered one priority after the other; how many writers had something."""
     store = Versions(spark, place(spark, "first-orders"), "customer long, priority string, order_id long", ["customer"])
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority")).agg(F.min("o_orderkey").alias("order_id"))
-    offered = [store.write_once(orders.filter(F.col("priority") == p)).select("customer") for p in PRIORITIES]
+    # each is written by itself: together, a task of the last stage would hold the sorts of all five at once
+    offered = [stored(store.write_once(orders.filter(F.col("priority") == p)).select("customer"), "offered") for p in PRIORITIES]
     writers = reduce(DataFrame.unionByName, offered).groupBy("customer").agg(F.count("*").cast("int").alias("writers"))
     return store.read().join(writers, "customer")
 
