@@ -670,3 +670,16 @@ def test_a_partition_is_cut_into_shards(spark, monkeypatch):
         assert g["offset"].tolist() == (g["length"].cumsum() - g["length"]).tolist() and g["length"].sum() <= 256
     short = (got.groupby("sequence_id")["length"].sum() < 256).sum()
     assert 8 <= short <= 17 and got["sequence_id"].map(lambda x: x >> 40).nunique() == 2
+
+
+def test_arcs_are_sorted_once_and_stand_once(monkeypatch):
+    texts = ["a b a b a", "b a b a c", "a", ""]
+    block = lm.Block(texts)
+    counts = [(g.at, g.seen) for g in (lm.Grams(x, np.ones(len(block.tokens), bool), 2) for x in block.grams(3))]
+
+    def refused(*_, **__):
+        raise AssertionError("arcs needn't be sorted to be told apart")
+
+    monkeypatch.setattr(np, "unique", refused)
+    auto, _, _ = lm.automaton(block, counts, len(block.tokens), 4, 0.3, len(texts))
+    assert (np.diff(auto.arcs) > 0).all() and len(auto.arcs) == sum(int((seen > 0).sum()) for _, seen in counts) - 3

@@ -87,7 +87,10 @@ class Automaton:
         at, rows = state, np.arange(len(state))
         while len(rows):
             key = at * np.int64(self.n_words) + word[rows]
-            place = np.searchsorted(self.arcs, key)
+            # keys in order are found near each other, which spares most of the memory's latency
+            by = np.argsort(key)
+            place = np.empty(len(key), "i8")
+            place[by] = np.searchsorted(self.arcs, key[by])
             place[place == len(self.arcs)] = 0
             hit = (self.arcs[place] == key) & (word[rows] >= 0) if len(self.arcs) else np.zeros(len(key), bool)
             after[rows[hit]] = self.following[place[hit]]
@@ -286,13 +289,16 @@ def automaton(block: Block, counts: list[tuple[np.ndarray, np.ndarray]], n_train
         known = before > 0
         p = np.where(known, weight * seen / np.maximum(before, 1) + (1 - weight) * lower, lower)
         has = known & (seen > 0) & (words >= 0)
-        keys, one = np.unique(state[has] * np.int64(n_words) + words[has], return_index=True)
+        # a known state and a word are one n-gram, so any place where it ends stands for its arc
+        one = np.full(len(counts[k][1]), -1)
+        one[counts[k][0][has]] = np.flatnonzero(has)
+        one = one[one >= 0]
         last = min(k, order - 2)
-        arcs.append(keys)
-        logs.append(np.log10(p[has][one]))
-        following.append(state_of[last][counts[last][0]][has][one])
+        arcs.append(state[one] * np.int64(n_words) + words[one])
+        logs.append(np.log10(p[one]))
+        following.append(state_of[last][counts[last][0][one]])
         lower = p
-    by = np.argsort(np.concatenate(arcs), kind="stable")
+    by = np.argsort(np.concatenate(arcs))
     auto = Automaton(
         n_words, np.concatenate(arcs)[by], np.concatenate(logs)[by], np.concatenate(following)[by], fail, math.log10(1 - weight),
         -math.log10(n_train + n_known + 1),
