@@ -78,6 +78,15 @@ def test_names_with_shared_inputs_are_paired_by_class(spark, monkeypatch):
     assert sorted(got) == want
 
 
+def test_pairs_of_two_blocks_are_not_kept_at_once(spark):
+    rows = spark.createDataFrame([(k, v) for k in range(6) for v in range(2)], "name long, v long")
+    made = rg.shared_inputs(rows, "name", "v")
+    assert len(made.collect()) == 15
+    # the plan that has run; a star marks what is compiled together
+    explodes = [line.split("Generate")[0][-6:] for line in plan(made).split("Initial Plan")[0].splitlines() if "Generate explode" in line]
+    assert len(explodes) == 2 and sum("*" in x for x in explodes) == 1
+
+
 def test_slices_of_a_batch_change_no_candle_and_no_signal(spark, tmp_path, monkeypatch):
     rng = random.Random(4)
     rows = [("s", 60, 60 * max(0, k // 9 - rng.choice([0, 0, 1])), rng.random(), 2.0, 0.0, 1.0, k) for k in range(200)]
