@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewright.operators import funnel as fn
@@ -69,6 +70,69 @@ def test_split_gain_finds_the_best_prefix_whatever_crowds(spark, monkeypatch):
     assert got.keys() == want.keys() and all(math.isclose(got[f], want[f], abs_tol=1e-9) for f in want)
 
 
+def test_a_feature_that_tells_nothing_leaves_few_rows_to_sort(spark, monkeypatch):
+    # as coarse for 20,000 rows as 1023 cuts are for 80 million
+    monkeypatch.setattr(st, "CUTS", 15)
+    tables, stored = [], st.stored
+    monkeypatch.setattr(st, "stored", lambda df, name: tables.append((name, stored(df, name))) or tables[-1][1])
+    rng = random.Random(5)
+    rows = [(f, k, v, int(rng.random() < 0.5)) for k in range(20_000) for f, v in (("noise", rng.random()), ("ties", float(k % 3)))]
+    made = st.split_gain(spark.createDataFrame(rows, "feature string, id long, value double, label int"), "id").collect()
+    want = {}
+    for name in ("noise", "ties"):
+        labels = np.array([y for f, k, v, y in sorted(rows, key=lambda r: (r[2], r[1])) if f == name])
+        n, pos, nl, pl = len(labels), labels.sum(), np.arange(1, len(labels)), np.cumsum(labels)[:-1]
+        gini = lambda p, k: 1 - (p / k) ** 2 - (1 - p / k) ** 2
+        want[name] = (gini(pos, n) - nl / n * gini(pl, nl) - (n - nl) / n * gini(pos - pl, n - nl)).max()
+    assert {r.feature for r in made} == want.keys() and all(math.isclose(r.split_gain, want[r.feature], abs_tol=1e-12) for r in made)
+    buckets = next(df for name, df in tables if name == "buckets")
+    # of some 570 buckets; before, all rows stood in open ones
+    assert all(0 < len(r["at"]) < 150 for r in buckets.collect())
+
+
+def test_ranked_columns_equal_ranked_rows_and_write_no_feature(spark, monkeypatch):
+    from tidewright.functions.arrays import Values
+
+    tables, stored = [], st.stored
+    monkeypatch.setattr(st, "stored", lambda df, name: tables.append(df.columns) or stored(df, name))
+    rng = random.Random(6)
+    odd = lambda v: rng.choice([None, math.nan, math.inf, -math.inf, -0.0, 0.0, v])
+    rows = [(k * 7919 - 5000, int(rng.random() < 0.4), rng.gauss(0, 1), float(k % 2), odd(float(k)), None if k % 3 else rng.random(), 4.0, None, math.inf if k == 9 else 1.0) for k in range(2500)]
+    names = tuple("abcdefg")
+    table = spark.createDataFrame(rows, "id long, rise int, " + ", ".join(f"{c} double" for c in names)).repartition(3)
+
+    def columns(b):
+        v = [b.column(c) for c in names]
+        yield b.column("id").to_numpy(), b.column("rise").to_numpy(), [Values(x.to_numpy(zero_copy_only=False), x.is_valid().to_numpy(zero_copy_only=False)) for x in v]
+
+    got = {r.feature: r.asDict() for r in st.ranked_columns(table, names, columns, 2500).collect()}
+    assert not any(set(c) & {"a", "value"} for c in tables)
+    want = {r.feature: r.asDict() for r in st.ranked(st.unpivoted(table, "id", F.col("rise"), list(names)), "id").collect()}
+    same = lambda x, y: x == y or (x is not None and y is not None and (math.isclose(x, y, abs_tol=1e-9) or (math.isnan(x) and math.isnan(y))))
+    assert got.keys() == want.keys() == set("abcdeg")
+    for f, w in want.items():
+        assert w.keys() == got[f].keys()
+        for c in w.keys() - {"feature"}:
+            assert same(got[f][c], w[c]), (f, c, got[f][c], w[c])
+
+
+def test_features_over_arrays_follow_the_rules_of_columns(spark):
+    from tidewright.functions import arrays as ar
+
+    numbers = [None, math.nan, math.inf, -math.inf, -1.5, -0.0, 0.0, 2.0]
+    pairs = [(k, a, b) for k, (a, b) in enumerate((a, b) for a in numbers for b in numbers)]
+    rules = lambda a, b: [
+        a + b, 1 - a, a * b, a / ar.nullif(b, 0), (a < b).cast("double"), (a <= b).cast("double"), (a > b).cast("double"), (a >= 0).cast("double"), (a == b).cast("double"), (a != b).cast("double"),
+        ((a > 0) & (b > 0)).cast("double"), ((a > 0) | (b > 0)).cast("double"), ar.coalesce(a, b, 7.0), ar.coalesce(a > b, False).cast("double"), ar.greatest(a, b, -1.0), ar.least(a, b), ar.size(a), ar.signum(a),
+        a.isNull().cast("double"), a.isNotNull().cast("double"), ar.when(a > 0, 1.0).when(b > 0, b).otherwise(a), ar.when((a > 0) & b.isNotNull(), b),
+    ]
+    frame = spark.createDataFrame(pairs, "k int, a double, b double").repartition(2)
+    want = [tuple(r)[1:] for r in sorted(frame.select("k", *[c.alias(f"r{n}") for n, c in enumerate(rules(F.col("a"), F.col("b")))]).collect())]
+    made = rules(*[ar.Values(np.array([math.nan if r[c] is None else r[c] for r in pairs]), np.array([r[c] is not None for r in pairs])) for c in (1, 2)])
+    got = list(zip(*[x.arrow().to_pylist() for x in made], strict=True))
+    assert repr([[None if x is None else x + 0.0 for x in r] for r in got]) == repr([[None if x is None else x + 0.0 for x in r] for r in want])
+
+
 def test_names_with_shared_inputs_are_paired_by_class(spark, monkeypatch):
     monkeypatch.setattr(rg, "BLOCK", 3)
     held = {k: {0, 1, 2} if k < 11 else {k % 4, 7} if k < 20 else {k} for k in range(24)}

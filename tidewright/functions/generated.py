@@ -7,7 +7,8 @@ are keyed by number, as some share a label.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .arrays import Values, coalesce, greatest, least, nullif, signum, size, when
 from .indicators import LONG_HALO, _divide, _ema, _wilder
-from .windows import chunked, own, stream
+from .windows import CHUNK, chunked, own, stream
 
 KEYS = ("price", "macd", "signal", "hist", "chop", "cci", "pctb", "upper", "lower", "mid", "pdi", "ndi", "adx", "rsi", "atr", "stoch", "stoch_d", "roc", "ema5", "ema10", "ema20")
 NOW = (3, 2, 1)
@@ -92,14 +94,6 @@ def bend(f) -> Column:
     return (f(1) - f(2)) - (f(2) - f(3))
 
 
-def of(key: str):
-    return lambda at: v(key, at)
-
-
-def less(a: str, b: str):
-    return lambda at: v(a, at) - v(b, at)
-
-
 def known(values: list[Column]) -> Column:
     """How many aren't null. Like the other rules on three places it is plain arithmetic: functions of arrays are interpreted, row by row."""
     return reduce(lambda a, b: a + b, [x.isNotNull().cast("int") for x in values])
@@ -107,60 +101,66 @@ def known(values: list[Column]) -> Column:
 
 def plus(values: list[Column]) -> Column:
     """The sum of those that aren't null, 0 if all are."""
-    return reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in values], F.lit(0.0))
+    return reduce(lambda a, b: a + b, [coalesce(x, 0.0) for x in values], 0.0)
 
 
 def mean(values: list[Column]) -> Column:
-    return plus(values) / F.nullif(known(values), F.lit(0))
+    return plus(values) / nullif(known(values), 0)
 
 
 def spread(values: list[Column]) -> Column:
-    return F.greatest(*values) - F.least(*values)
+    return greatest(*values) - least(*values)
 
 
 def between(values: list[Column], test) -> list[Column]:
     """``test`` of each two neighbours among the three ``values`` that aren't null; it is null for pairs that are none."""
     a, b, c = values
-    return [test(a, b), test(b, c), F.when(b.isNull(), test(a, c))]
+    return [test(a, b), test(b, c), when(b.isNull(), test(a, c))]
 
 
 def clamped(a: Column, b: Column) -> Column:
     """``a / b`` within 3 on either side; null where ``b`` is almost 0 or ``a`` is null, which least and greatest would
     pass over."""
-    return F.when((F.abs(b) > 1e-9) & a.isNotNull(), F.greatest(F.least(a / F.nullif(b, F.lit(0.0)), F.lit(3.0)), F.lit(-3.0)))
+    return when((size(b) > 1e-9) & a.isNotNull(), greatest(least(a / nullif(b, 0.0), 3.0), -3.0))
 
 
 def sign(x: Column) -> Column:
-    return F.signum(x)
+    return signum(x)
 
 
 def flag(c: Column) -> Column:
     return c.cast("double")
 
 
-def all_of(key: str, test) -> Column:
-    return flag(reduce(lambda a, b: a & b, [F.coalesce(test(v(key, k)), F.lit(False)) for k in NOW]))
+def all_of(f, test) -> Column:
+    return flag(reduce(lambda a, b: a & b, [coalesce(test(f(k)), False) for k in NOW]))
 
 
 def crossed(f) -> list[Column]:
     """For each of the two steps whether the sign of ``f`` changes; not where it is missing."""
-    return [F.coalesce(sign(f(a)) != sign(f(b)), F.lit(False)) for a, b in ((3, 2), (2, 1))]
+    return [coalesce(sign(f(a)) != sign(f(b)), False) for a, b in ((3, 2), (2, 1))]
 
 
 def total(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [c.cast("double") for c in flags])
 
 
-def opposed(key: str) -> Column:
+def opposed(price, indicator) -> Column:
     """1 where the price falls while the indicator rises, -1 the other way round, else 0."""
-    p, x = slope(of("price"), 3, 1), slope(of(key), 3, 1)
-    return F.when(p.isNotNull() & x.isNotNull(), F.when((p < 0) & (x > 0), 1.0).when((p > 0) & (x < 0), -1.0).otherwise(0.0))
+    p, x = slope(price, 3, 1), slope(indicator, 3, 1)
+    return when(p.isNotNull() & x.isNotNull(), when((p < 0) & (x > 0), 1.0).when((p > 0) & (x < 0), -1.0).otherwise(0.0))
 
 
-def definitions() -> list[tuple[str, str, Column]]:
-    """(label, family, column) of each feature, in order of its number."""
+def definitions(v=v) -> list[tuple[str, str, Column]]:
+    """(label, family, column) of each feature, in order of its number; ``v`` gives an indicator at a place, as a column or as Values."""
     out: list[tuple[str, str, Column]] = []
 
+    def of(key: str):
+        return lambda at: v(key, at)
+
+    def less(a: str, b: str):
+        return lambda at: v(a, at) - v(b, at)
+
     def add(family: str, **features: Column) -> None:
         out.extend((label, family, c) for label, c in features.items())
 
@@ -180,29 +180,29 @@ def definitions() -> list[tuple[str, str, Column]]:
             add("Level", **{f"{label} {k}": f(k)})
 
     hist = [v("hist", k) for k in NOW]
-    flips = total([F.coalesce(x, F.lit(False)) for x in between([sign(x) for x in hist], lambda a, b: a != b)])
+    flips = total([coalesce(x, False) for x in between([sign(x) for x in hist], lambda a, b: a != b)])
     add("Hist", **{
-        "hist mean": at_mean("hist"), "hist sum": F.when(known(hist) > 0, plus(hist)), "hist bend": bend(of("hist")), "hist sign flips": F.when(known(hist) > 1, flips),
-        "hist all positive": all_of("hist", lambda x: x > 0), "hist all negative": all_of("hist", lambda x: x < 0), "hist late accel": v("hist", 1) - mean([v("hist", 3), v("hist", 2)]),
+        "hist mean": at_mean("hist"), "hist sum": when(known(hist) > 0, plus(hist)), "hist bend": bend(of("hist")), "hist sign flips": when(known(hist) > 1, flips),
+        "hist all positive": all_of(of("hist"), lambda x: x > 0), "hist all negative": all_of(of("hist"), lambda x: x < 0), "hist late accel": v("hist", 1) - mean([v("hist", 3), v("hist", 2)]),
     })
     chop = of("chop")
     add("Chop", **{"chop mean": at_mean("chop"), "chop delta": slope(chop, 3, 1), "chop range": spread([chop(k) for k in NOW]), "chop accel": bend(chop), "chop falling": flag(slope(chop, 3, 1) < 0), "chop late drop": slope(chop, 2, 1)})
     cci = of("cci")
     seen = [cci(k) for k in NOW]
-    always = lambda test: reduce(lambda a, b: a & b, [F.coalesce(x, F.lit(True)) for x in between(seen, test)])
+    always = lambda test: reduce(lambda a, b: a & b, [coalesce(x, True) for x in between(seen, test)])
     add("CCI", **{
-        "cci mean": at_mean("cci"), "cci delta": slope(cci, 3, 1), "cci accel again": bend(cci), "cci abs max": F.greatest(*map(F.abs, seen)),
-        "cci monotone": F.when(known(seen) >= 2, flag(always(lambda a, b: b >= a) | always(lambda a, b: b <= a))), "cci momentum": slope(cci, 2, 1) * sign(cci(1)),
+        "cci mean": at_mean("cci"), "cci delta": slope(cci, 3, 1), "cci accel again": bend(cci), "cci abs max": greatest(*map(size, seen)),
+        "cci monotone": when(known(seen) >= 2, flag(always(lambda a, b: b >= a) | always(lambda a, b: b <= a))), "cci momentum": slope(cci, 2, 1) * sign(cci(1)),
     })
-    norm = lambda k: F.when(v("mid", k) > 0, width(k) / F.nullif(v("mid", k), F.lit(0.0)) * 100)
+    norm = lambda k: when(v("mid", k) > 0, width(k) / nullif(v("mid", k), 0.0) * 100)
     pctb = of("pctb")
     add("BB", **{f"bb width {k}": width(k) for k in (1, 2, 3)}, **{
-        "bb width delta": slope(width, 3, 1), "bb width accel": bend(width), "bb norm width 1": norm(1), "bb norm width 2": norm(2), "bb squeeze 1": flag(width(1) / F.nullif(v("mid", 1), F.lit(0.0)) * 100 < 0.05),
+        "bb width delta": slope(width, 3, 1), "bb width accel": bend(width), "bb norm width 1": norm(1), "bb norm width 2": norm(2), "bb squeeze 1": flag(width(1) / nullif(v("mid", 1), 0.0) * 100 < 0.05),
         "pctb-0.5 3": pctb(3) - 0.5, "pctb slope 3-1 again": slope(pctb, 3, 1), "pctb slope 2-1 again": slope(pctb, 2, 1), "pctb accel": bend(pctb), "price-mid 1": p_mid(1), "price-mid 2": p_mid(2),
-        "price-mid/width 1": F.when(width(1) > 0, p_mid(1) / F.nullif(width(1), F.lit(0.0))),
+        "price-mid/width 1": when(width(1) > 0, p_mid(1) / nullif(width(1), 0.0)),
     })
     add("MACD", **{f"macd gap {k}": gap(k) for k in (1, 2, 3)}, **{
-        "macd gap expanding": flag(F.abs(gap(1)) > F.abs(gap(2))), "macd cross": flag(crossed(gap)[0] | crossed(gap)[1]), "macd mean": at_mean("macd"), "macd accel again": bend(of("macd")),
+        "macd gap expanding": flag(size(gap(1)) > size(gap(2))), "macd cross": flag(crossed(gap)[0] | crossed(gap)[1]), "macd mean": at_mean("macd"), "macd accel again": bend(of("macd")),
     })
     atr, roc, rsi = of("atr"), of("roc"), of("rsi")
     add("Price", **{
@@ -211,38 +211,38 @@ def definitions() -> list[tuple[str, str, Column]]:
         "price-ema20/atr 1": clamped(less("price", "ema20")(1), atr(1)), "ema5-ema20 1 again": less("ema5", "ema20")(1), "ema5-ema10 1 again": less("ema5", "ema10")(1), "ema10-ema20 1": less("ema10", "ema20")(1), "roc 1 again": roc(1),
         "roc 2 again": roc(2), "roc accel": bend(roc), "atr ratio 1/3": clamped(atr(1), atr(3)),
     })
-    add("RSI", **{"rsi mean": at_mean("rsi"), "rsi accel again": bend(rsi), "rsi late slope": slope(rsi, 2, 1), "rsi early slope": slope(rsi, 3, 2), "rsi deviation 1": F.abs(rsi(1) - 50), "rsi direction x size 1": slope(rsi, 2, 1) * sign(rsi(1) - 50)})
+    add("RSI", **{"rsi mean": at_mean("rsi"), "rsi accel again": bend(rsi), "rsi late slope": slope(rsi, 2, 1), "rsi early slope": slope(rsi, 3, 2), "rsi deviation 1": size(rsi(1) - 50), "rsi direction x size 1": slope(rsi, 2, 1) * sign(rsi(1) - 50)})
     add("Stoch", **{"stoch k-d 1": k_d(1), "stoch k-d 2": k_d(2), "stoch k accel": bend(of("stoch"))})
     add("DMI", **{"adx mean": at_mean("adx"), "adx accel again": bend(of("adx")), "di spread accel": bend(di)})
 
     early, late = slope(price, 3, 2), slope(price, 2, 1)
     moves = known([price(k) for k in NOW])
     both = (early - late) * (early - late) / 4
-    reversion = F.when(atr(1) > 0, less("price", "ema20")(1) / F.nullif(atr(1), F.lit(0.0)))
+    reversion = when(atr(1) > 0, less("price", "ema20")(1) / nullif(atr(1), 0.0))
     crossings = [c for f in (gap, centred("stoch", 50), centred("rsi", 50), di) for c in crossed(f)]
     add("Regime", **{
         "bb contraction": bend(width), "atr expansion": slope(atr, 3, 1), "atr expansion/atr 1": clamped(slope(atr, 3, 1), atr(1)), "volatility late/early": clamped(atr(1), atr(3)),
-        "price disorder": F.when(moves == 3, both).when(moves == 2, 0.0), "persistence": F.when(early.isNotNull() & late.isNotNull(), F.when((early > 0) & (late > 0), 1.0).when((early < 0) & (late < 0), -1.0).otherwise(0.0)),
-        "reversion distance 1": F.abs(reversion), "reversion signed 1": reversion, "crossovers": total(crossings), "price curvature/atr": clamped(bend(price), atr(1)), "macd curvature": bend(of("macd")), "bb curvature/atr": clamped(bend(width), atr(1)),
+        "price disorder": when(moves == 3, both).when(moves == 2, 0.0), "persistence": when(early.isNotNull() & late.isNotNull(), when((early > 0) & (late > 0), 1.0).when((early < 0) & (late < 0), -1.0).otherwise(0.0)),
+        "reversion distance 1": size(reversion), "reversion signed 1": reversion, "crossovers": total(crossings), "price curvature/atr": clamped(bend(price), atr(1)), "macd curvature": bend(of("macd")), "bb curvature/atr": clamped(bend(width), atr(1)),
     })
-    shrink = 1 - width(1) / F.nullif(width(3), F.lit(0.0))
+    shrink = 1 - width(1) / nullif(width(3), 0.0)
     e5, e10, e20 = (v(k, 1) for k in ("ema5", "ema10", "ema20"))
-    align = F.when((e5 > e10) & (e10 > e20), 1.0).when((e5 < e10) & (e10 < e20), -1.0).when(e5.isNotNull() & e10.isNotNull() & e20.isNotNull(), 0.0)
+    align = when((e5 > e10) & (e10 > e20), 1.0).when((e5 < e10) & (e10 < e20), -1.0).when(e5.isNotNull() & e10.isNotNull() & e20.isNotNull(), 0.0)
     add("Interact", **{
         "adx x di spread 1": di(1) * v("adx", 1) / 100, "chop x hist 1": (50 - v("chop", 1)) * v("hist", 1), "rsi x hist 1": (rsi(1) - 50) * v("hist", 1), "pctb x cci 1": (pctb(1) - 0.5) * cci(1),
-        "velocity/atr x di 1": F.when(atr(1) > 0, slope(price, 3, 1) / F.nullif(atr(1), F.lit(0.0)) * di(1) / 100), "ema alignment x macd 1": align * v("macd", 1), "hist accel x cci 1": bend(of("hist")) * cci(1) / 100,
+        "velocity/atr x di 1": when(atr(1) > 0, slope(price, 3, 1) / nullif(atr(1), 0.0) * di(1) / 100), "ema alignment x macd 1": align * v("macd", 1), "hist accel x cci 1": bend(of("hist")) * cci(1) / 100,
         "bb contraction x roc": shrink * roc(1), "stoch x rsi 1": (v("stoch", 1) - 50) * (rsi(1) - 50) / 2500, "adx x bb contraction": shrink * v("adx", 1) / 100,
     })
     vote = {"rsi": centred("rsi", 50), "hist": of("hist"), "di": di, "pctb": centred("pctb", 0.5), "roc": roc, "macd": of("macd"), "k_d": k_d}
     votes = lambda names, k: [sign(vote[n](k)) for n in names.split()]
     cast = votes("rsi hist di pctb roc macd", 1)
-    count = lambda test: total([F.coalesce(test(x), F.lit(False)) for x in cast])
+    count = lambda test: total([coalesce(test(x), False) for x in cast])
     add("Agreement", **{
         "consensus 1": mean(votes("rsi hist di pctb roc macd k_d", 1)), "consensus 2": mean(votes("rsi hist di roc macd", 2)),
-        "agreement 1": F.greatest(count(lambda x: x > 0), count(lambda x: x < 0)) / F.nullif(known(cast), F.lit(0)), "consensus shift": mean(votes("rsi hist roc macd", 1)) - mean(votes("rsi hist roc macd", 3)),
-        "turning 2-1": total([F.coalesce(sign(v(k, 1)) != sign(v(k, 2)), F.lit(False)) for k in ("hist", "rsi", "macd", "cci", "roc")]),
+        "agreement 1": greatest(count(lambda x: x > 0), count(lambda x: x < 0)) / nullif(known(cast), 0), "consensus shift": mean(votes("rsi hist roc macd", 1)) - mean(votes("rsi hist roc macd", 3)),
+        "turning 2-1": total([coalesce(sign(v(k, 1)) != sign(v(k, 2)), False) for k in ("hist", "rsi", "macd", "cci", "roc")]),
     })
-    add("Diverge", **{"macd against price": flag(sign(slope(price, 3, 1)) != sign(slope(of("macd"), 3, 1))), "macd divergence": opposed("macd"), "rsi divergence": opposed("rsi"), "stoch divergence": opposed("stoch")})
+    add("Diverge", **{"macd against price": flag(sign(slope(price, 3, 1)) != sign(slope(of("macd"), 3, 1))), "macd divergence": opposed(price, of("macd")), "rsi divergence": opposed(price, of("rsi")), "stoch divergence": opposed(price, of("stoch"))})
     return out
 
 
@@ -253,10 +253,56 @@ def features(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return _defined(own(rows), keep)
 
 
+def of_prices(p: np.ndarray, first: int) -> list[Values]:
+    """The features of the prices ``p`` of a stream from place ``first`` on, as ``features`` of their ``snapshots``. Over arrays a rule is a
+    few passes; as columns the 178 of them took most of the time that features took."""
+    made = {"price": p, **snapshot(p)}
+
+    @cache
+    def at(key: str, place: int) -> Values:
+        back = place - 1
+        x = made[key][first - back : len(p) - back] if back <= first else np.concatenate([np.full(min(back, len(p)), np.nan), made[key][: max(len(p) - back, 0)]])[first:]
+        return Values(x, ~np.isnan(x) if key == "price" else np.isfinite(x))
+
+    return [c.cast("double") for _, _, c in definitions(at)]
+
+
+NAMES = tuple(f"f{n:03d}" for n in range(len(definitions(lambda key, at: Values(np.zeros(1))))))
+
+
 def of_ticks(ticks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The features of ``ticks`` (symbol, i, price), as ``features`` of their ``snapshots``; the chunk that makes a tick's indicators has
     those of the ticks before it as well, so rows move and are sorted once."""
-    return _defined(_in_chunks(ticks, keep, {f"{k}_{at}": (k, at - 1) for k in KEYS for at in NOW}), keep)
+    rows = chunked(ticks.select("symbol", "i", "price", *keep), LONG_HALO)
+    schema = StructType([*(rows.schema[c] for c in ("symbol", "i", *keep)), *(StructField(n, DoubleType()) for n in NAMES)])
+
+    def run(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("i")
+        first = int((~chunk.column("own").to_numpy()).sum())
+        out = chunk.slice(first).select(["symbol", "i", *keep])
+        for name, x in zip(NAMES, of_prices(chunk.column("price").to_numpy().astype("f8"), first), strict=True):
+            out = out.append_column(name, x.arrow())
+        return out
+
+    return rows.groupBy("symbol", "chunk").applyInArrow(run, schema)
+
+
+def packed(ticks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each chunk of ``ticks`` (symbol, i, price and what is to ``keep``): symbol, chunk and the ticks in order, with those before it that
+    indicators reach."""
+    rows = chunked(ticks.select("symbol", "i", "price", *keep), LONG_HALO)
+    return rows.groupBy("symbol", "chunk").agg(F.sort_array(F.collect_list(F.struct("i", "price", *keep))).alias("ticks"))
+
+
+def unpacked(batch: pa.RecordBatch, keep: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], list[Values]]]:
+    """Of each row of ``packed``: what was to ``keep`` of the chunk's own ticks, and their features."""
+    lists = batch.column("ticks")
+    for k, chunk in enumerate(batch.column("chunk").to_pylist()):
+        ticks = lists[k].values
+        first = int(np.searchsorted(ticks.field("i").to_numpy(), chunk * CHUNK))
+        if first < len(ticks):
+            price = ticks.field("price").to_numpy(zero_copy_only=False).astype("f8")
+            yield {c: ticks.field(c).to_numpy(zero_copy_only=False)[first:] for c in keep}, of_prices(price, first)
 
 
 def _defined(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:

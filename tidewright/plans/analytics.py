@@ -348,9 +348,17 @@ def generated_feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stream = ticks(spark, sf_dir).select("symbol", "i", "price")
     nxt = stream.select("symbol", (F.col("i") - 1).alias("i"), F.col("price").alias("next_price"))
-    # the label comes along from the beginning, since features are wide; a symbol's last tick has none
-    labelled = stream.join(nxt, ["symbol", "i"], "left").select(*stream.columns, F.coalesce((F.col("next_price") > F.col("price")).cast("int"), F.lit(-1)).alias("rise"))
-    made = generated.of_ticks(labelled, ("rise",)).filter("rise >= 0")
-    rows = stored(made, "features").withColumn("id", F.xxhash64("symbol", "i"))
-    names = [c for c in rows.columns if c.startswith("f")]
-    return rounded(st.ranked(st.unpivoted(rows.select("id", "rise", *names), "id", F.col("rise"), names), "id"))
+    # a symbol's last tick has no label
+    rise = F.coalesce((F.col("next_price") > F.col("price")).cast("int"), F.lit(-1)).alias("rise")
+    labelled = stream.join(nxt, ["symbol", "i"], "left").select(*stream.columns, rise, F.xxhash64("symbol", "i").alias("id"))
+    count = stream.count()
+    # chunks are few and each is much work, so they are dealt evenly over some tasks for each core, of about a million ticks at most
+    tasks = max(4 * spark.sparkContext.defaultParallelism, count // 1_000_000)
+    rows = stored(generated.packed(labelled, ("rise", "id")), "chunks").repartition(tasks, "symbol", "chunk")
+
+    def columns(batch):
+        for kept, features in generated.unpacked(batch, ("rise", "id")):
+            there = kept["rise"] >= 0
+            yield kept["id"][there], kept["rise"][there], [f.at(there) for f in features]
+
+    return rounded(st.ranked_columns(rows, generated.NAMES, columns, count))
